@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import packing, tokens
+from loomstead.llm import decontam, media, packing, quality, tokens
 from loomstead.llm.common import read
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.3)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -19,8 +27,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.with_media(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return media.describe(stored).drop("timestamps", "random_access")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_token_counts": op6_token_counts, "op7_packing": op7_packing}
+    return {f.__name__: f for f in (op1_quality, op5_decontamination, op6_token_counts, op7_packing, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
