@@ -7,14 +7,36 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import decontam, media, packing, quality, tokens
-from loomstead.llm.common import read
+from loomstead.llm import chat, decontam, license, media, packing, quality, tokens, urls
+from loomstead.llm.common import materialize, read
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.3)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: Rules on hosts and path prefixes; what they say of pages labels the others.
+URL_RULES = (
+    urls.Rule("allow", "com"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -28,13 +50,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.with_media(read(spark, sf_dir, "documents", "doc_id", "text"))
+    stored = materialize(media.with_media(read(spark, sf_dir, "documents", "doc_id", "text")))
     return media.describe(stored).drop("timestamps", "random_access")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_decontamination, op6_token_counts, op7_packing, op9_media)}
+    return {f.__name__: f for f in (op1_quality, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_decontamination, op6_token_counts, op7_packing, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": chat.ROTATE_SQL, "op3_license_scan": license.scan_sql(), "op4_url_filter": urls.judge_sql(URL_RULES)}
