@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import chat, decontam, license, media, packing, quality, tokens, urls
+from loomstead.llm import chat, decontam, license, media, neardup, packing, quality, tokens, urls
 from loomstead.llm.common import materialize, read
 
 
@@ -49,13 +49,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialize(media.with_media(read(spark, sf_dir, "documents", "doc_id", "text")))
     return media.describe(stored).drop("timestamps", "random_access")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_decontamination, op6_token_counts, op7_packing, op9_media)}
+    return {f.__name__: f for f in (op1_quality, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_decontamination, op6_token_counts, op7_packing, op8_near_duplicates, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
