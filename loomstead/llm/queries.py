@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from corpus_pipeline import run as pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import chat, decontam, license, media, neardup, packing, quality, tokens, urls
+from loomstead.llm import chat, decontam, idcoder, license, media, neardup, packing, quality, tokens, urls
 from loomstead.llm.common import materialize, read
 
 
@@ -58,8 +59,17 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(stored).drop("timestamps", "random_access")
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = idcoder.write_ids(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return idcoder.read_ids(written)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_decontamination, op6_token_counts, op7_packing, op8_near_duplicates, op9_media)}
+    operators = (
+        op1_quality, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_decontamination,
+        op6_token_counts, op7_packing, op8_near_duplicates, op9_media, op10_token_ids,
+    )
+    return {f.__name__: f for f in operators} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
