@@ -9,11 +9,12 @@ are linked, confirmed on the full sets; a component is what links reach.
    pairs; surely where sketches hold whole sets), so they share one of the size - c + 1 retained values of each that
    are rarest over the corpus: only these get into the inverted lists. A passage that many documents share, but that
    makes up less than that part of them, brings no two of them together.
-3. In each list the members of about the same size meet the first of them, and everyone in short lists. Overlaps in
-   the union's sketch filter the pairs, exact similarity verifies them.
+3. Lists are kept by classes of size. In each, everyone meets the member that has least to itself, which in a group
+   of near copies is the one closest to all; in short lists everyone meets. Overlaps in the union's sketch filter the
+   pairs, exact similarity verifies them.
 4. Pairs inside a component need no more work. What is left in lists over several components: in lists of up to
-   LONG members, pairs across components meet; the members of longer lists are indexed again, by the rarest values
-   of their full sets, where unrelated documents no longer meet unless three quarters of them are common.
+   LONG members, pairs across components meet; the members of longer lists are indexed again by their full sets and
+   by narrow classes of size. There a set that has a seventh of its values to itself is in no list of its size.
 
 Null and empty texts, and rows without doc_id, are linked with nothing; the latter have no component and are kept.
 Exact repeats of a row are one document. An empty table gives no rows.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -163,69 +164,94 @@ def least_shared(retained: int, similarity: int, risk: float = 1e-8) -> int:
     return retained
 
 
-def required(n: Column, retained: int | None, similarity: int) -> Column:
-    """How many retained values a set of n shares with a linked one; retained is None where all are."""
-    whole = F.ceil(n * similarity / 100)
-    if retained is None:
-        return whole
-    # partners of such sets are retained as a whole too
-    return F.when(n <= retained * similarity // 100, whole).otherwise(least_shared(retained, similarity))
+def required(n: Column, retained: int, similarity: int) -> Column:
+    """How many retained values a set of n shares with a linked one."""
+    # partners of sets that small are retained as a whole too
+    return F.when(n <= retained * similarity // 100, F.ceil(n * similarity / 100)).otherwise(least_shared(retained, similarity))
 
 
-def inverted_lists(sets: DataFrame, retained: int | None, similarity: int) -> DataFrame:
-    """value, doc_id, n: for each of sets (doc_id, n, values) the rarest values of which a linked set has one."""
+def _class(n: Column, ratio: float) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(ratio)))
+
+
+def _shared_values(sets: DataFrame, held: Column) -> DataFrame:
+    """doc_id, n, shared (its values that other sets have, the rarest first), alone (how many others have not)."""
     postings = sets.select("doc_id", "n", F.explode("values").alias("value"))
     common = materialize(postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     shared = postings.join(common, "value").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    held = F.least("n", F.lit(retained)) if retained else F.col("n")
-    # values that nobody else has come first
-    taken = F.greatest(F.lit(0), (F.size("shared") - required(F.col("n"), retained, similarity) + 1).cast("int"))
-    held_alone = held - F.size("shared")
-    taken = F.when(held_alone >= 0, taken).otherwise(F.size("shared"))
-    rows = shared.select("doc_id", "n", F.explode(F.slice("shared", F.lit(1), taken)).alias("_v"))
-    return materialize(rows.select(F.col("_v.value").alias("value"), "doc_id", "n"))
-
-
-def _band(n: Column, similarity: int) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / similarity)))
-
+    return shared.withColumn("alone", held - F.size("shared"))
 
-def _sized(pairs: DataFrame, similarity: int) -> DataFrame:
-    """Distinct pairs whose sizes allow a link: a, b, na, nb with a < b."""
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (F.col("a") != F.col("b"))
-    small = F.col("a") < F.col("b")
-    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(small, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(small, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
+def _entries(shared: DataFrame, ratio: float, least: Column, similarity: int, held: Column) -> DataFrame:
+    """The lists: value, class, doc_id, n, alone, own.
 
-def star_pairs(lists: DataFrame, similarity: int) -> DataFrame:
-    """Each member of a list with the first of its size, and everyone in short lists."""
-    banded = lists.withColumn("band", _band(F.col("n"), similarity))
-    heads = materialize(banded.groupBy("value", "band").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("m")).where("m > 1"))
-    stars = banded.join(heads, ["value", "band"]).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
-    short = lists.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m").between(2, SHORT)).drop("m")
-    few = materialize(lists.join(short, "value"))
-    all_few = few.select("value", F.col("doc_id").alias("a"), F.col("n").alias("na")).join(few.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb")), "value").where("a < b").drop("value")
-    return materialize(_sized(stars.unionByName(all_few), similarity))
-
-
-def cross_pairs(lists: DataFrame, components: DataFrame, longest: int | None, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across components in lists of at most `longest` members, and the members of longer lists (doc_id).
-
-    In each list those outside its largest component meet everyone of another component and nearly their size.
+    A list is of one value and, for linked pairs, of the size class of the smaller set: a set is entered under its
+    own class and under those of smaller partners. `least` is what it shares at least with a set of its class
+    column's sizes, so that of its rarest values held - least + 1 suffice; values that nobody else has come first.
+    """
+    own, lowest = _class(F.col("n"), ratio), _class(F.ceil(F.col("n") * similarity / 100), ratio)
+    dealt = shared.withColumn("class", F.explode(F.sequence(lowest, own)))
+    taken = F.greatest(F.lit(0), held - least + 1 - F.col("alone")).cast("int")
+    rows = dealt.withColumn("_v", F.explode(F.slice("shared", F.lit(1), taken)))
+    return materialize(rows.select(F.col("_v.value").alias("value"), "class", "doc_id", "n", "alone", (F.col("class") == own).alias("own")))
+
+
+def sketch_lists(classes: DataFrame, retained: int, similarity: int) -> DataFrame:
+    """Lists of the sketches of classes (doc_id, n, sketch)."""
+    held = F.least("n", F.lit(retained))
+    shared = _shared_values(classes.select("doc_id", "n", F.col("sketch").alias("values")), held)
+    return _entries(shared, 100 / similarity, required(F.col("n"), retained, similarity), similarity, held)
+
+
+def whole_lists(sets: DataFrame, similarity: int, ratio: float = 1.04) -> DataFrame:
+    """Lists of full sets (doc_id, values), by narrow classes of size, which tell how much must be shared."""
+    shared = _shared_values(sets.select("doc_id", F.size("values").cast("long").alias("n"), "values"), F.col("n"))
+    smallest = F.greatest(F.ceil(F.col("n") * similarity / 100), F.floor(F.pow(F.lit(ratio), F.col("class"))))
+    least = F.ceil((F.col("n") + smallest) * similarity / (100 + similarity))
+    return _entries(shared, ratio, least, similarity, F.col("n"))
+
+
+def _pairs(met: DataFrame, whole: bool, similarity: int) -> DataFrame:
+    """Distinct pairs a < b with na, nb that can be linked, of met (structs x and y of doc_id, n, alone)."""
+    n = {c: F.col(f"{c}.n") for c in "xy"}
+    fits = (F.least(n["x"], n["y"]) * 100 >= F.greatest(n["x"], n["y"]) * similarity) & (F.col("x.doc_id") != F.col("y.doc_id"))
+    if whole:  # values that only one of them has can't be shared
+        fits &= F.least(n["x"] - F.col("x.alone"), n["y"] - F.col("y.alone")) * (100 + similarity) >= (n["x"] + n["y"]) * similarity
+    ordered = F.col("x.doc_id") < F.col("y.doc_id")
+    first, second = F.when(ordered, F.col("x")).otherwise(F.col("y")), F.when(ordered, F.col("y")).otherwise(F.col("x"))
+    return met.where(fits).select(first["doc_id"].alias("a"), second["doc_id"].alias("b"), first["n"].alias("na"), second["n"].alias("nb")).distinct()
+
+
+def star_pairs(lists: DataFrame, whole: bool, similarity: int) -> DataFrame:
+    """Each entry of a list with the one that has least to itself, and everyone in short lists."""
+    entry = F.struct("doc_id", "n", "alone")
+    heads = lists.groupBy("value", "class").agg(F.min(F.when(F.col("own"), F.struct("alone", "doc_id", "n"))).alias("x"), F.count("*").alias("m"))
+    heads = materialize(heads.where((F.col("m") > 1) & F.col("x").isNotNull()))
+    stars = lists.join(heads.drop("m"), ["value", "class"]).select(F.struct("x.doc_id", "x.n", "x.alone").alias("x"), entry.alias("y"))
+    few = materialize(lists.join(heads.where(F.col("m").between(3, SHORT)).select("value", "class"), ["value", "class"]))
+    all_few = few.select("value", "class", entry.alias("x"), "own").join(few.where("own").select("value", "class", entry.alias("y")), ["value", "class"])
+    return materialize(_pairs(stars.unionByName(all_few.select("x", "y")), whole, similarity))
+
+
+def cross_pairs(lists: DataFrame, components: DataFrame, longest: int | None, whole: bool, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs across components in lists of at most `longest` entries, and who is in longer ones (doc_id).
+
+    In each list those outside its largest component meet everyone of another component.
     """
     placed = materialize(lists.join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    parts = placed.groupBy("value", "component").agg(F.count("*").alias("m"))
-    mixed = materialize(parts.groupBy("value").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max(F.struct("m", "component"))["component"].alias("main")).where(F.col("parts") > 1))
-    here = mixed.where((F.col("m") > SHORT) & (F.col("m") <= longest)) if longest else mixed.where(F.col("m") > SHORT)
-    beyond = placed.join(mixed.where(F.col("m") > longest), "value", "left_semi").select("doc_id").distinct() if longest else placed.select("doc_id").limit(0)
-    band = _band(F.col("n"), similarity)
-    members = materialize(placed.join(here, "value").withColumn("band", band))
-    outside = members.where(F.col("component") != F.col("main")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    left = outside.select("value", "band", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = members.select("value", "band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("inside"))
+    parts = placed.groupBy("value", "class", "component").agg(F.count("*").alias("m"), F.count(F.when(F.col("own"), 1)).alias("own"))
+    mixed = parts.groupBy("value", "class").agg(F.sum("m").alias("m"), F.sum("own").alias("own"), F.count("*").alias("parts"), F.max(F.struct("m", "component"))["component"].alias("main"))
+    mixed = materialize(mixed.where((F.col("parts") > 1) & (F.col("own") > 0) & (F.col("m") > SHORT)).drop("parts", "own"))
+    here = mixed.where(F.col("m") <= longest) if longest else mixed
+    members = materialize(placed.join(here.drop("m"), ["value", "class"]))
+    side = lambda name: members.select("value", "class", F.struct("doc_id", "n", "alone").alias(name), F.struct("component", "own", (F.col("component") == F.col("main")).alias("main")).alias(f"{name}_"))
+    left, right = side("x").where("NOT x_.main"), side("y")
     # pairs of two outsiders meet once
-    met = left.join(right, ["value", "band"]).where((F.col("ca") != F.col("cb")) & (F.col("inside") | (F.col("a") < F.col("b"))))
-    return materialize(_sized(met, similarity)), materialize(beyond)
+    met = left.join(right, ["value", "class"]).where((F.col("x_.component") != F.col("y_.component")) & (F.col("x_.own") | F.col("y_.own")) & (F.col("y_.main") | (F.col("x.doc_id") < F.col("y.doc_id"))))
+    pairs = materialize(_pairs(met, whole, similarity))
+    if not longest:
+        return pairs, placed.select("doc_id").limit(0)
+    return pairs, materialize(placed.join(mixed.where(F.col("m") > longest), ["value", "class"], "left_semi").select("doc_id").distinct())
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, retained: int, similarity: int) -> DataFrame:
@@ -286,16 +312,16 @@ def links_between(docs: DataFrame, classes: DataFrame, retained: int, similarity
         ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
         return verified(likely, sets if sets is not None else full_sets(docs, ends), similarity)
 
-    lists = inverted_lists(classes.select("doc_id", "n", F.col("sketch").alias("values")), retained, similarity)
-    links = confirm(star_pairs(lists, similarity))
-    pairs, crowded = cross_pairs(lists, connected(links), LONG, similarity)
+    lists = sketch_lists(classes, retained, similarity)
+    links = confirm(star_pairs(lists, False, similarity))
+    pairs, crowded = cross_pairs(lists, connected(links), LONG, False, similarity)
     if not pairs.isEmpty():
         links = materialize(links.unionByName(confirm(pairs)))
     if not crowded.isEmpty():
         sets = full_sets(docs, crowded)
-        lists = inverted_lists(sets.select("doc_id", F.size("values").cast("long").alias("n"), "values"), None, similarity)
-        links = materialize(links.unionByName(confirm(star_pairs(lists, similarity), sets)))
-        pairs, _ = cross_pairs(lists, connected(links), None, similarity)
+        lists = whole_lists(sets, similarity)
+        links = materialize(links.unionByName(confirm(star_pairs(lists, True, similarity), sets)))
+        pairs, _ = cross_pairs(lists, connected(links), None, True, similarity)
         if not pairs.isEmpty():
             links = materialize(links.unionByName(confirm(pairs, sets)))
     return links
