@@ -1,4 +1,4 @@
-"""All queries of the reference's operators, by name, with their SQL."""
+"""All queries of the domain's operators, by name, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomstead.plans import incremental, relational, scalars, writes
+
+PARTS = (relational.query, scalars.query, writes.query, incremental.query)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in PARTS for name, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.sql.items()}
