@@ -305,12 +305,12 @@ def connected(links: DataFrame) -> DataFrame:
 def links_between(docs: DataFrame, classes: DataFrame, retained: int, similarity: int) -> DataFrame:
     """Links (a, b) that connect what all links between classes (doc_id, n, sketch) connect."""
 
-    def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    def confirm(pairs: DataFrame) -> DataFrame:
         likely = estimated(pairs, classes, retained, similarity)
         if likely.isEmpty():
             return likely
         ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
-        return verified(likely, sets if sets is not None else full_sets(docs, ends), similarity)
+        return verified(likely, full_sets(docs, ends), similarity)
 
     lists = sketch_lists(classes, retained, similarity)
     links = confirm(star_pairs(lists, False, similarity))
@@ -320,10 +320,11 @@ def links_between(docs: DataFrame, classes: DataFrame, retained: int, similarity
     if not crowded.isEmpty():
         sets = full_sets(docs, crowded)
         lists = whole_lists(sets, similarity)
-        links = materialize(links.unionByName(confirm(star_pairs(lists, True, similarity), sets)))
+        # these pairs are bounded by what full sets can share, so a sketch says no more
+        links = materialize(links.unionByName(verified(star_pairs(lists, True, similarity), sets, similarity)))
         pairs, _ = cross_pairs(lists, connected(links), None, True, similarity)
         if not pairs.isEmpty():
-            links = materialize(links.unionByName(confirm(pairs, sets)))
+            links = materialize(links.unionByName(verified(pairs, sets, similarity)))
     return links
 
 
