@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent.parent}:{os.environ.get('PYTHONPATH', '')}"
 
 
@@ -34,16 +34,3 @@ def duck(sf_dir):
     for table in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     return con
-
-
-def same(df, con, sql):
-    """Rows, whatever their order, and column names of a query and its SQL."""
-
-    def rows(frame, columns):
-        plain = frame[columns].astype(object).where(frame[columns].notna(), None)
-        return sorted(tuple(repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in plain.itertuples(index=False, name=None))
-
-    got, want = df.toPandas(), con.execute(sql).fetchdf()
-    columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-    assert rows(got, columns) == rows(want, columns)
