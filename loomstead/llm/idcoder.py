@@ -36,6 +36,8 @@ from loomstead.llm.tokens import byte_alphabet
 
 MAGIC = b"TIDC0001"
 BLOCK, LANES = 2048, 2048
+#: Contexts of order 1, and as many of order 2, that a lane remembers by hash.
+CONTEXTS = 512
 BITS, NONE = 15, 0xFFFF
 SEGMENTS = "file long, segment long, n_ids long, data binary"
 RECORDS = "doc_id long, file long, segment long, begin long, n_tokens long, ids_crc32 long"
@@ -58,17 +60,17 @@ class Model:
     """What each lane has seen of its block: the same on both sides."""
 
     def __init__(self, lanes: int):
-        self.row1, self.row0 = np.arange(lanes) * BLOCK, np.arange(lanes) * 256
+        self.row1, self.row0 = np.arange(lanes) * CONTEXTS, np.arange(lanes) * 256
         self.row_record, self.row_recent = np.arange(lanes) * 32, np.arange(lanes) * 16
-        self.order1, self.order2 = np.full(lanes * BLOCK, NONE, np.int32), np.full(lanes * BLOCK, NONE, np.int32)
+        self.order1, self.order2 = np.full(lanes * CONTEXTS, NONE, np.int32), np.full(lanes * CONTEXTS, NONE, np.int32)
         self.order0 = np.full(lanes * 256, NONE, np.int32)
         self.last, self.before, self.hits = np.zeros((3, lanes), np.int64)
         self.by_record, self.by_recent = np.full(lanes * 32, _EVEN), np.full(lanes * 16, _EVEN)
 
     def predict(self) -> np.ndarray:
         """The mixed thresholds between order 2, order 1, order 0 and none being right."""
-        self.at1 = self.row1 + (self.last * 40503 >> 3 & BLOCK - 1)
-        self.at2 = self.row1 + ((self.last * 40503 + self.before * 60493) * 11 >> 5 & BLOCK - 1)
+        self.at1 = self.row1 + (self.last * 40503 >> 3 & CONTEXTS - 1)
+        self.at2 = self.row1 + ((self.last * 40503 + self.before * 60493) * 11 >> 5 & CONTEXTS - 1)
         self.cell1, self.cell2 = self.order1[self.at1], self.order2[self.at2]
         self.id1, self.id2 = self.cell1 & NONE, self.cell2 & NONE
         # how often in a row each has been right, and whether they agree
@@ -111,7 +113,9 @@ def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
 
     for column in np.ascontiguousarray(ids.T).astype(np.int64):
         thresholds = model.predict()
-        outcome = np.where(column == model.id2, 0, np.where(column == model.id1, 1, 3 - (column == model.order0[model.row0 + (column & 255)])))
+        outcome = 3 - (column == model.order0[model.row0 + (column & 255)]).astype(np.int64)
+        np.putmask(outcome, column == model.id1, 1)
+        np.putmask(outcome, column == model.id2, 0)
         begin, width = _interval(thresholds, outcome)
         unit = wide >> BITS
         low += unit * begin
@@ -249,7 +253,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.cache, self.split, self.fast = cache, regex.compile(WORD_PATTERN), None
         model, end = spec["model"], spec["model"].get("end_of_word_suffix")
         merges = [m.replace(" ", "", 1) if isinstance(m, str) else "".join(m) for m in model["merges"]]
@@ -270,26 +274,27 @@ class WordEncoder:
         self.ids = np.array([ids.get(x, -1) for x in order])
         self.fast = tiktoken.Encoding("words", pat_str=rf"[^{_MARK}\n]+{_MARK}|\n", mergeable_ranks={x: i for i, x in enumerate(order)}, special_tokens={})
 
-    def _learn(self, chunks: list[str]) -> dict[str, list[int]]:
+    def _learn(self, chunks: list[str]) -> None:
+        """Put the ids of chunks, as bytes, into the cache."""
         marked = self.split.sub(r"\g<0>" + _MARK, "\n".join(chunks))
         codes = np.array(self.fast.encode_ordinary(marked), np.int64)
-        ends = np.flatnonzero(codes == 10)
-        ids = self.ids[codes].tolist()
-        return {c: ids[a + 1 : b] for c, a, b in zip(chunks, [-1, *ends.tolist()], [*ends.tolist(), len(ids)], strict=True)}
+        ends = (np.flatnonzero(codes == 10) * 2).tolist()
+        ids = self.ids[codes].astype(np.uint16).tobytes()
+        self.known.update(zip(chunks, [ids[a:b] for a, b in zip([0, *[e + 2 for e in ends]], [*ends, len(ids)], strict=True)], strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as uint16."""
         plain = [self.fast is not None and not _ODD.search(t) and not any(s in t for s in self.special) for t in texts]
         chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = [c for c in set(chain.from_iterable(chunks)) if c not in self.known]
-        learnt = self._learn(new) if new else {}
-        if len(self.known) + len(learnt) > self.cache:
-            learnt |= {c: self.known[c] for c in set(chain.from_iterable(chunks)) if c in self.known}
-            self.known = {}
-        self.known.update(learnt)
+        distinct = set().union(*chunks)
+        new = distinct - self.known.keys()
+        if len(self.known) + len(new) > self.cache:
+            self.known = {c: self.known[c] for c in distinct - new}
+        if new:
+            self._learn(list(new))
         get = self.known.__getitem__
         slow = iter(self.exact.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [np.array(list(chain.from_iterable(map(get, c))) if p else next(slow).ids, np.uint16) for c, p in zip(chunks, plain, strict=True)]
+        return [np.frombuffer(b"".join(map(get, c)), np.uint16) if p else np.array(next(slow).ids, np.uint16) for c, p in zip(chunks, plain, strict=True)]
 
 
 def word_encoder(path: str) -> WordEncoder:
