@@ -102,6 +102,12 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def identity(*parts: Column) -> Column:
+    """An id of the form of a UUID that follows from the natural key, so it is the same when a task runs again."""
+    digits = content_hash(*parts)
+    return F.concat_ws("-", *[F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def check_key(key: str) -> bytes:
     """An AES-256 key from exactly 64 hexadecimal digits."""
     if len(key) != 64:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.operators.relational import numbered_by_range
+
 SIGNALS = ("entrypoint_exposure", "downstream_impact", "structural_centrality", "external_side_effects", "documentation_gap", "test_coverage_signal", "git_churn_recency")
 
 
@@ -22,10 +24,8 @@ def reasons(threshold: float, signals: tuple[str, ...] = SIGNALS) -> Column:
 
 
 def rank(df: DataFrame, score: str, ident: str, partition: str | None = None) -> DataFrame:
-    """rank by falling score, ties by ident."""
-    order = [F.desc(score), F.asc(ident)]
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(1))).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w).cast("long"))
+    """rank by falling score, ties by ident, in each partition or over all rows; neither is gathered in one task."""
+    return numbered_by_range(df, [partition] if partition else [], F.desc(score), F.asc(ident), name="rank")
 
 
 def rank_by_role(scores: DataFrame, roles: DataFrame, ident: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.sources.shared import materialize
+
 #: Which statuses each named filter shows; "stale" counts flags instead.
 STATUS_FILTERS = {"active": ("analyzing", "idle"), "completed": ("complete",)}
 
@@ -73,17 +75,36 @@ def steps(df: DataFrame, parent: str, order: str, label: str) -> DataFrame:
     return df.withColumns({"step": F.row_number().over(w).cast("long"), "previous": F.lag(label).over(w), "following": F.lead(label).over(w)})
 
 
+def numbered_by_range(df: DataFrame, partition: list[str], *order: Column, name: str = "position", total: str | None = None, running: dict[str, str] | None = None) -> DataFrame:
+    """`numbered` for partitions of any size, with the partition's rows as `total` and running sums {name: column}.
+
+    Rows are dealt by ranges of (partition, order) and written once, so a partition with a third of all rows lies in
+    as many tasks as its size needs. A row's number is its place in its range plus the rows of the ranges before.
+    """
+    keys = [*map(F.col, partition), *order]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt).withColumn("_p", F.shiftright("_at", 33))
+    sums = {**(running or {})}
+    ranges = dealt.groupBy(*partition, "_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    every = Window.partitionBy(*partition)
+    before = every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    bases = ranges.select(*[F.col(k).alias(f"_k_{k}") for k in [*partition, "_p"]], "_first", base("_n").alias("_base"), F.sum("_n").over(every).alias("_total"), *[base(f"_s_{n}").alias(f"_b_{n}") for n in sums])
+    joined = dealt.join(bases, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*partition, "_p"]]))
+    inside = Window.partitionBy(*partition, "_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = joined.withColumns({name: F.col("_at") - F.col("_first") + F.col("_base") + 1, **({total: F.col("_total")} if total else {}), **{n: F.sum(c).over(inside) + F.col(f"_b_{n}") for n, c in sums.items()}})
+    return out.select(*df.columns, name, *([total] if total else []), *sums)
+
+
 def top_share(df: DataFrame, partition: str, share: float, *order: Column) -> DataFrame:
     """The first ceil(share * rows) rows of each partition, with rank. Rounding and ties (by `order`) are ours."""
-    w = Window.partitionBy(partition)
-    ranked = df.withColumns({"rank": F.row_number().over(w.orderBy(*order)).cast("long"), "_n": F.count("*").over(w)})
+    ranked = numbered_by_range(df, [partition], *order, name="rank", total="_n")
     return ranked.where(F.col("rank") <= F.ceil(F.col("_n") * share)).drop("_n")
 
 
 def within_budget(df: DataFrame, partition: str, size: str, limit: float, *order: Column) -> DataFrame:
     """Rows, in order, while the running sum of size stays within limit. The cut-off is ours."""
-    w = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= limit)
+    return numbered_by_range(df, [partition], *order, name="_i", running={"running": size}).drop("_i").where(F.col("running") <= limit)
 
 
 def without_ignored(df: DataFrame, path: str, ignored: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.operators import graph, ranking, snapshot
+from loomstead.operators.relational import numbered_by_range
 from loomstead.plans.base import Registry, Tables
 
 query = Registry()
@@ -126,11 +127,9 @@ def rank_by_role(t: Tables) -> DataFrame:
 
 @query(f"""SELECT role, p_partkey, row_number() OVER (PARTITION BY role ORDER BY c, p_partkey) AS step_order FROM ({_SCORED}) JOIN (VALUES {_ROLE_ROWS}) v(role, kind, w) USING (kind)""")
 def role_path_order(t: Tables) -> DataFrame:
-    from loomstead.operators.relational import numbered
-
     roles = t.spark.createDataFrame(ROLES, "role string, kind string, weight int")
     joined = _scored(t).join(F.broadcast(roles), "kind")
-    return numbered(joined, ["role"], F.col("structural_centrality"), F.col("p_partkey"), name="step_order").select("role", "p_partkey", "step_order")
+    return numbered_by_range(joined, ["role"], F.col("structural_centrality"), F.col("p_partkey"), name="step_order").select("role", "p_partkey", "step_order")
 
 
 @query("""SELECT a.o_orderkey, a.o_orderstatus AS was, b.o_orderstatus AS next, (a.o_orderstatus, b.o_orderstatus) IN (('O', 'P'), ('P', 'F'), ('F', 'F')) AS allowed

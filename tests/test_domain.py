@@ -192,6 +192,18 @@ def test_snapshot_and_ranking(spark):
     assert str(scores.select(ranking.composite({"entrypoint_exposure": 1.0})).first()[0]) == "999.999"
 
 
+def test_numbers_of_large_partitions(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 0L, id % 50) as k", "(id * 7919) % 5000 as o", "1L as n").unionByName(spark.createDataFrame([(None, 1, 1), (None, 2, 1)], "k long, o long, n long"))
+    got = relational.numbered_by_range(rows, ["k"], F.col("o"), total="all", running={"sum": "n"})
+    want = relational.numbered(rows, ["k"], F.col("o"), name="w")
+    both = got.join(want, (got.k.eqNullSafe(want.k)) & (got.o == want.o))
+    assert both.count() == 5002 and both.where("position <> w OR sum <> w").isEmpty()
+    assert got.where("k = 0").first()["all"] == rows.where("k = 0").count()
+    ranked = ranking.rank(rows.where("k IS NOT NULL"), "o", "k")
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 5001))
+    assert one(spark, fn.identity(F.col("a"), F.col("b")), a="x", b=1) == one(spark, fn.identity(F.col("a"), F.col("b")), a="x", b=1)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "repos.json").write_text('{"total_count": 1, "repositories": [{"id": 7, "name": "r", "full_name": "o/r", "private": true, "default_branch": "main", "owner": {"login": "o"}, "more": 1}]}')
     assert tuple(tables.repositories(spark, str(tmp_path / "repos.json")).first()) == (7, "r", "o/r", True, "main", "o")
