@@ -28,6 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_P, _P_INVERSE)):
-            table = np.full(max(n, 1 << 16), base, np.uint64)
+            table = np.full(max(n, 1 << 19), base, np.uint64)
             table[0] = 1
             _powers[i] = np.cumprod(table)
     return _powers
@@ -97,14 +98,14 @@ def _sets(raw: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: pa.Array, batch_bytes: int = 1 << 20) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes (63 bits) of each text's shingles, taking about batch_bytes at a time."""
-    binary = texts.fill_null("").cast(pa.large_binary())
-    offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
-    data = np.frombuffer(binary.buffers()[2], np.uint8) if binary.buffers()[2] else np.zeros(0, np.uint8)
-    sizes = np.diff(offsets)
+def shingle_sets(texts: pa.Array, batch_bytes: int = 1 << 18) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, end, the sorted distinct hashes (63 bits) of each text's shingles), about batch_bytes at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for a, b in by_bytes(sizes, batch_bytes):
-        yield from _sets(data[offsets[a] : offsets[b]], sizes[a:b])
+        part = texts.slice(a, b - a).fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2], np.uint8) if part.buffers()[2] else np.zeros(0, np.uint8)
+        yield a, b, _sets(data[offsets[0] : offsets[-1]], np.diff(offsets))
 
 
 def sketches(docs: DataFrame, retained: int = RETAINED) -> DataFrame:
@@ -112,12 +113,10 @@ def sketches(docs: DataFrame, retained: int = RETAINED) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, kept = [], [], []
-            for values in shingle_sets(batch.column(1)):
-                sizes.append(len(values))
-                classes.append(blake2b(values.tobytes(), digest_size=16).digest())
-                kept.append(values[:retained])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), _lists(kept)], names=["doc_id", "n_shingles", "class", "sketch"])
+            for a, b, sets in shingle_sets(batch.column(1)):
+                classes = [blake2b(values.tobytes(), digest_size=16).digest() for values in sets]
+                columns = [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(classes, pa.binary()), _lists([values[:retained] for values in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCHES)
 
@@ -148,7 +147,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         marked = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for batch in batches:
             batch = batch.filter(pa.array(marked[batch.column(1).to_numpy()]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _lists(list(shingle_sets(batch.column(2))))], names=["doc_id", "values"])
+            for a, b, sets in shingle_sets(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), _lists(sets)], names=["doc_id", "values"])
 
     read = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, SETS)
     return materialize(read.join(wanted.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
