@@ -9,7 +9,7 @@ decoded side by side, a numpy lane each.
 
 A segment, little-endian: MAGIC, then numbers of documents, ids and blocks (64 bits each), CRC-32 of the directory;
 the directory: whether each doc_id is there (bytes), doc_ids and lengths (64 bits); for each block the number of its
-16-bit digits and the CRC-32 of its ids as unsigned 32-bit integers (32 bits each); the digits of all blocks.
+32-bit digits and the CRC-32 of its ids as unsigned 32-bit integers (32 bits each); the digits of all blocks.
 Damaged segments raise ValueError.
 
 Null texts count as empty: a document of the end id alone. Rows without doc_id come first; repeated rows are
@@ -23,28 +23,26 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import materialize
-from loomstead.llm.tokens import byte_alphabet
+from loomstead.llm.tokens import by_bytes, byte_alphabet
 
-MAGIC = b"TIDC0001"
-BLOCK, LANES = 2048, 2048
+MAGIC = b"TIDC0002"
+BLOCK, LANES = 2048, 4096
 #: Contexts of order 1, and as many of order 2, that a lane remembers by hash.
 CONTEXTS = 512
-BITS, NONE = 15, 0xFFFF
+BITS, NONE = 14, 0xFFFF
 SEGMENTS = "file long, segment long, n_ids long, data binary"
 RECORDS = "doc_id long, file long, segment long, begin long, n_tokens long, ids_crc32 long"
 #: Distributions over four outcomes are three rising thresholds out of 2^BITS, in 16 bits each of one integer.
-_FIELDS = 0x7FFF_7FFF_7FFF
-_SLOW = 0x03FF_03FF_03FF
-_ABOVE = -(1 << 63)
+_FIELDS, _SLOW, _ABOVE = 0x3FFF_3FFF_3FFF, 0x01FF_01FF_01FF, 1 << 48 + BITS
 
 
 def _packed(thresholds: list[int]) -> int:
@@ -53,7 +51,12 @@ def _packed(thresholds: list[int]) -> int:
 
 _EVEN = _packed([1 << BITS - 2, 2 << BITS - 2, 3 << BITS - 2])
 #: What an outcome adds after a 32nd of each threshold is taken off: thresholds stay apart and inside.
-_STEP = np.array([_packed([1023 - 3 + j + 1 if outcome <= j else j + 1 for j in range(3)]) for outcome in range(4)])
+_STEP = np.array([_packed([(1 << BITS - 5) - 3 + j if outcome <= j else j + 1 for j in range(3)]) for outcome in range(4)])
+#: Bits that follow each outcome: none, none, the slot of order 0, a whole id.
+_EXTRA = np.array([0, 0, 8, 16])
+_EXTRA_MASK = (1 << _EXTRA) - 1
+#: The coder's register has 62 bits, of which 32 at a time leave. An interval is at least 2^30 wide, enough for BITS + 16.
+_REST, _LEAST = (1 << 30) - 1, 1 << 30
 
 
 class Model:
@@ -63,14 +66,16 @@ class Model:
         self.row1, self.row0 = np.arange(lanes) * CONTEXTS, np.arange(lanes) * 256
         self.row_record, self.row_recent = np.arange(lanes) * 32, np.arange(lanes) * 16
         self.order1, self.order2 = np.full(lanes * CONTEXTS, NONE, np.int32), np.full(lanes * CONTEXTS, NONE, np.int32)
-        self.order0 = np.full(lanes * 256, NONE, np.int32)
-        self.last, self.before, self.hits = np.zeros((3, lanes), np.int64)
+        self.order0 = np.full(lanes * 256, NONE, np.uint16)
+        self.last, self.before = np.zeros((2, lanes), np.int32)
+        self.hits = np.zeros(lanes, np.int64)
         self.by_record, self.by_recent = np.full(lanes * 32, _EVEN), np.full(lanes * 16, _EVEN)
 
     def predict(self) -> np.ndarray:
         """The mixed thresholds between order 2, order 1, order 0 and none being right."""
-        self.at1 = self.row1 + (self.last * 40503 >> 3 & CONTEXTS - 1)
-        self.at2 = self.row1 + ((self.last * 40503 + self.before * 60493) * 11 >> 5 & CONTEXTS - 1)
+        hashed = self.last * 40503
+        self.at1 = self.row1 + (hashed >> 3 & CONTEXTS - 1)
+        self.at2 = self.row1 + ((hashed + self.before * 60493) * 11 >> 5 & CONTEXTS - 1)
         self.cell1, self.cell2 = self.order1[self.at1], self.order2[self.at2]
         self.id1, self.id2 = self.cell1 & NONE, self.cell2 & NONE
         # how often in a row each has been right, and whether they agree
@@ -98,36 +103,29 @@ def _interval(thresholds: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray,
 
 
 def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
-    """The 16-bit digits of each row of ids (lanes x BLOCK)."""
+    """The 32-bit digits of each row of ids (lanes x BLOCK)."""
     lanes = len(ids)
     model, everyone = Model(lanes), np.arange(lanes)
-    low, wide = np.zeros(lanes, np.int64), np.full(lanes, 1 << 32)
+    low, wide = np.zeros(lanes, np.int64), np.full(lanes, 1 << 62)
     owners, digits = [], []
 
     def shift_out(who: np.ndarray) -> None:
         held = low[who]
         owners.append(who.astype(np.uint16))
-        digits.append((held >> 16).astype(np.uint32))
-        low[who] = (held & 0xFFFF) << 16
-        wide[who] <<= 16
+        digits.append(held >> 30)
+        low[who] = (held & _REST) << 32
+        wide[who] <<= 32
 
-    for column in np.ascontiguousarray(ids.T).astype(np.int64):
+    for column in np.ascontiguousarray(ids.T).astype(np.int32):
         thresholds = model.predict()
         outcome = 3 - (column == model.order0[model.row0 + (column & 255)]).astype(np.int64)
         np.putmask(outcome, column == model.id1, 1)
         np.putmask(outcome, column == model.id2, 0)
         begin, width = _interval(thresholds, outcome)
         unit = wide >> BITS
-        low += unit * begin
-        np.multiply(unit, width, out=wide)
-        shift_out(np.flatnonzero(wide < 1 << 16))
-        rest = np.flatnonzero(outcome > 1)
-        # order 0 needs the slot, an unforeseen id itself
-        whole = outcome[rest] - 2
-        unit = wide[rest] >> 8 + 8 * whole
-        low[rest] += unit * (column[rest] & 255 + 0xFF00 * whole)
-        wide[rest] = unit
-        shift_out(rest[unit < 1 << 16])
+        np.right_shift(unit * width, _EXTRA[outcome], out=wide)
+        low += unit * begin + wide * (column & _EXTRA_MASK[outcome])
+        shift_out(np.flatnonzero(wide < _LEAST))
         model.update(column, outcome)
     for _ in range(2):
         shift_out(everyone)
@@ -135,12 +133,12 @@ def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
     digit = digit[np.argsort(owner, kind="stable")]
     ends = np.cumsum(np.bincount(owner, minlength=lanes))
     # carries go to the digit before
-    over = digit >> 16
+    over = digit >> 32
     while over.any():
-        digit &= 0xFFFF
+        digit &= 0xFFFFFFFF
         digit[:-1] += over[1:]
-        over = digit >> 16
-    return np.split(digit.astype("<u2"), ends[:-1])
+        over = digit >> 32
+    return np.split(digit.astype("<u4"), ends[:-1])
 
 
 def decode_blocks(digits: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -148,35 +146,32 @@ def decode_blocks(digits: np.ndarray, counts: np.ndarray) -> np.ndarray:
     lanes = len(counts)
     model = Model(lanes)
     digits = np.concatenate([digits.astype(np.int64), np.zeros(2, np.int64)])
+    # the register ends 2 bits before a digit does
+    follow = (digits[:-1] & 3) << 30 | digits[1:] >> 2
     at = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    value, wide, last = digits[at] << 16 | digits[at + 1], np.full(lanes, 1 << 32), len(digits) - 1
-    at += 2
-
-    def shift_in(who: np.ndarray) -> None:
-        place = at[who]
-        value[who] = value[who] << 16 | digits[np.minimum(place, last)]
-        wide[who] <<= 16
-        at[who] = place + 1
-
-    out = np.empty((BLOCK, lanes), np.int64)
+    value, wide, last = digits[at] << 30 | digits[at + 1] >> 2, np.full(lanes, 1 << 62), len(follow) - 1
+    at += 1
+    out = np.empty((BLOCK, lanes), np.int32)
     for t in range(BLOCK):
         thresholds = model.predict()
         unit = wide >> BITS
-        spot = value // unit
-        outcome = (spot >= (thresholds & 0xFFFF)).astype(np.int64) + (spot >= (thresholds >> 16 & 0xFFFF)) + (spot >= thresholds >> 32)
+        outcome = (value >= unit * (thresholds & 0xFFFF)).astype(np.int64)
+        outcome += value >= unit * (thresholds >> 16 & 0xFFFF)
+        outcome += value >= unit * (thresholds >> 32)
         begin, width = _interval(thresholds, outcome)
-        np.subtract(value, unit * begin, out=value)
-        np.multiply(unit, width, out=wide)
-        shift_in(np.flatnonzero(wide < 1 << 16))
+        np.right_shift(unit * width, _EXTRA[outcome], out=wide)
+        value -= unit * begin
         ids = np.where(outcome == 0, model.id2, model.id1)
         rest = np.flatnonzero(outcome > 1)
-        whole = outcome[rest] - 2
-        unit = wide[rest] >> 8 + 8 * whole
-        spot = np.minimum(value[rest] // unit, 255 + 0xFF00 * whole)
-        value[rest] -= unit * spot
-        wide[rest] = unit
-        shift_in(rest[unit < 1 << 16])
-        ids[rest] = np.where(whole, spot, model.order0[model.row0[rest] + (spot & 255)])
+        mask, step = _EXTRA_MASK[outcome[rest]], wide[rest]
+        extra = np.minimum(value[rest] // step, mask)
+        value[rest] -= step * extra
+        ids[rest] = np.where(mask > 255, extra, model.order0[model.row0[rest] + (extra & 255)])
+        more = np.flatnonzero(wide < _LEAST)
+        place = at[more]
+        value[more] = value[more] << 32 | follow[np.minimum(place, last)]
+        wide[more] <<= 32
+        at[more] = place + 1
         model.update(ids, outcome)
         out[t] = ids
     return out.T
@@ -213,7 +208,7 @@ def read_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     lengths = np.frombuffer(data, "<i8", docs, at + 9 * docs)
     at += 17 * docs
     counts, sums = np.frombuffer(data, "<u4", blocks, at).astype(np.int64), np.frombuffer(data, "<u4", blocks, at + 4 * blocks)
-    digits = np.frombuffer(data, "<u2", int(counts.sum()), at + 8 * blocks)
+    digits = np.frombuffer(data, "<u4", int(counts.sum()), at + 8 * blocks)
     ends = np.concatenate([[0], np.cumsum(counts)])
     flat = np.empty(blocks * BLOCK, "<u4")
     for a in range(0, blocks, LANES):
@@ -253,7 +248,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.cache, self.split, self.fast = cache, regex.compile(WORD_PATTERN), None
         model, end = spec["model"], spec["model"].get("end_of_word_suffix")
         merges = [m.replace(" ", "", 1) if isinstance(m, str) else "".join(m) for m in model["merges"]]
@@ -274,27 +269,51 @@ class WordEncoder:
         self.ids = np.array([ids.get(x, -1) for x in order])
         self.fast = tiktoken.Encoding("words", pat_str=rf"[^{_MARK}\n]+{_MARK}|\n", mergeable_ranks={x: i for i, x in enumerate(order)}, special_tokens={})
 
+    def _marked(self, chunk: str) -> str:
+        """chunk with the mark after each of its words; most are one word, or one with a stop behind it."""
+        if chunk.isalpha():
+            return chunk + _MARK
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return chunk[:-1] + _MARK + chunk[-1] + _MARK
+        return self.split.sub(r"\g<0>" + _MARK, chunk)
+
     def _learn(self, chunks: list[str]) -> None:
         """Put the ids of chunks, as bytes, into the cache."""
-        marked = self.split.sub(r"\g<0>" + _MARK, "\n".join(chunks))
+        marked = "\n".join(map(self._marked, chunks))
         codes = np.array(self.fast.encode_ordinary(marked), np.int64)
         ends = (np.flatnonzero(codes == 10) * 2).tolist()
         ids = self.ids[codes].astype(np.uint16).tobytes()
         self.known.update(zip(chunks, [ids[a:b] for a, b in zip([0, *[e + 2 for e in ends]], [*ends, len(ids)], strict=True)], strict=True))
 
+    def _encode_plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Arrow lowers, splits and finds the distinct chunks; ids are then laid out from theirs."""
+        chunks = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, distinct))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            if len(self.known) + len(new) > self.cache:
+                self.known = {"": b""}
+            self._learn([distinct[i] for i in new])
+            for i in new:
+                ids[i] = self.known[distinct[i]]
+        at = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        first = np.cumsum(sizes) - sizes
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        place = np.repeat(first[at] - ends[:-1], lengths)
+        place += np.arange(ends[-1])
+        words = np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False))
+        return np.split(np.frombuffer(b"".join(ids), np.uint16)[place], ends[words][:-1])
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as uint16."""
         plain = [self.fast is not None and not _ODD.search(t) and not any(s in t for s in self.special) for t in texts]
-        chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        distinct = set().union(*chunks)
-        new = distinct - self.known.keys()
-        if len(self.known) + len(new) > self.cache:
-            self.known = {c: self.known[c] for c in distinct - new}
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
+        fast = iter(self._encode_plain(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string())) if any(plain) else [])
         slow = iter(self.exact.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [np.frombuffer(b"".join(map(get, c)), np.uint16) if p else np.array(next(slow).ids, np.uint16) for c, p in zip(chunks, plain, strict=True)]
+        return [next(fast) if p else np.array(next(slow).ids, np.uint16) for p in plain]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -315,8 +334,9 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int = BL
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([segment], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["file", "segment", "n_ids", "data"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for a, b in by_bytes(sizes, 1 << 21):
+                part = batch.slice(a, b - a)
                 coded = word_encoder(path).encode_batch([t or "" for t in part.column(1).to_pylist()])
                 for doc_id, ids in zip(part.column(0).to_pylist(), coded, strict=True):
                     docs_held.append(doc_id)
