@@ -232,14 +232,13 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """A BPE vocabulary file (.json) whose tokens end at white space, as the tokenizers library reads it.
 
-    No token spans white space, so texts of plain characters are split there and each distinct chunk is encoded
-    once, in a bounded cache; the same merges run in tiktoken, with a mark as the end of each word. Texts with
-    other characters or special strings go through the tokenizers library.
+    No token spans white space, so texts of plain characters are split there and each distinct chunk of a batch is
+    encoded once; the same merges run in tiktoken, with a mark as the end of each word. Texts with other characters
+    or special strings go through the tokenizers library.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
@@ -247,9 +246,7 @@ class WordEncoder:
         self.exact.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {"": b""}
-        self.cache, self.split, self.fast = cache, regex.compile(WORD_PATTERN), None
+        self.special, self.fast = [t["content"] for t in spec["added_tokens"]], None
         model, end = spec["model"], spec["model"].get("end_of_word_suffix")
         merges = [m.replace(" ", "", 1) if isinstance(m, str) else "".join(m) for m in model["merges"]]
         plain = end and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
@@ -269,44 +266,34 @@ class WordEncoder:
         self.ids = np.array([ids.get(x, -1) for x in order])
         self.fast = tiktoken.Encoding("words", pat_str=rf"[^{_MARK}\n]+{_MARK}|\n", mergeable_ranks={x: i for i, x in enumerate(order)}, special_tokens={})
 
-    def _marked(self, chunk: str) -> str:
-        """chunk with the mark after each of its words; most are one word, or one with a stop behind it."""
-        if chunk.isalpha():
-            return chunk + _MARK
-        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            return chunk[:-1] + _MARK + chunk[-1] + _MARK
-        return self.split.sub(r"\g<0>" + _MARK, chunk)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of chunks, as bytes, into the cache."""
-        marked = "\n".join(map(self._marked, chunks))
-        codes = np.array(self.fast.encode_ordinary(marked), np.int64)
-        ends = (np.flatnonzero(codes == 10) * 2).tolist()
-        ids = self.ids[codes].astype(np.uint16).tobytes()
-        self.known.update(zip(chunks, [ids[a:b] for a, b in zip([0, *[e + 2 for e in ends]], [*ends, len(ids)], strict=True)], strict=True))
-
     def _encode_plain(self, texts: pa.Array) -> list[np.ndarray]:
-        """Arrow lowers, splits and finds the distinct chunks; ids are then laid out from theirs."""
+        """Arrow lowers, splits and finds the distinct chunks; the ids of texts are then laid out from theirs."""
         chunks = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         coded = chunks.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(self.known.get, distinct))
-        new = [i for i, x in enumerate(ids) if x is None]
-        if new:
-            if len(self.known) + len(new) > self.cache:
-                self.known = {"": b""}
-            self._learn([distinct[i] for i in new])
-            for i in new:
-                ids[i] = self.known[distinct[i]]
-        at = coded.indices.to_numpy()
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        first = np.cumsum(sizes) - sizes
-        lengths = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        place = np.repeat(first[at] - ends[:-1], lengths)
-        place += np.arange(ends[-1])
+        # a mark after each word; most chunks are one word, or one with a stop behind it
+        distinct = coded.dictionary
+        word, stop = pc.utf8_is_alpha(distinct), pc.match_substring_regex(distinct, r"^\p{L}+[.,;:!?]$")
+        other = pc.invert(pc.or_(word, stop))
+        stopped = distinct.filter(stop)
+        marked = pa.concat_arrays([
+            pc.binary_join_element_wise(distinct.filter(word), _MARK, ""),
+            pc.binary_join_element_wise(pc.utf8_slice_codeunits(stopped, 0, -1), _MARK, pc.utf8_slice_codeunits(stopped, -1), _MARK, ""),
+            pc.replace_substring_regex(distinct.filter(other), f"({WORD_PATTERN})", rf"\1{_MARK}"),
+        ])
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.concatenate([np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in (word, stop, other)])] = np.arange(len(distinct))
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(marked)], marked), "\n")[0].as_py()
+        codes = self.fast.encode_to_numpy(lines, disallowed_special=())
+        # a line end stands between two chunks
+        ends = np.append(np.flatnonzero(codes == 10), len(codes))
+        first = np.concatenate([[0], ends[:-1] + 1])
+        at = rank[coded.indices.to_numpy()]
+        lengths = (ends - first)[at]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        place = np.repeat(first[at] - total[:-1], lengths)
+        place += np.arange(total[-1])
         words = np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False))
-        return np.split(np.frombuffer(b"".join(ids), np.uint16)[place], ends[words][:-1])
+        return np.split(self.ids[codes].astype(np.uint16)[place], total[words][:-1])
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as uint16."""
@@ -335,7 +322,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int = BL
 
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            for a, b in by_bytes(sizes, 1 << 21):
+            for a, b in by_bytes(sizes, 1 << 24):
                 part = batch.slice(a, b - a)
                 coded = word_encoder(path).encode_batch([t or "" for t in part.column(1).to_pylist()])
                 for doc_id, ids in zip(part.column(0).to_pylist(), coded, strict=True):
