@@ -47,10 +47,12 @@ def test_safe_chunks(library):
     assert tokens.encoder(BYTES).count([text]) == [len(ids_of(library, BYTES, text))]
 
 
-def test_small_cache(library, documents):
-    encoder = idcoder.WordEncoder(WORDS, cache=50)
-    for t in [r["text"] for r in documents.select("text").limit(40).collect()]:
-        assert encoder.encode_batch([t])[0].tolist() == ids_of(library, WORDS, t)
+def test_batches(library, documents):
+    """Texts encode alike alone and together, whatever stands beside them."""
+    texts = ["", " ", "one", "one two", "\n", "ONE!! it's", "日本 mixed", "", *[r["text"] for r in documents.select("text").limit(40).collect()]]
+    encoder = idcoder.word_encoder(WORDS)
+    assert [x.tolist() for x in encoder.encode_batch(texts)] == [ids_of(library, WORDS, t) for t in texts]
+    assert [x.tolist() for x in encoder.encode_batch(["", "  "])] == [[], []] and encoder.encode_batch([]) == []
 
 
 def test_counts(library, edges, nothing):
