@@ -35,9 +35,9 @@ from loomstead.llm.common import materialize
 from loomstead.llm.tokens import by_bytes, byte_alphabet
 
 MAGIC = b"TIDC0002"
-BLOCK, LANES = 2048, 4096
+BLOCK, LANES = 2048, 2048
 #: Contexts of order 1, and as many of order 2, that a lane remembers by hash.
-CONTEXTS = 512
+CONTEXTS = 256
 BITS, NONE = 14, 0xFFFF
 SEGMENTS = "file long, segment long, n_ids long, data binary"
 RECORDS = "doc_id long, file long, segment long, begin long, n_tokens long, ids_crc32 long"
@@ -322,7 +322,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int = BL
 
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            for a, b in by_bytes(sizes, 1 << 24):
+            for a, b in by_bytes(sizes, 1 << 23):
                 part = batch.slice(a, b - a)
                 coded = word_encoder(path).encode_batch([t or "" for t in part.column(1).to_pylist()])
                 for doc_id, ids in zip(part.column(0).to_pylist(), coded, strict=True):
