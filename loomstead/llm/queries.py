@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.ROTATE_SQL, "op3_license_scan": license.scan_sql(), "op4_url_filter": urls.judge_sql(URL_RULES)}
+    return {"op2_chat_formatting": chat.ROTATE_SQL, "op3_license_scan": license.scan_sql(), "op4_url_filter": urls.judge_sql(URL_RULES), "op8_near_duplicates": neardup.GROUP_SQL}
