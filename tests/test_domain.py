@@ -100,6 +100,20 @@ def test_members_and_invitations(world):
     assert [r["id"] for r in api.my_invitations(world, "u3@X.ORG").collect()] == ["i1"]
 
 
+def test_changes_by_route(world, spark):
+    change = spark.createDataFrame([("p1", None, False, 7, True)], "project_id string, loc_limit int, has_loc_limit boolean, file_limit int, has_file_limit boolean")
+    row = api.update_settings(world, change)["project_settings"].first()
+    assert (row["file_limit"], row["loc_limit"], row["ignored_paths"]) == (7, 9, [])
+    ids = spark.createDataFrame([("i1",), ("i2",)], "id string")
+    revoked = api.revoke_invitations(world, ids)["project_invitations"]
+    assert {r["id"]: r["status"] for r in revoked.collect()} == {"i1": "revoked", "i2": "revoked", "i3": "pending"}
+    gone = spark.createDataFrame([("p1", "u2"), ("p1", "nobody")], "project_id string, user_id string")
+    assert api.remove_members(world, gone)["project_members"].count() == 3
+    again = world["github_connections"].where("id = 'g1'").withColumns({"id": F.lit("new"), "github_username": F.lit("renamed"), "scopes": F.array(F.lit("repo"))})
+    saved = {r["id"]: (r["github_username"], r["scopes"]) for r in api.save_connections(world, again)["github_connections"].collect()}
+    assert saved == {"g1": ("renamed", ["repo"]), "g2": ("g2", [])}
+
+
 def test_profile_takes_latest_connection(world):
     row = api.profile(world, "u1").first()
     assert row["github_connected"] and row["github_username"] == "g2"
