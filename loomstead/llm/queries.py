@@ -35,7 +35,7 @@ URL_RULES = (
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, depth=None)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ allowed unless a rule says otherwise. Repeated rows are pages each; an empty tab
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ class Rule:
         return self.host + self.path
 
 
-#: Segments beyond this depth become one "**".
+#: judge_sql() knows this many levels and makes one "**" of all segments beyond; judge() goes on as deep as `depth` says.
 DEPTH = 4
 #: A node with more children than this, for less than SPREAD pages each, gets a wildcard child.
 MANY, SPREAD = 16, 2
@@ -58,31 +59,48 @@ def rule_of(rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def shape(path: Column) -> Column:
-    """The path with numbers and hexadecimal ids generalised, cut at DEPTH."""
+def shape(path: Column, depth: int | None) -> Column:
+    """The path with numbers and hexadecimal ids generalised; with a depth, what follows it is one "**"."""
     formed = F.transform(
         F.filter(F.split(path, "/"), lambda s: s != ""),
         lambda s: F.when(s.rlike("^[0-9]+([.][A-Za-z0-9]+)?$"), F.regexp_replace(s, "^[0-9]+", "<n>")).when(s.rlike("^[0-9a-fA-F-]{8,}$"), F.lit("<h>")).otherwise(s),
     )
-    return F.concat(F.lit("/"), F.array_join(F.slice(formed, 1, DEPTH), "/"), F.when(F.size(formed) > DEPTH, "/**").otherwise(""))
-
-
-def with_templates(counted: DataFrame) -> DataFrame:
-    """counted (host, shape, ...) with template: level by level, nodes with many children get a wildcard."""
-    counted = materialize(counted.withColumn("template", F.lit("")))
-    total = counted.count()
-    for depth in range(1, DEPTH + 1):
-        here = counted.withColumn("_s", F.nullif(F.try_element_at(F.split("shape", "/"), F.lit(depth + 1)), F.lit("")))
+    if depth is None:
+        return F.concat(F.lit("/"), F.array_join(formed, "/"))
+    return F.concat(F.lit("/"), F.array_join(F.slice(formed, 1, depth), "/"), F.when(F.size(formed) > depth, "/**").otherwise(""))
+
+
+def with_templates(counted: DataFrame, depth: int | None) -> DataFrame:
+    """counted (host, shape, ...) with template: level by level, nodes with many children get a wildcard.
+
+    A node of at most MANY shapes has no more children than that, nor has any node below it: its paths are finished
+    as they are, and the others go on until none is left. Each level reads the unfinished paths of the level above.
+    """
+    columns = [*counted.columns, "template"]
+    segments = F.filter(F.split("shape", "/"), lambda s: s != "")
+    segments = segments if depth is None else F.slice(segments, 1, depth)
+    done = []
+    here = materialize(counted.withColumn("template", F.lit("")).withColumn("_left", segments))
+    while True:
+        done.append(here.where(F.size("_left") == 0).select(*columns))
+        here = here.where(F.size("_left") > 0)
+        if not (total := here.count()):
+            break
+        here = here.withColumn("_s", F.element_at("_left", 1))
         fixed = F.col("_s").startswith("<") | F.col("_s").startswith("*")
-        children = here.where(F.col("_s").isNotNull()).groupBy("host", "template", "_s").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-        free = F.when(~F.col("_s").startswith("<") & ~F.col("_s").startswith("*"), 1)
+        children = here.groupBy("host", "template", "_s").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+        free = F.when(~fixed, 1)
         nodes = children.groupBy("host", "template").agg(F.count(free).alias("kids"), F.sum(F.when(free.isNotNull(), F.col("n"))).alias("pages"), F.sum("rows").alias("rows"))
-        wide = nodes.where((F.col("kids") > MANY) & (F.col("kids") * SPREAD > F.col("pages"))).select("host", "template", "rows", F.lit(True).alias("_w"))
-        joined = skew_safe_left_join(here, wide, ["host", "template"], "rows", total)
+        wide = F.coalesce((F.col("kids") > MANY) & (F.col("kids") * SPREAD > F.col("pages")), F.lit(False))
+        large = nodes.where(F.col("rows") > MANY).select("host", "template", "rows", wide.alias("_w"))
+        joined = skew_safe_left_join(here, large, ["host", "template"], "rows", total)
         step = F.when(F.col("_w") & ~fixed, "*").otherwise(F.col("_s"))
-        counted = materialize(joined.withColumn("template", F.when(F.col("_s").isNotNull(), F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop("_s", "_w"))
-    deep = F.when(F.col("shape").endswith("/**"), "/**").otherwise("")
-    return counted.withColumn("template", F.concat(F.when(F.col("template") == "", "/").otherwise(F.col("template")), deep))
+        whole = F.concat("template", F.lit("/"), F.array_join("_left", "/"))
+        template = F.when(F.col("_w").isNull(), whole).otherwise(F.concat("template", F.lit("/"), step))
+        left = F.when(F.col("_w").isNull(), F.slice("_left", 1, 0)).otherwise(F.expr("slice(_left, 2, size(_left))"))
+        here = materialize(joined.withColumns({"template": template, "_left": left}).drop("_s", "_w"))
+    deep = F.when(F.col("shape").endswith("/**"), "/**").otherwise("") if depth is not None else F.lit("")
+    return reduce(DataFrame.unionByName, done).withColumn("template", F.concat(F.when(F.col("template") == "", "/").otherwise(F.col("template")), deep))
 
 
 def merged(templates: DataFrame) -> DataFrame:
@@ -99,13 +117,16 @@ def merged(templates: DataFrame) -> DataFrame:
     return near.withColumn("branch", F.when(similar, F.col("form")).otherwise(F.col("template"))).drop("form", "all", "bad")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...], reject: float = REJECT) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity of every row of pages (page_id, url)."""
-    ruled = parsed(pages).withColumn("_rule", rule_of(rules)).withColumn("shape", shape(F.col("path")))
+def judge(pages: DataFrame, rules: tuple[Rule, ...], reject: float = REJECT, depth: int | None = DEPTH) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, purity of every row of pages (page_id, url).
+
+    With depth None, as the query has it, the tree is as deep as the paths. With a depth it is cut there, as in the SQL.
+    """
+    ruled = parsed(pages).withColumn("_rule", rule_of(rules)).withColumn("shape", shape(F.col("path"), depth))
     counted = ruled.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("_rule").alias("labelled"), F.count(F.when(F.col("_rule.verdict") == "block", 1)).alias("blocked")
     )
-    shapes = materialize(with_templates(counted))
+    shapes = materialize(with_templates(counted, depth))
     templates = materialize(merged(shapes.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.count("*").alias("shapes"))))
     total = shapes.agg(F.sum("labelled"), F.sum("blocked"), F.sum("n"), F.count("*")).first()
     labelled, blocked, n_pages, n_shapes = (x or 0 for x in total)

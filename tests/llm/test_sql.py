@@ -69,6 +69,22 @@ def test_url_rejects_by_labels(spark):
     assert got[2050] == "block" and got[3050] == "allow"
 
 
+def test_url_deep_branches(spark, tmp_path):
+    """The query's tree is as deep as the paths: branches that differ only from the fifth segment on, or far below, are apart."""
+    spam, good = "http://h.net/es/b/c/d/e/spam", "http://h.com/fr/b/c/d/e/good"
+    far = "/".join(f"s{i}" for i in range(12))
+    rules = (urls.Rule("block", "h.org", "/a/b/c/d/spam/x"), urls.Rule("allow", "h.org", "/a/b/c/d/good/x"))
+    rows = [(i, f"http://h.org/a/b/c/d/{('spam', 'good')[i % 2]}/{'x' if i < 400 else 'y'}{i}") for i in range(800)]
+    rows += [(1000 + i, f"http://f.org/{far}/{'pq'[i % 2]}/k{i}/z") for i in range(60)] + [(2000, f"{spam}/1"), (2001, f"{good}/2")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, depth=None).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["verdict"] == ("allow" if i % 2 else "block") for i in range(800))
+    assert {got[i]["template"] for i in range(800)} == {"/a/b/c/d/spam/*", "/a/b/c/d/good/*"}
+    assert {got[1000 + i]["template"] for i in range(60)} == {f"/{far}/p/*/z", f"/{far}/q/*/z"}
+    spark.createDataFrame([(1, spam + "/1")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r["template"] for r in queries.op4_url_filter(spark, str(tmp_path)).collect()] == ["/+/+/+/+/+/+/<n>"]
+
+
 def test_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://h.com/a", "x", 1)], "page_id long, url string, host string, n long")
     assert urls.judge(pages, queries.URL_RULES).count() == 1
