@@ -3,7 +3,8 @@
 An item of n words may be off by k = floor(error_rate * n) words inserted, dropped or replaced. Of k + 1 pieces
 that it is split into, one at least then stands in the document unchanged: exact hits of pieces are looked up, and
 Myers' bit-parallel distance confirms the words around them. Words are runs of letters and digits, compared in
-lower case. Items without words match nothing; short items (k = 0) match only whole. Null and empty texts hold no
+lower case; scripts that are written without spaces (Chinese, Japanese, Thai, ...) have no such runs, so each of their
+letters, digits and vowel or tone signs is a word of its own. Items without words match nothing; short items (k = 0) match only whole. Null and empty texts hold no
 item. Repeated rows give repeated results; an empty benchmark or empty documents give none.
 
 The benchmark is a query set against all rows: it is taken in blocks of at most `block_items` items, each
@@ -13,6 +14,7 @@ broadcast alone.
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -27,11 +29,25 @@ from loomstead.llm.common import materialize
 
 FOUND = "array<struct<item_id:bigint,item_words:int,distance:int,first_word:bigint,last_word:bigint>>"
 _WORD = re.compile(r"[^\W_]+")
+#: Blocks of scripts without spaces: Thai, Lao, Myanmar, Khmer, Tai Le, New Tai Lue, Tai Tham, Balinese, Javanese, Tai Viet, kana, Bopomofo, Ahom.
+_MIXED_BLOCKS = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C),
+    (0x3041, 0x30FF), (0x3105, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xFF66, 0xFF9F), (0x116D0, 0x1174F), (0x1AFF0, 0x1B16F),
+)
+#: Ideographs and syllables throughout: Han, Yi, Tangut, Khitan, Nushu.
+_WHOLE_BLOCKS = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA48C), (0xF900, 0xFAFF), (0x17000, 0x18D8F), (0x1B170, 0x1B2FF), (0x20000, 0x3FFFD))
+_SIGNS, _LETTERS = ("".join(chr(c) for a, b in _MIXED_BLOCKS for c in range(a, b + 1) if unicodedata.category(chr(c))[0] in kinds) for kinds in ("M", "LN"))
+_UNSPACED = re.compile(f"[{_SIGNS}{_LETTERS}{''.join(f'{chr(a)}-{chr(b)}' for a, b in _WHOLE_BLOCKS)}]")
+_WORD_OR_SIGN = re.compile(rf"[^\W_]+|[{_SIGNS}]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    alone = None if text.isascii() else _UNSPACED.findall("".join(set(text)))
+    if not alone:
+        return _WORD.findall(text)
+    return _WORD_OR_SIGN.findall(text.translate({ord(c): f" {c} " for c in alone}))
 
 
 def myers(codes: list[int], masks: dict[int, int], m: int) -> tuple[int, int]:

@@ -70,6 +70,26 @@ def test_against_brute_force(spark, texts):
         assert nearest(decontam.words(dict(items)[r["item_id"]]), part) == r["distance"]
 
 
+def test_unspaced_scripts(spark):
+    """Items in scripts without spaces, copied into longer clauses, with a character changed, dropped or added."""
+    items = [
+        (1, "水在标准大气压下于一百度沸腾，在零度结冰。"), (2, "光合作用は植物が光をエネルギーに変える過程です。"), (3, "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"),
+        (4, "ភ្នំពេញជារាជធានីនៃប្រទេសកម្ពុជា"), (5, "用Python3计算前十个质数的和是多少"),
+    ]
+    docs = []
+    for i, text in items:
+        m = len(text) // 2
+        for j, body in enumerate((text, text[: m - 1] + "龍" + text[m:], text[: m - 1] + text[m:], text[:m] + "龍" + text[m:])):
+            docs.append((10 * i + j, f"众所周知我们都说{body}这是真的"))
+    docs += [(100, "水在火上。一百度很热，零度很冷。"), (101, "กรุงเทพ และ เมืองไทย"), (102, "Water boils at 100 degrees."), (103, "用Python4计算")]
+    want = brute(items, docs)
+    assert set(want) == {(10 * i + j, i) for i, _ in items for j in range(4)} and set(want.values()) == {0, 1}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.leaks(d, b).collect()} == want
+    assert {r["doc_id"] for r in decontam.without_leaks(d, b).collect()} == {100, 101, 102, 103}
+    assert decontam.words("Foo_bar naïve 東京tower2本 ที่") == ["foo", "bar", "naïve", "東", "京", "tower2", "本", "ท", "ี", "่"]
+
+
 def test_table(spark, sf_dir, documents):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     docs = [tuple(r) for r in documents.where("n_chars < 1500").select("doc_id", "text").limit(120).collect()]
