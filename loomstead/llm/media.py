@@ -121,9 +121,6 @@ def _sections(grid: np.ndarray, pid: int, table: int) -> Iterator[bytes]:
         yield section[8:-4]
 
 
-_known_tables: dict[bytes, tuple[int, int]] = {}
-
-
 def _programs(grid: np.ndarray) -> tuple[int, int]:
     """Pid and type of the first elementary stream that the tables name."""
     for body in _sections(grid, PAT_PID, 0):
@@ -143,12 +140,7 @@ def demux(media: bytes) -> Stream:
     grid = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (grid[:, 0] != SYNC).any():
         raise ValueError("lost sync")
-    head = media[: 2 * PACKET]
-    if head not in _known_tables:
-        if len(_known_tables) > 64:
-            _known_tables.clear()
-        _known_tables[head] = _programs(grid)
-    pid, kind = _known_tables[head]
+    pid, kind = _programs(grid)
     numbers = np.flatnonzero(((grid[:, 1] & 0x1F).astype(np.int64) << 8 | grid[:, 2]) == pid)
     own = grid[numbers]
     counters = (own[:, 3] & 15).astype(np.int64)

@@ -48,6 +48,17 @@ def test_damage():
     assert media.demux(bytes(skipped)).counter_errors > 0
 
 
+def test_later_tables():
+    """The tables are those of the stream itself, though an earlier one began with the same packets."""
+    stream, null = media.mux(b"x" * 5000), b"\x47\x1f\xff\x10" + b"\xff" * 184
+    late = stream[:188] + null + stream[188:]
+    assert media.demux(late).payload == b"x" * 5000
+    bad = bytearray(late)
+    bad[2 * 188 + 15] ^= 0xFF
+    with pytest.raises(ValueError):
+        media.demux(bytes(bad))
+
+
 def test_columns(documents, edges, nothing):
     for df, rows in ((documents, [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]), (edges, EDGES)):
         got = media.describe(media.with_media(df)).collect()
