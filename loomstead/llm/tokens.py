@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose class every Unicode version and regex engine agrees.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-ɏ–—‘’“”…]")
-#: Before such a space a byte-level token always begins, and no special string spans it.
-_SAFE = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Before a space or line end behind something else, and before an ideographic stop behind a letter of its scripts, a
+#: token always begins and no special string goes on.
+_SAFE = re.compile(r"(?<=\S)[ \n]|(?<=[ぁ-んァ-ヶ一-鿿])[、。]")
 CHUNK = 1 << 16
 _loaded: dict[str, ByteLevelEncoder] = {}
 
