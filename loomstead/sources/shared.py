@@ -20,14 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here, and lost executors lose nothing.
+def materialize(df: DataFrame, destination: str | None = None) -> DataFrame:
+    """Write df as Parquet and read it back: lineage ends here, and lost executors lose nothing.
 
-    The files go when the driver's JVM ends.
+    Tables go into the shared folder and are deleted when the driver's JVM ends, or stay in the folder `destination`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = destination or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if not destination:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
