@@ -41,7 +41,7 @@ from loomstead.llm.common import materialize
 from loomstead.llm.tokens import by_bytes, byte_alphabet, safe_chunks
 
 MAGIC = b"TIDC0003"
-BLOCK, LANES = 2048, 8192
+BLOCK, LANES = 2048, 4096
 #: Contexts of order 1, and as many of order 2, that a lane remembers, each with a check of its key.
 CONTEXTS = 512
 #: Frequency tables of order 0 in a segment, out of 2^FINE each; a block's choice of one is made anew every CHUNK ids.
@@ -60,7 +60,8 @@ _EVEN = _END // 3 | 2 * _END // 3 << FIELD
 _STEP = np.array([sum(((_END >> 5) - 3 + j if outcome <= j else j + 1) << FIELD * j for j in range(2)) for outcome in range(3)])
 _WEIGHTS = 64
 #: Hashes of the last id and of the last two: the former tell all ids of 16 bits apart, the latter are of 22 bits.
-_MULTIPLIERS, _KEYS = np.array([[40503], [60493]], np.int32), np.array([[0xFFFF], [0x3FFFFF]], np.int32)
+_MULTIPLIERS = np.array([[0x9E3779B1], [0x85EBCA77]], np.uint32).view(np.int32)
+_SHIFTS, _KEYS = np.array([[0], [10]], np.int32), np.array([[0xFFFF], [0x3FFFFF]], np.int32)
 #: The coder's register has 62 bits, of which 32 at a time leave. An interval is at least 2^30 wide, enough for BITS + FINE.
 _REST, _LEAST = (1 << 30) - 1, 1 << 30
 
@@ -160,6 +161,7 @@ class Model:
         """The mixed thresholds between order 2 and order 1 being right, and order 0 being needed."""
         np.multiply(self.past, _MULTIPLIERS, out=self.products)
         self.products[1] += self.products[0]
+        self.products >>= _SHIFTS
         self.products &= _KEYS
         self.at, self.check = self.row + (self.products & CONTEXTS - 1), (self.products & -CONTEXTS) << 9
         cell = self.cells[self.at]
@@ -461,7 +463,7 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int = 1, destination: str | None = None, segment_ids: int = BLOCK * LANES, partition_bytes: int = 48 << 20) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, end_id: int = 1, destination: str | None = None, segment_ids: int = BLOCK * LANES, partition_bytes: int = 24 << 20) -> DataFrame:
     """SEGMENTS of docs (doc_id, text) in ascending order of doc_id, as stored.
 
     They are Parquet files in the folder `destination`, which must not exist yet, or in the shared folder for
