@@ -16,8 +16,13 @@ are linked, confirmed on the full sets; a component is what links reach.
    LONG members, pairs across components meet; the members of longer lists are indexed again by their full sets and
    by narrow classes of size. There a set that has a seventh of its values to itself is in no list of its size.
 
+   Lists with the same entries, which a shared passage makes many of, are looked at once, and pairs meet in the list
+   of their rarest common value only if enough values are left behind it.
+
 Null and empty texts, and rows without doc_id, are linked with nothing; the latter have no component and are kept.
-Exact repeats of a row are one document. An empty table gives no rows.
+Exact repeats of a row are one document, and of texts with equal sets (ties) the smallest doc_id stands for all. Very
+long texts are hashed in slabs, in memory of some ten times their size. Other columns of docs, whatever their
+names, are not read, and `keep_first` gives them back. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +41,19 @@ from loomstead.llm.common import materialize, skew_safe_left_join
 from loomstead.llm.tokens import by_bytes
 
 SHINGLE, SIMILARITY, RETAINED = 5, 75, 64
+#: The chance that sketches lose a pair of the least similarity that is linked; 0 takes full sets throughout.
+RISK = 1e-8
 #: Lists in which everyone meets at once, and lists beyond which members are indexed again.
 SHORT, LONG = 4, 32
 SKETCHES = "doc_id long, n_shingles long, class binary, sketch array<long>"
 SETS = "doc_id long, values array<long>"
-#: Ids are dealt over so many bits, which go to the tasks that read texts again.
-BITS = 1 << 20
+#: Texts of which full sets are wanted are marked in a filter of FILTER_BITS bits for each, which goes to the tasks that
+#: read texts again; a filter of more than MOST_BITS (8 MB) isn't made, wanted texts are then shuffled by a join.
+FILTER_BITS, MOST_BITS = 12, 1 << 26
+#: Texts longer than twice this are hashed in slabs.
+SLAB = 1 << 20
+#: Entries of a list that meet the others in one task.
+PART = 512
 _M1, _M2, _M3, _P, _Q = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -66,10 +78,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _sets(raw: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    if not len(raw):
-        return [np.zeros(0, np.int64)] * len(sizes)
+def _slab_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of raw begin, and their hashes; bounds are between texts."""
     ink = ~_SPACE[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[bounds] = True
@@ -77,7 +87,34 @@ def _sets(raw: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     end = np.flatnonzero(ink & (first[1:] | ~np.concatenate([ink[1:], [False]]))) + 1
     power, inverse = _power_tables(len(raw) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[: len(raw)])])
-    word = _mix((total[end] - total[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64) * _M3)
+    return begin, _mix((total[end] - total[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64) * _M3)
+
+
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, in slabs of about SLAB bytes that end at white space or between texts."""
+    if len(raw) <= 2 * SLAB:
+        return _slab_words(raw, bounds)
+    begins, hashes, start = [], [], 0
+    while start < len(raw):
+        end = min(start + SLAB, len(raw))
+        following = bounds[np.searchsorted(bounds, end)]
+        while end < following and not (gap := _SPACE[raw[end : min(end + 4096, following)]]).any():
+            end = min(end + 4096, following)
+        if end < following:
+            end += int(gap.argmax())
+        inside = bounds[(bounds > start) & (bounds < end)] - start
+        begin, word = _slab_words(raw[start:end], np.concatenate([[0], inside, [end - start]]))
+        begins.append(begin + start)
+        hashes.append(word)
+        start = end
+    return np.concatenate(begins), np.concatenate(hashes)
+
+
+def _sets(raw: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    if not len(raw):
+        return [np.zeros(0, np.int64)] * len(sizes)
+    begin, word = _words(raw, bounds)
     edges = np.searchsorted(begin, bounds)
     n = len(word)
     wide = np.zeros(n, np.uint64)
@@ -126,35 +163,41 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
-def _bit(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(BITS))
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """SETS of the documents in wanted (doc_id): texts are read again where they lie, and only sets are shuffled.
+    """SETS of the documents in wanted (doc_id), which are read again.
 
-    A bitmap of BITS bits, whatever the size of wanted, tells tasks which texts to leave out.
+    A filter sized by the number of wanted documents tells tasks which texts to leave out where they lie; beyond
+    MOST_BITS the texts are joined with the wanted ids first. Either way only the sets of few others are shuffled.
     """
-    spot = _bit(F.col("doc_id")) + 1
-    maps = wanted.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    bits = np.zeros(BITS, bool)
+    wanted = materialize(wanted.distinct())
+    named, count = docs.where(F.col("doc_id").isNotNull()), wanted.count()
+    if count * FILTER_BITS > MOST_BITS:
+        chosen = named.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return materialize(chosen.mapInArrow(lambda batches: _set_batches(batches), SETS))
+    bits = 1 << max(16, (count * FILTER_BITS - 1).bit_length())
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = wanted.select(F.bitmap_bucket_number(spot + 1).alias("k"), F.bitmap_bit_position(spot + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    marks = np.zeros(bits, bool)
     for r in maps:
         part = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
-        bits[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
-    packed = np.packbits(bits).tobytes()
+        marks[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(marks).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(marked[batch.column(1).to_numpy()]))
-            for a, b, sets in shingle_sets(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), _lists(sets)], names=["doc_id", "values"])
+        marked = np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
+        yield from _set_batches(batch.filter(pa.array(marked[batch.column(2).to_numpy()])) for batch in batches)
+
+    read = named.select("doc_id", "text", spot.alias("bit")).mapInArrow(run, SETS)
+    return materialize(read.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    read = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, SETS)
-    return materialize(read.join(wanted.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, sets in shingle_sets(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), _lists(sets)], names=["doc_id", "values"])
 
-def least_shared(retained: int, similarity: int, risk: float = 1e-8) -> int:
+
+def least_shared(retained: int, similarity: int, risk: float = RISK) -> int:
     """The most c for which fewer than c of the union's retained values are shared by a linked pair with this risk at most."""
     p, below = similarity / 100, 0.0
     for c in range(retained + 1):
@@ -164,10 +207,10 @@ def least_shared(retained: int, similarity: int, risk: float = 1e-8) -> int:
     return retained
 
 
-def required(n: Column, retained: int, similarity: int) -> Column:
+def required(n: Column, retained: int, similarity: int, risk: float) -> Column:
     """How many retained values a set of n shares with a linked one."""
     # partners of sets that small are retained as a whole too
-    return F.when(n <= retained * similarity // 100, F.ceil(n * similarity / 100)).otherwise(least_shared(retained, similarity))
+    return F.when(n <= retained * similarity // 100, F.ceil(n * similarity / 100)).otherwise(least_shared(retained, similarity, risk))
 
 
 def _class(n: Column, ratio: float) -> Column:
@@ -178,12 +221,14 @@ def _shared_values(sets: DataFrame, held: Column) -> DataFrame:
     """doc_id, n, shared (its values that other sets have, the rarest first), alone (how many others have not)."""
     postings = sets.select("doc_id", "n", F.explode("values").alias("value"))
     common = materialize(postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = postings.join(common, "value").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    total = common.agg(F.sum("df")).first()[0] or 0
+    known = skew_safe_left_join(postings, common.withColumn("rows", F.col("df")), ["value"], "rows", total).where(F.col("df").isNotNull())
+    shared = known.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     return shared.withColumn("alone", held - F.size("shared"))
 
 
 def _entries(shared: DataFrame, ratio: float, least: Column, similarity: int, held: Column) -> DataFrame:
-    """The lists: value, class, doc_id, n, alone, own.
+    """The lists: value, df, class, doc_id, n, alone, place (of the value among the set's, the rarest first), own.
 
     A list is of one value and, for linked pairs, of the size class of the smaller set: a set is entered under its
     own class and under those of smaller partners. `least` is what it shares at least with a set of its class
@@ -192,15 +237,15 @@ def _entries(shared: DataFrame, ratio: float, least: Column, similarity: int, he
     own, lowest = _class(F.col("n"), ratio), _class(F.ceil(F.col("n") * similarity / 100), ratio)
     dealt = shared.withColumn("class", F.explode(F.sequence(lowest, own)))
     taken = F.greatest(F.lit(0), held - least + 1 - F.col("alone")).cast("int")
-    rows = dealt.withColumn("_v", F.explode(F.slice("shared", F.lit(1), taken)))
-    return materialize(rows.select(F.col("_v.value").alias("value"), "class", "doc_id", "n", "alone", (F.col("class") == own).alias("own")))
+    rows = dealt.select("class", "doc_id", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), taken)).alias("_p", "_v"))
+    return materialize(rows.select("_v.value", "_v.df", "class", "doc_id", "n", "alone", (F.col("alone") + F.col("_p")).alias("place"), (F.col("class") == own).alias("own")))
 
 
-def sketch_lists(classes: DataFrame, retained: int, similarity: int) -> DataFrame:
+def sketch_lists(classes: DataFrame, retained: int, similarity: int, risk: float) -> DataFrame:
     """Lists of the sketches of classes (doc_id, n, sketch)."""
     held = F.least("n", F.lit(retained))
     shared = _shared_values(classes.select("doc_id", "n", F.col("sketch").alias("values")), held)
-    return _entries(shared, 100 / similarity, required(F.col("n"), retained, similarity), similarity, held)
+    return _entries(shared, 100 / similarity, required(F.col("n"), retained, similarity, risk), similarity, held)
 
 
 def whole_lists(sets: DataFrame, similarity: int, ratio: float = 1.04) -> DataFrame:
@@ -211,12 +256,21 @@ def whole_lists(sets: DataFrame, similarity: int, ratio: float = 1.04) -> DataFr
     return _entries(shared, ratio, least, similarity, F.col("n"))
 
 
-def _pairs(met: DataFrame, whole: bool, similarity: int) -> DataFrame:
-    """Distinct pairs a < b with na, nb that can be linked, of met (structs x and y of doc_id, n, alone)."""
+#: What an entry brings to a meeting.
+_ENTRY = ("doc_id", "n", "alone", "place")
+
+
+def _fits(whole: bool, similarity: int) -> Column:
+    """Whether x and y (structs of _ENTRY), who meet in a list, can be linked."""
     n = {c: F.col(f"{c}.n") for c in "xy"}
     fits = (F.least(n["x"], n["y"]) * 100 >= F.greatest(n["x"], n["y"]) * similarity) & (F.col("x.doc_id") != F.col("y.doc_id"))
-    if whole:  # values that only one of them has can't be shared
-        fits &= F.least(n["x"] - F.col("x.alone"), n["y"] - F.col("y.alone")) * (100 + similarity) >= (n["x"] + n["y"]) * similarity
+    if whole:  # in the list of their rarest common value they share nothing before it, and no value that one of them has alone
+        fits &= F.least(n["x"] - F.col("x.place"), n["y"] - F.col("y.place")) * (100 + similarity) >= (n["x"] + n["y"]) * similarity
+    return fits
+
+
+def _pairs(met: DataFrame, fits: Column) -> DataFrame:
+    """Distinct pairs a < b with na, nb, of met (structs x and y of _ENTRY)."""
     ordered = F.col("x.doc_id") < F.col("y.doc_id")
     first, second = F.when(ordered, F.col("x")).otherwise(F.col("y")), F.when(ordered, F.col("y")).otherwise(F.col("x"))
     return met.where(fits).select(first["doc_id"].alias("a"), second["doc_id"].alias("b"), first["n"].alias("na"), second["n"].alias("nb")).distinct()
@@ -224,44 +278,61 @@ def _pairs(met: DataFrame, whole: bool, similarity: int) -> DataFrame:
 
 def star_pairs(lists: DataFrame, whole: bool, similarity: int) -> DataFrame:
     """Each entry of a list with the one that has least to itself, and everyone in short lists."""
-    entry = F.struct("doc_id", "n", "alone")
-    heads = lists.groupBy("value", "class").agg(F.min(F.when(F.col("own"), F.struct("alone", "doc_id", "n"))).alias("x"), F.count("*").alias("m"))
+    entry, fits = F.struct(*_ENTRY), _fits(whole, similarity)
+    heads = lists.groupBy("value", "class").agg(F.min(F.when(F.col("own"), F.struct("alone", "doc_id", "n", "place"))).alias("x"), F.count("*").alias("m"))
     heads = materialize(heads.where((F.col("m") > 1) & F.col("x").isNotNull()))
-    stars = lists.join(heads.drop("m"), ["value", "class"]).select(F.struct("x.doc_id", "x.n", "x.alone").alias("x"), entry.alias("y"))
+    total = heads.agg(F.sum("m")).first()[0] or 0
+    stars = skew_safe_left_join(lists, heads, ["value", "class"], "m", total).where(F.col("x").isNotNull()).select(F.struct(*[f"x.{c}" for c in _ENTRY]).alias("x"), entry.alias("y"))
     few = materialize(lists.join(heads.where(F.col("m").between(3, SHORT)).select("value", "class"), ["value", "class"]))
     all_few = few.select("value", "class", entry.alias("x"), "own").join(few.where("own").select("value", "class", entry.alias("y")), ["value", "class"])
-    return materialize(_pairs(stars.unionByName(all_few.select("x", "y")), whole, similarity))
+    return materialize(_pairs(stars.unionByName(all_few.select("x", "y")), fits))
 
 
-def cross_pairs(lists: DataFrame, components: DataFrame, longest: int | None, whole: bool, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across components in lists of at most `longest` entries, and who is in longer ones (doc_id).
+def meetings(lists: DataFrame, components: DataFrame, longest: int | None) -> tuple[DataFrame, DataFrame]:
+    """Who meets (x, y) across components in lists of at most `longest` entries, and who is in longer ones (doc_id).
 
-    In each list those outside its largest component meet everyone of another component.
+    In each list those outside its largest component meet everyone of another component. Of lists with the same
+    entries, such as those of a passage, only that of the rarest value is looked at.
     """
     placed = materialize(lists.join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    parts = placed.groupBy("value", "class", "component").agg(F.count("*").alias("m"), F.count(F.when(F.col("own"), 1)).alias("own"))
-    mixed = parts.groupBy("value", "class").agg(F.sum("m").alias("m"), F.sum("own").alias("own"), F.count("*").alias("parts"), F.max(F.struct("m", "component"))["component"].alias("main"))
-    mixed = materialize(mixed.where((F.col("parts") > 1) & (F.col("own") > 0) & (F.col("m") > SHORT)).drop("parts", "own"))
+    digest = (F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("x"))
+    parts = placed.groupBy("value", "df", "class", "component").agg(F.count("*").alias("m"), F.count(F.when(F.col("own"), 1)).alias("own"), *digest)
+    mixed = parts.groupBy("value", "df", "class").agg(
+        F.sum("m").alias("m"), F.sum("own").alias("own"), F.count("*").alias("parts"), F.max(F.struct("m", "component"))["component"].alias("main"),
+        F.sum("s").alias("s"), F.bit_xor("x").alias("x"),
+    )
+    mixed = mixed.where((F.col("parts") > 1) & (F.col("own") > 0) & (F.col("m") > SHORT))
+    mixed = materialize(mixed.groupBy("class", "m", "s", "x").agg(F.min(F.struct("df", "value"))["value"].alias("value"), F.first("main").alias("main")))
     here = mixed.where(F.col("m") <= longest) if longest else mixed
-    members = materialize(placed.join(here.drop("m"), ["value", "class"]))
-    side = lambda name: members.select("value", "class", F.struct("doc_id", "n", "alone").alias(name), F.struct("component", "own", (F.col("component") == F.col("main")).alias("main")).alias(f"{name}_"))
-    left, right = side("x").where("NOT x_.main"), side("y")
+    members = materialize(placed.join(here.select("value", "class", "main", F.ceil(F.col("m") / PART).cast("int").alias("parts")), ["value", "class"]))
+    # long lists are dealt over several tasks by their outsiders
+    left = members.where("component <> main").select("value", "class", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), *_side("x"))
+    right = members.select("value", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), *_side("y"))
     # pairs of two outsiders meet once
-    met = left.join(right, ["value", "class"]).where((F.col("x_.component") != F.col("y_.component")) & (F.col("x_.own") | F.col("y_.own")) & (F.col("y_.main") | (F.col("x.doc_id") < F.col("y.doc_id"))))
-    pairs = materialize(_pairs(met, whole, similarity))
+    met = left.join(right, ["value", "class", "part"]).where((F.col("x_.component") != F.col("y_.component")) & (F.col("x_.own") | F.col("y_.own")) & (F.col("y_.main") | (F.col("x.doc_id") < F.col("y.doc_id"))))
     if not longest:
-        return pairs, placed.select("doc_id").limit(0)
-    return pairs, materialize(placed.join(mixed.where(F.col("m") > longest), ["value", "class"], "left_semi").select("doc_id").distinct())
+        return met, placed.select("doc_id").limit(0)
+    return met, materialize(placed.join(mixed.where(F.col("m") > longest), ["value", "class"], "left_semi").select("doc_id").distinct())
+
+
+def _side(name: str) -> tuple[Column, Column]:
+    return F.struct(*_ENTRY).alias(name), F.struct("component", "own", (F.col("component") == F.col("main")).alias("main")).alias(f"{name}_")
+
+
+def cross_pairs(lists: DataFrame, components: DataFrame, longest: int | None, whole: bool, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of those who meet and can be linked, and who is in longer lists (doc_id)."""
+    met, crowded = meetings(lists, components, longest)
+    return materialize(_pairs(met, _fits(whole, similarity))), crowded
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, retained: int, similarity: int) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, retained: int, similarity: int, risk: float) -> DataFrame:
     """The pairs that the sketch of their union doesn't rule out: a, b."""
     of = lambda side: classes.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"s{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared, union = F.array_intersect("sa", "sb"), F.array_union("sa", "sb")
     in_sketch = F.size(F.array_intersect(shared, F.slice(F.array_sort(union), 1, retained)))
     whole = F.greatest("na", "nb") <= retained
-    likely = F.when(whole, F.size(shared) * 100 >= F.size(union) * similarity).otherwise(in_sketch >= least_shared(retained, similarity))
+    likely = F.when(whole, F.size(shared) * 100 >= F.size(union) * similarity).otherwise(in_sketch >= least_shared(retained, similarity, risk))
     return materialize(both.where(likely).select("a", "b"))
 
 
@@ -273,6 +344,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return materialize(both.where(shared * 100 >= (F.size("va") + F.size("vb") - shared) * similarity).select("a", "b"))
 
 
+def _followed(pointer: DataFrame, ahead: DataFrame) -> DataFrame:
+    """pointer (a, p) with q, where p points to in ahead; an end that very many point to is no hot key."""
+    sizes = pointer.groupBy("p").agg(F.count("*").alias("rows"))
+    ends = sizes.join(ahead.select(F.col("a").alias("p"), F.col("p").alias("q")), "p")
+    return skew_safe_left_join(pointer, ends, ["p"], "rows", pointer.count())
+
+
 def connected(links: DataFrame) -> DataFrame:
     """doc_id, component (the smallest id reachable) of all ends of links (a, b).
 
@@ -284,16 +362,14 @@ def connected(links: DataFrame) -> DataFrame:
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pointer = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
         while True:
-            ahead = pointer.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            jumped = materialize(pointer.join(ahead, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            jumped = materialize(_followed(pointer, pointer).select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
             pointer = jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
         if found is None:
             found = pointer
         else:
-            later = pointer.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            found = materialize(found.join(later, "p", "left").select("a", F.coalesce("q", "p").alias("p")))
+            found = materialize(_followed(found, pointer).select("a", F.coalesce("q", "p").alias("p")))
         at = lambda side: pointer.select(F.col("a").alias(side), F.col("p").alias(f"p{side}"))  # noqa: E731, B023
         ends = rest.join(at("a"), "a").join(at("b"), "b").where("pa <> pb")
         rest = materialize(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
@@ -302,47 +378,55 @@ def connected(links: DataFrame) -> DataFrame:
     return found.select(F.col("a").alias("doc_id"), F.col("p").alias("component"))
 
 
-def links_between(docs: DataFrame, classes: DataFrame, retained: int, similarity: int) -> DataFrame:
+def whole_links(sets: DataFrame, similarity: int, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between full sets (doc_id, values), and known ones, that connect what all links connect."""
+    lists = whole_lists(sets, similarity)
+    # these pairs are bounded by what full sets can share, so a sketch says no more
+    links = verified(star_pairs(lists, True, similarity), sets, similarity)
+    links = materialize(links.unionByName(known)) if known else links
+    pairs, _ = cross_pairs(lists, connected(links), None, True, similarity)
+    return links if pairs.isEmpty() else materialize(links.unionByName(verified(pairs, sets, similarity)))
+
+
+def links_between(docs: DataFrame, classes: DataFrame, retained: int, similarity: int, risk: float) -> DataFrame:
     """Links (a, b) that connect what all links between classes (doc_id, n, sketch) connect."""
+    if risk <= 0:
+        return whole_links(full_sets(docs, classes.select("doc_id")), similarity)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        likely = estimated(pairs, classes, retained, similarity)
+        likely = estimated(pairs, classes, retained, similarity, risk)
         if likely.isEmpty():
             return likely
         ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
         return verified(likely, full_sets(docs, ends), similarity)
 
-    lists = sketch_lists(classes, retained, similarity)
+    lists = sketch_lists(classes, retained, similarity, risk)
     links = confirm(star_pairs(lists, False, similarity))
     pairs, crowded = cross_pairs(lists, connected(links), LONG, False, similarity)
     if not pairs.isEmpty():
         links = materialize(links.unionByName(confirm(pairs)))
-    if not crowded.isEmpty():
-        sets = full_sets(docs, crowded)
-        lists = whole_lists(sets, similarity)
-        # these pairs are bounded by what full sets can share, so a sketch says no more
-        links = materialize(links.unionByName(verified(star_pairs(lists, True, similarity), sets, similarity)))
-        pairs, _ = cross_pairs(lists, connected(links), None, True, similarity)
-        if not pairs.isEmpty():
-            links = materialize(links.unionByName(verified(pairs, sets, similarity)))
-    return links
-
-
-def group(docs: DataFrame, retained: int = RETAINED, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    return links if crowded.isEmpty() else whole_links(full_sets(docs, crowded), similarity, links)
+
+
+def group(docs: DataFrame, retained: int = RETAINED, similarity: int = SIMILARITY, risk: float = RISK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
+
+    A link between sets of the least similarity is lost with a chance of `risk` for each sketch that it has to pass; at
+    risk 0 nothing is sketched, lists are of full sets, and no link is lost.
+    """
     sketched = materialize(sketches(docs, retained))
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    reached = connected(links_between(docs, classes.select("doc_id", "n", "sketch"), retained, similarity))
+    reached = connected(links_between(docs, classes.select("doc_id", "n", "sketch"), retained, similarity, risk))
     by_class = materialize(classes.select("class", "doc_id", "rows").join(reached, "doc_id", "left").select("class", "rows", F.coalesce("component", "doc_id").alias("component")))
     rows = skew_safe_left_join(sketched.select("doc_id", "n_shingles", "class"), by_class, ["class"], "rows", sketched.count())
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_first(docs: DataFrame, retained: int = RETAINED, similarity: int = SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, retained: int = RETAINED, similarity: int = SIMILARITY, risk: float = RISK) -> DataFrame:
     """The rows of docs, with their columns, that are the first of their component; a repeated row stays once."""
-    kept = group(docs, retained, similarity).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    kept = group(docs, retained, similarity, risk).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 

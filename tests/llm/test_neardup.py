@@ -36,8 +36,8 @@ def brute(docs):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def check(spark, docs):
-    got = neardup.group(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+def check(spark, docs, **how):
+    got = neardup.group(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **how).collect()
     want = brute(docs)
     assert len(got) == len(docs)
     for r in got:
@@ -76,6 +76,37 @@ def test_dense_groups(spark, texts, seed):
     for _, c in want.values():
         sizes[c] = sizes.get(c, 0) + 1
     assert max(sizes.values()) > neardup.LONG
+    if seed == 1:
+        check(spark, list(enumerate(docs)), risk=0)
+
+
+def test_meetings_of_shared_blocks(spark, texts):
+    """300 documents of 12 of 24 shared blocks each: no link, and fewer meetings than pairs."""
+    rng = random.Random(3)
+    blocks = [texts(16, 10_000) for _ in range(24)]
+    docs = [(i, " ".join(rng.sample(blocks, 12))) for i in range(300)]
+    want = check(spark, docs)
+    assert len({c for _, c in want.values()}) == 300
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lists = neardup.whole_lists(neardup.full_sets(df, df.select("doc_id")), 75)
+    none = spark.createDataFrame([], "doc_id long, component long")
+    assert neardup.meetings(lists, none, None)[0].count() < 300 * 299 / 2
+
+
+def test_slabs(monkeypatch, texts):
+    import pyarrow as pa
+
+    rows = pa.array([texts(3000), "x" * 9000, None, "a b c d e f " * 900, texts(50)])
+    whole = [s.tolist() for _, _, sets in neardup.shingle_sets(rows, 1 << 30) for s in sets]
+    monkeypatch.setattr(neardup, "SLAB", 1000)
+    assert [s.tolist() for _, _, sets in neardup.shingle_sets(rows, 1 << 30) for s in sets] == whole
+
+
+def test_joined_instead_of_filtered(spark, documents, monkeypatch):
+    wanted = documents.where("doc_id % 3 = 0").select("doc_id")
+    by_filter = {r["doc_id"]: r["values"] for r in neardup.full_sets(documents, wanted).collect()}
+    monkeypatch.setattr(neardup, "MOST_BITS", 1)
+    assert {r["doc_id"]: r["values"] for r in neardup.full_sets(documents, wanted).collect()} == by_filter and len(by_filter) > 100
 
 
 def test_edges(spark, edges, nothing):

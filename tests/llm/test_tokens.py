@@ -187,7 +187,7 @@ def test_destination(spark, documents, tmp_path):
 
 
 def test_id_files(library, documents, edges, nothing):
-    for df, segment in ((documents, idcoder.BLOCK * idcoder.LANES), (documents, 5000), (edges, 3000)):
+    for df, segment in ((documents, idcoder.BLOCK * idcoder.LANES), (documents, 100_000), (edges, 30_000)):
         rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
         got = idcoder.read_ids(idcoder.write_ids(df, WORDS, segment_ids=segment)).collect()
         n, starts = 0, {}
