@@ -2,13 +2,20 @@
 
 An item of n words may be off by k = floor(error_rate * n) words inserted, dropped or replaced. Of k + 1 pieces
 that it is split into, one at least then stands in the document unchanged: exact hits of pieces are looked up, and
-Myers' bit-parallel distance confirms the words around them. Words are runs of letters and digits, compared in
-lower case; scripts that are written without spaces (Chinese, Japanese, Thai, ...) have no such runs, so each of their
-letters, digits and vowel or tone signs is a word of its own. Items without words match nothing; short items (k = 0) match only whole. Null and empty texts hold no
-item. Repeated rows give repeated results; an empty benchmark or empty documents give none.
-
-The benchmark is a query set against all rows: it is taken in blocks of at most `block_items` items, each
-broadcast alone.
+Myers' bit-parallel distance confirms the words around them. A piece that many items have, such as the words with which
+questions begin, is looked up together with a second word: of any k + 1 words of the item outside the piece one at
+least stands near, so that the rarest tell which of the items can be meant. Hits of one item on one diagonal, and places
+with the same words as far as the benchmark knows them, are confirmed once; so are only those that hold n - k
+of the item's words.
+
+Words are runs of letters and digits, compared in lower case; scripts that are written without spaces (Chinese, Japanese,
+Thai, ...) have no such runs, so each of their letters, digits and vowel or tone signs is a word of its own. Items without words
+match nothing; short items (k = 0) match only whole. Null and empty texts hold no item. Repeated rows give repeated
+results, ties between places the first; very long texts are searched whole. An empty benchmark or empty documents
+give none. Other columns of docs and benchmark, whatever their names, are not read.
+
+The benchmark is a query set against all rows: it is taken in rounds of at most `round_bytes` of text, each of which is
+broadcast and reads the documents once. Workers index a round in blocks of `block_bytes`, one at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import groupby
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +47,8 @@ _SIGNS, _LETTERS = ("".join(chr(c) for a, b in _MIXED_BLOCKS for c in range(a, b
 _UNSPACED = re.compile(f"[{_SIGNS}{_LETTERS}{''.join(f'{chr(a)}-{chr(b)}' for a, b in _WHOLE_BLOCKS)}]")
 _WORD_OR_SIGN = re.compile(rf"[^\W_]+|[{_SIGNS}]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Pieces of more items than this are looked up with a second word.
+COMMON = 8
 
 
 def words(text: str) -> list[str]:
@@ -77,7 +86,8 @@ class PieceIndex:
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         self.codes: dict[str, int] = {}
         self.items: list[tuple[int, list[int], int, dict[int, int]]] = []
-        by_length: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        by_length: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
+        frequency: dict[int, int] = {}
         for item_id, text in items:
             coded = [self.codes.setdefault(w, len(self.codes)) for w in words(text or "")]
             if not coded:
@@ -85,12 +95,29 @@ class PieceIndex:
             k, masks = int(len(coded) * error_rate), {}
             for i, c in enumerate(coded):
                 masks[c] = masks.get(c, 0) | 1 << i
+            for c in masks:
+                frequency[c] = frequency.get(c, 0) + 1
             cuts = [len(coded) * p // (k + 1) for p in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 key = int(self._keys(np.array(coded[a:b]), b - a)[0])
-                by_length.setdefault(b - a, {}).setdefault(key, []).append((len(self.items), a))
+                by_length.setdefault(b - a, {}).setdefault(key, []).append((len(self.items), a, b))
             self.items.append((item_id, coded, k, masks))
-        self.lookups = [(n, np.array(sorted(table), np.uint64), table) for n, table in sorted(by_length.items())]
+        self.lookups = [
+            (n, np.array(sorted(table), np.uint64), {key: self._shapes(places, frequency) for key, places in table.items()})
+            for n, table in sorted(by_length.items())
+        ]
+
+    def _shapes(self, places: list[tuple[int, int, int]], frequency: dict[int, int]) -> dict[tuple[int, int, int], dict[int, list[int]]]:
+        """Items by (place of the piece, words, budget), then by second words; -1 stands for no second word."""
+        shapes: dict[tuple[int, int, int], dict[int, list[int]]] = {}
+        for item, a, b in places:
+            _, coded, k, _ = self.items[item]
+            rest = coded[:a] + coded[b:]
+            second = {-1} if len(places) <= COMMON or len(rest) <= k else set(nsmallest(k + 1, rest, key=lambda c: (frequency[c], c)))
+            by_word = shapes.setdefault((a, len(coded), k), {})
+            for w in second:
+                by_word.setdefault(w, []).append(item)
+        return shapes
 
     @staticmethod
     def _keys(codes: np.ndarray, n: int) -> np.ndarray:
@@ -101,41 +128,40 @@ class PieceIndex:
             out ^= out >> np.uint64(29)
         return out
 
-    def windows(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first, end) of the words around hits, overlapping ones joined."""
-        hits: list[tuple[int, int, int]] = []
+    def windows(self, codes: np.ndarray) -> dict[tuple[int, bytes], tuple[int, int]]:
+        """(first, end) of the first place of each (item, words around a hit)."""
+        found: dict[tuple[int, bytes], tuple[int, int]] = {}
+        unknown = np.concatenate([[0], np.cumsum(codes < 0)])
         for n, keys, table in self.lookups:
-            known = np.convolve(codes >= 0, np.ones(n, np.int64), "valid") == n if len(codes) >= n else np.zeros(0, bool)
-            at = np.flatnonzero(known)
+            at = np.flatnonzero(unknown[n:] == unknown[:-n]) if len(codes) >= n else unknown[:0]
             if not len(at):
                 continue
-            found = self._keys(codes, n)[at]
-            spot = np.searchsorted(keys, found)
-            right = keys[np.minimum(spot, len(keys) - 1)] == found
-            for p, key in zip(at[right].tolist(), found[right].tolist(), strict=True):
-                for item, a in table[key]:
-                    _, coded, k, _ = self.items[item]
-                    hits.append((item, max(0, p - a - k), min(len(codes), p - a + len(coded) + k)))
-        hits.sort()
-        for item, group in groupby(hits, key=lambda h: h[0]):
-            first, end = -1, -1
-            for _, a, b in group:
-                if a > end:
-                    if end > first:
-                        yield item, first, end
-                    first, end = a, b
-                end = max(end, b)
-            yield item, first, end
-
-    def search(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """FOUND of one text: for each item within its budget, the nearest place (the first of equals)."""
-        get = self.codes.get
-        found = words(text)
-        codes = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+            hashed = self._keys(codes, n)[at]
+            spot = np.searchsorted(keys, hashed)
+            right = keys[np.minimum(spot, len(keys) - 1)] == hashed
+            near: dict[tuple[int, int, int, int, bytes], set[int]] = {}
+            for p, key in zip(at[right].tolist(), hashed[right].tolist(), strict=True):
+                for (a, size, k), by_word in table[key].items():
+                    first, end = max(0, p - a - k), min(len(codes), p - a + size + k)
+                    around = codes[first:end].tobytes()
+                    if (met := near.get((key, a, size, k, around))) is None:
+                        met = near[key, a, size, k, around] = {i for w in {-1, *codes[first:end].tolist()} for i in by_word.get(w, ())}
+                    for item in met:
+                        if (known := found.get((item, around))) is None or first < known[0]:
+                            found[item, around] = first, end
+        return found
+
+    def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """FOUND of one text's codes: for each item within its budget, the nearest place (the first of equals)."""
         best: dict[int, tuple[int, int]] = {}
-        for item, first, end in self.windows(codes):
+        for (item, _), (first, end) in self.windows(codes).items():
             _, coded, k, masks = self.items[item]
-            distance, at = myers(codes[first:end].tolist(), masks, len(coded))
+            window, covered = codes[first:end].tolist(), 0
+            for c in set(window):
+                covered |= masks.get(c, 0)
+            if covered.bit_count() < len(coded) - k:
+                continue
+            distance, at = myers(window, masks, len(coded))
             if distance <= k and (item not in best or (distance, first + at) < best[item]):
                 best[item] = distance, first + at
         out = []
@@ -147,55 +173,78 @@ class PieceIndex:
         return sorted(out)
 
 
-_current: dict[str, PieceIndex] = {}
+_current: dict[tuple[str, int], PieceIndex] = {}
 
 
-def _index(key: str, items: list[tuple[int, str]], error_rate: float) -> PieceIndex:
-    """The block's index, built once in each Python worker, which holds one block at a time."""
-    if key not in _current:
+def _index(key: str, number: int, items: list[tuple[int, str]], error_rate: float) -> PieceIndex:
+    """A block's index, built once in each Python worker as long as it is the only one; a worker holds one at a time."""
+    if (key, number) not in _current:
         _current.clear()
-        _current[key] = PieceIndex(items, error_rate)
-    return _current[key]
-
-
-def finders(benchmark: DataFrame, error_rate: float = 0.2, block_items: int = 20_000) -> Iterator[Callable]:
-    """For each block of the benchmark (item_id, text) an Arrow function from texts to FOUND."""
+        _current[key, number] = PieceIndex(items, error_rate)
+    return _current[key, number]
+
+
+def search_all(texts: list[str], blocks: list[list[tuple[int, str]]], key: str, error_rate: float) -> list[list[tuple[int, int, int, int, int]]]:
+    """FOUND of each text in all blocks; texts are split into words once."""
+    if len(blocks) == 1:
+        index = _index(key, 0, blocks[0], error_rate)
+        get = index.codes.get
+        return [index.search(np.fromiter((get(w, -1) for w in found), np.int64, len(found))) for found in map(words, texts)]
+    number: dict[str, int] = {}
+    coded = [np.fromiter((number.setdefault(w, len(number)) for w in words(t)), np.int64) for t in texts]
+    out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in texts]
+    for b, items in enumerate(blocks):
+        index = _index(key, b, items, error_rate)
+        here = np.fromiter((index.codes.get(w, -1) for w in number), np.int64, len(number))
+        for hits, codes in zip(out, coded, strict=True):
+            hits += index.search(here[codes])
+    return [sorted(hits) for hits in out]
+
+
+def finders(benchmark: DataFrame, error_rate: float = 0.2, block_bytes: int = 2 << 20, round_bytes: int = 32 << 20) -> Iterator[Callable]:
+    """For each round of the benchmark (item_id, text) an Arrow function from texts to FOUND."""
     sc = benchmark.sparkSession.sparkContext
-    block: list[tuple[int, str]] = []
 
-    def finder(items: list[tuple[int, str]]) -> Callable:
-        shared, key = sc.broadcast(items), uuid.uuid4().hex
+    def finder(blocks: list[list[tuple[int, str]]]) -> Callable:
+        shared, key = sc.broadcast(blocks), uuid.uuid4().hex
 
         @F.arrow_udf(FOUND)
         def found(texts: pa.Array) -> pa.Array:
-            index = _index(key, shared.value, error_rate)
-            rows = [[dict(zip(("item_id", "item_words", "distance", "first_word", "last_word"), hit, strict=True)) for hit in index.search(t.as_py() or "")] for t in texts]
+            hits = search_all([t or "" for t in texts.to_pylist()], shared.value, key, error_rate)
+            rows = [[dict(zip(("item_id", "item_words", "distance", "first_word", "last_word"), hit, strict=True)) for hit in each] for each in hits]
             return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int32()), ("distance", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64())])))
 
         return found
 
+    blocks, held, size = [[]], 0, 0
     for row in benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).toLocalIterator():
-        block.append((row["item_id"], row["text"] or ""))
-        if len(block) == block_items:
-            yield finder(block)
-            block = []
-    if block:
-        yield finder(block)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.2, block_items: int = 20_000) -> DataFrame:
+        n = len((row["text"] or "").encode()) + 16
+        if blocks[0] and held + n > round_bytes:
+            yield finder(blocks)
+            blocks, held, size = [[]], 0, 0
+        if blocks[-1] and size + n > block_bytes:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((row["item_id"], row["text"] or ""))
+        held, size = held + n, size + n
+    if blocks[0]:
+        yield finder(blocks)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.2, block_bytes: int = 2 << 20, round_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, item_words, distance, first_word, last_word: a row for each item that a document holds."""
-    parts = [
-        docs.select("doc_id", F.explode(found("text")).alias("_f")).select("doc_id", "_f.*")
-        for found in finders(benchmark, error_rate, block_items)
-    ]
-    if not parts:
+    done, last = [], None
+    for found in finders(benchmark, error_rate, block_bytes, round_bytes):
+        if last is not None:  # the driver keeps one round at a time
+            done.append(materialize(last))
+        last = docs.select("doc_id", F.explode(found("text")).alias("_f")).select("doc_id", "_f.*")
+    if last is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_words int, distance int, first_word long, last_word long")
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*done, last])
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.2, block_items: int = 20_000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.2, block_bytes: int = 2 << 20, round_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs, with their columns, that hold no item."""
-    for k, found in enumerate(finders(benchmark, error_rate, block_items)):
+    for k, found in enumerate(finders(benchmark, error_rate, block_bytes, round_bytes)):
         docs = (materialize(docs) if k else docs).where(F.size(found("text")) == 0)
     return docs

@@ -1,7 +1,9 @@
 """Edit matching against dynamic programming over every place of every text."""
 
 import random
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,16 +62,34 @@ def test_against_brute_force(spark, texts):
     want = brute(items, docs)
     assert len(want) > 20 and max(want.values()) > 2
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (20_000, 7):
-        got = decontam.leaks(d, b, block_items=block).collect()
+    for block, held in ((1 << 21, 1 << 25), (1000, 1 << 25), (1000, 3000)):
+        got = decontam.leaks(d, b, block_bytes=block, round_bytes=held).collect()
         assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got} == want
-        kept = decontam.without_leaks(d, b, block_items=block)
+        kept = decontam.without_leaks(d, b, block_bytes=block, round_bytes=held)
         assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
     for r in got:
         part = decontam.words(dict(docs)[r["doc_id"]])[r["first_word"] : r["last_word"] + 1]
         assert nearest(decontam.words(dict(items)[r["item_id"]]), part) == r["distance"]
 
 
+def test_common_pieces():
+    """Questions that begin alike, and a text with that beginning 800 times."""
+    items = [(i, f"what is the capital of w{i}") for i in range(2000)]
+    rng = random.Random(1)
+    text = " ".join(f"what is the {rng.choice(['capital', 'x', 'name of', 'capital of', f'w{rng.randrange(2000)}'])} y{rng.randrange(50)}" for _ in range(800))
+    index = decontam.PieceIndex(items, 0.2)
+    few = [(0, text[:1500]), (1, "what is the w7 of capital w9"), (2, "so what is the old capital of w12 then"), (3, "what is the what is the capital w3")]
+    codes = lambda t: np.array([index.codes.get(w, -1) for w in decontam.words(t)])
+    begun = time.perf_counter()
+    found = index.search(codes(text))
+    assert time.perf_counter() - begun < 1
+    assert {i for i, *_ in found} == set(range(2000))  # "capital of", one word off
+    plain = text.replace("capital", "name")
+    begun = time.perf_counter()
+    assert index.search(codes(plain)) == [] and time.perf_counter() - begun < 1
+    assert {(d, h[0]): h[2] for d, t in few for h in index.search(codes(t))} == brute(items, few)
+
+
 def test_unspaced_scripts(spark):
     """Items in scripts without spaces, copied into longer clauses, with a character changed, dropped or added."""
     items = [
@@ -98,9 +118,8 @@ def test_table(spark, sf_dir, documents):
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     have = {(r["doc_id"], r["item_id"]) for r in got}
     assert have >= {(d, i) for d, t in holders for i, x in items if x in t} and holders
-    index = decontam.PieceIndex(items, 0.2)
     short = [(d, t) for d, t in docs if len(t) < 3000][:25]
-    assert brute(items, short) == {(d, h[0]): h[2] for d, t in short for h in index.search(t)}
+    assert brute(items, short) == {(d, h[0]): h[2] for d, t in short for h in decontam.search_all([t], [items], "table", 0.2)[0]}
 
 
 def test_edges(spark, edges, nothing):
