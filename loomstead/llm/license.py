@@ -1,12 +1,17 @@
 """License scans by a positional rare-token index, in DataFrame operations only.
 
-A template is a licence notice with mandatory key phrases at known places. The index lists, for the two words of
-each template's key phrases that are rarest over all documents, where in which template they stand. A file's licence
-words are looked up, rarest first; postings of a template's two words that agree on the template's start are
-intersected, and at each start the key phrases are verified. A word of a phrase that is found at its place stands
-for the phrase, so no place is lost.
-
-Null and empty texts have no words, no places and score 0; repeated rows are scanned each.
+A template is a licence notice with mandatory key phrases at known places. Texts are split into words once; what is kept
+of a file are the places of its licence words (those of any template), from which come the words' inverse document
+frequencies. The index is a table: for each template's two mandatory words of highest inverse frequency, where in the
+template they stand. A file's licence words are looked up in it, postings of a template's two words that agree on its
+start are intersected, and at each such start all words of the key phrases are verified. A start may lie before the
+text, as where a notice begins in its midst; only key phrases have to be there. As each template is looked up by words
+that its key phrases need, no place is lost, however many a file has.
+
+Null and empty texts have no words, no places and score 0, as have files without licence words. Repeated rows are scanned each,
+with or without doc_id; of words with equal frequencies (ties) the first in the alphabet is the rarer one, which changes no result. Very
+long texts are scanned whole; places of one file are dealt over tasks. Other columns of docs, whatever their names,
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import lower_ascii
+from loomstead.llm.common import lower_ascii, materialize
 
 #: What stands between words: every ASCII character but digits and small letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,11 +30,11 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Template:
-    """A notice; keys are the (place, phrase) that must stand in it, by default the whole notice."""
+    """A notice; keys are the phrases of it that must be there, by default the whole notice."""
 
     label: str
     notice: str
-    keys: tuple[tuple[int, str], ...] = field(default=())
+    keys: tuple[str, ...] = field(default=())
     base: bool = False
 
     @property
@@ -37,9 +42,13 @@ class Template:
         return self.notice.split()
 
     @property
-    def mandatory(self) -> list[tuple[int, str]]:
-        """Each word of the key phrases with its place."""
-        return [(at + i, w) for at, phrase in self.keys or ((0, self.notice),) for i, w in enumerate(phrase.split())]
+    def mandatory(self) -> list[int]:
+        """The places of the key phrases' words."""
+        places = []
+        for phrase in self.keys or (self.notice,):
+            wanted, n = phrase.split(), len(phrase.split())
+            places += next(range(i, i + n) for i in range(len(self.words)) if self.words[i : i + n] == wanted)
+        return sorted(set(places))
 
 
 #: Base phrases with their labels.
@@ -49,20 +58,38 @@ BASE = (
     Template("cc-by", "cc by", base=True),
     Template("mit", "mit license", base=True),
 )
-#: The method's own notices and labels.
+_FREE = "this program is free software you can redistribute it and or modify it under the terms of the"
+_PUBLISHED = "as published by the free software foundation either version"
+_LATER = "of the license or at your option any later version"
+#: The method's own labels with public licence notices and what identifies each.
 NOTICES = (
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ((6, "gnu general public license version 3"),)),
-    Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ((6, "gnu general public license version 2"),)),
-    Template("lgpl", "licensed under the gnu lesser general public license", ((3, "gnu lesser general public license"),)),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ((3, "apache license version 2 0"),)),
-    Template("mit-notice", "released under the mit license", ((1, "under the mit license"),)),
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy", ((0, "permission is hereby granted"), (4, "free of charge"))),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ((0, "redistribution and use"), (4, "source and binary forms"))),
-    Template("mpl-2.0", "this work is subject to the mozilla public license version 2 0", ((6, "mozilla public license"), (9, "version 2 0"))),
-    Template("cc-by-4.0", "licensed under cc by 4 0", ((2, "cc by 4 0"),)),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ((2, "cc by sa 4 0"),)),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ((2, "cc by nc 4 0"),)),
-)
+    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    Template("gpl-3.0", f"{_FREE} gnu general public license {_PUBLISHED} 3 {_LATER}", (f"gnu general public license {_PUBLISHED} 3",)),
+    Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    Template("gpl-2.0", f"{_FREE} gnu general public license {_PUBLISHED} 2 {_LATER}", (f"gnu general public license {_PUBLISHED} 2",)),
+    Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    Template("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2 0",)),
+    Template("mit-notice", "released under the mit license", ("under the mit license",)),
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        ("permission is hereby granted", "free of charge"),
+    ),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee is hereby granted")),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ("endorse or promote products derived from this software",)),
+    Template("mpl-2.0", "this work is subject to the mozilla public license version 2 0", ("mozilla public license", "version 2 0")),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ("eclipse public license v 2 0",)),
+    Template("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license version 1 0",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    Template("cc0-1.0", "cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
+    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
+    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
+)
 TEMPLATES = BASE + NOTICES
 
 
@@ -70,39 +97,50 @@ def vocabulary(templates: tuple[Template, ...]) -> list[str]:
     return sorted({w for t in templates for w in t.words})
 
 
-def text_words(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAPS), "")
+def licence_words(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """file (a number of the row), doc_id, n_words, hits (the places, from 0, of licence words, with the word)."""
+    words = F.array_remove(F.split(lower_ascii(F.coalesce("text", F.lit(""))), GAPS), "")
+    split = docs.select("doc_id", words.alias("words"))
+    hits = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(vocabulary(templates)), F.struct(i.alias("at"), w.alias("w")))))
+    return materialize(split.select(F.monotonically_increasing_id().alias("file"), "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits")))
 
 
-def inverse_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
-    """ln((1 + documents) / (1 + documents with the word)) of each licence word, over all rows of docs.
+def inverse_frequencies(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
+    """ln((1 + documents) / (1 + documents with the word)) of each licence word, over all files.
 
     One number for each word of the templates reaches the driver.
     """
-    listed = vocabulary(templates)
-    words = F.array_intersect(text_words(F.col("text")), F.array(*map(F.lit, listed)))
     # an empty string stands for the document itself
-    seen = docs.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    n = {r["word"]: r["n"] for r in seen}
-    return {w: log((1 + n.get("", 0)) / (1 + n.get(w, 0))) for w in listed}
-
-
-def _index(templates: tuple[Template, ...], idf: dict[str, float]) -> tuple[Column, list[str]]:
-    """The templates with their two rarest mandatory words as an array of structs, and those words, rarest first."""
-    rows, rare = [], set()
-    for t in templates:
-        ranked = sorted(t.mandatory, key=lambda x: (-idf[x[1]], x[1], x[0]))
-        (qa, a), (qb, b) = ranked[0], next((x for x in ranked if x[1] != ranked[0][1]), ranked[0])
-        rare |= {a, b}
+    words = F.concat(F.array(F.lit("")), F.array_distinct(F.col("hits.w")))
+    n = {r["word"]: r["n"] for r in files.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return {w: log((1 + n.get("", 0)) / (1 + n.get(w, 0))) for w in vocabulary(templates)}
+
+
+def index(files: DataFrame, templates: tuple[Template, ...], idf: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """The rare tokens (w, template, place, bit) and all words (w, template, place, mandatory, share) of the templates."""
+    rare, every = [], []
+    for k, t in enumerate(templates):
+        ranked = sorted(t.mandatory, key=lambda q: (-idf[t.words[q]], t.words[q], q))
+        second = next((q for q in ranked if t.words[q] != t.words[ranked[0]]), ranked[0])
+        rare += [(t.words[q], k, q, 1 << b) for b, q in enumerate((ranked[0], second))]
         total = sum(idf[w] for w in t.words)
-        rows.append(
-            F.struct(
-                F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(a).alias("a"), F.lit(qa).alias("qa"), F.lit(b).alias("b"), F.lit(qb).alias("qb"),
-                F.array(*[F.struct(F.lit(at).alias("at"), F.lit(w).alias("w")) for at, w in t.mandatory]).alias("keys"),
-                F.array(*[F.struct(F.lit(at).alias("at"), F.lit(w).alias("w"), F.lit(idf[w] / total if total else 1 / len(t.words)).alias("share")) for at, w in enumerate(t.words)]).alias("words"),
-            )
-        )
-    return F.array(*rows), sorted(rare, key=lambda w: (-idf[w], w))
+        every += [(w, k, q, int(q in t.mandatory), idf[w] / total if total else 1 / len(t.words)) for q, w in enumerate(t.words)]
+    spark = files.sparkSession
+    return spark.createDataFrame(rare, "w string, template int, place int, bit int"), spark.createDataFrame(every, "w string, template int, place int, mandatory int, share double")
+
+
+def found(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """file, template, start, share: every place of every template, with the share of its words that stand there."""
+    rare, every = index(files, templates, inverse_frequencies(files, templates))
+    # the tables are as large as the templates, so they are broadcast
+    looked_up = files.select("file", F.explode("hits").alias("h")).select("file", "h.*").join(F.broadcast(rare), "w")
+    starts = looked_up.groupBy("file", "template", (F.col("at") - F.col("place")).alias("start")).agg(F.bit_or("bit").alias("bits"))
+    candidates = materialize(starts.where("bits = 3").drop("bits"))
+    some = files.join(candidates.select("file").distinct(), "file", "left_semi").select("file", F.explode("hits").alias("h"))
+    standing = some.select("file", "h.*").join(F.broadcast(every), "w").withColumn("start", F.col("at") - F.col("place"))
+    checked = candidates.join(standing, ["file", "template", "start"]).groupBy("file", "template", "start").agg(F.sum("mandatory").alias("there"), F.sum("share").alias("share"))
+    needed = F.array(*[F.lit(len(t.mandatory)) for t in templates])
+    return checked.where(F.col("there") == F.get(needed, F.col("template"))).drop("there")
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -111,60 +149,43 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     score is the largest share, by inverse frequency, of a found notice's words that stand at their places; a base
     phrase alone gives 0.5.
     """
-    listed, rare = _index(templates, inverse_frequencies(docs, templates))
-    looked_up = F.array(*map(F.lit, rare))
-    words = docs.select("doc_id", text_words(F.col("text")).alias("words"))
-    numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w")))
-    hits = F.when(F.arrays_overlap("words", looked_up), F.filter(numbered, lambda h: F.array_contains(looked_up, h["w"])))
-    word_at = lambda at: F.try_element_at("words", at + 1)
-
-    def starts(t: Column) -> Column:
-        places = lambda w, q: F.transform(F.filter("hits", lambda h: h["w"] == w), lambda h: h["at"] - q)
-        agreed = F.filter(F.array_intersect(places(t["a"], t["qa"]), places(t["b"], t["qb"])), lambda s: s >= 0)
-        return F.filter(agreed, lambda s: F.forall(t["keys"], lambda k: F.coalesce(word_at(s + k["at"]) == k["w"], F.lit(False))))
-
-    def share(t: Column, s: Column) -> Column:
-        return F.aggregate(t["words"], F.lit(0.0), lambda got, w: got + F.when(word_at(s + w["at"]) == w["w"], w["share"]).otherwise(0.0))
-
-    found = F.filter(F.transform(listed, lambda t: F.struct(t.alias("t"), starts(t).alias("starts"))), lambda f: F.size(f["starts"]) > 0)
-    # only files with a rare licence word are looked at further
-    with_hits = words.withColumn("hits", hits).withColumn("found", F.when(F.size("hits") > 0, found))
-    none = F.array().cast("array<string>")
-    names = lambda keep: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("found", keep), lambda f: f["t"]["label"]))), ",")
-    base = F.flatten(F.transform(F.filter("found", lambda f: f["t"]["base"]), lambda f: f["starts"]))
-    notices = F.array_max(F.flatten(F.transform(F.filter("found", lambda f: ~f["t"]["base"]), lambda f: F.transform(f["starts"], lambda s: share(f["t"], s)))))
-    placed = with_hits.withColumn("base", F.coalesce(base, F.array().cast("array<int>"))).withColumn("notice", F.coalesce(notices, F.lit(0.0)))
-    return placed.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), F.size("base").cast("long").alias("n_base"),
-        F.array_min("base").cast("long").alias("first_word"), F.array_max("base").cast("long").alias("last_word"),
-        F.coalesce(names(lambda f: f["t"]["base"]), F.array_join(none, ",")).alias("base_labels"),
-        F.coalesce(names(lambda f: F.lit(True)), F.array_join(none, ",")).alias("labels"),
-        F.round(F.least(F.greatest(F.col("notice"), F.when(F.size("base") > 0, 0.5).otherwise(0.0)), F.lit(1.0)), 6).alias("score"),
+    files = licence_words(docs, templates)
+    base, label = (F.get(F.array(*[F.lit(getattr(t, name)) for t in templates]), F.col("template")) for name in ("base", "label"))
+    places = found(files, templates).select("file", "start", "share", base.alias("base"), label.alias("label"))
+    joined = lambda which: F.array_join(F.array_sort(F.collect_set(which)), ",")
+    by_file = places.groupBy("file").agg(
+        F.count(F.when(F.col("base"), 1)).alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
+        joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"),
+        F.max(F.when(F.col("base"), 0.5).otherwise(F.col("share"))).alias("score"),
+    )
+    return files.select("file", "doc_id", "n_words").join(by_file, "file", "left").select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.round(F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)), 6).alias("score"),
     )
 
 
 def scan_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
-    """DuckDB: every place of every template by plain search."""
-    listed = vocabulary(templates)
-    idf = ", ".join(f"ln((1 + count(*)) / (1 + count(*) FILTER (WHERE list_contains(w, '{w}')))) AS f{i}" for i, w in enumerate(listed))
-    number = {w: i for i, w in enumerate(listed)}
-    places = ", ".join(
-        f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f'''coalesce(w[i + {at + 1}] = '{x}', false)''' for at, x in t.mandatory)}) AS p{k}"
-        for k, t in enumerate(templates)
-    )
-    shares = []
-    for k, t in enumerate(templates):
-        if not t.base:
-            got = " + ".join(f"CASE WHEN w[i + {at + 1}] = '{x}' THEN f{number[x]} ELSE 0 END" for at, x in enumerate(t.words))
-            shares.append(f"coalesce(list_max(list_transform(p{k}, lambda i: ({got}) / ({' + '.join(f'f{number[x]}' for x in t.words)}))), 0)")
-    label = lambda pick: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{t.label}' END" for k, t in enumerate(templates) if pick(t)) + "], lambda x: x IS NOT NULL)), ',')"
-    base = " || ".join(f"p{k}" for k, t in enumerate(templates) if t.base)
+    """DuckDB: how many words of each template stand where they should from each start on, without an index."""
+    rows = ", ".join(f"({k}, '{t.label}', {str(t.base).lower()}, {len(t.mandatory)}, {q}, {int(q in t.mandatory)}, '{w}')" for k, t in enumerate(templates) for q, w in enumerate(t.words))
     return f"""
-WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{GAPS}'), lambda x: x <> '') AS w FROM documents
-), f AS (SELECT {idf} FROM d), p AS (SELECT doc_id, w, {places} FROM d), b AS (SELECT *, {base} AS bp FROM p)
-SELECT doc_id, len(w) AS n_words, len(bp) AS n_base, list_min(bp) AS first_word, list_max(bp) AS last_word,
-       {label(lambda t: t.base)} AS base_labels, {label(lambda t: True)} AS labels,
-       round(least(greatest({', '.join(shares)}, CASE WHEN len(bp) > 0 THEN 0.5 ELSE 0 END), 1.0), 6) AS score
-FROM b, f
+WITH t(template, label, base, needed, place, mandatory, w) AS (VALUES {rows}),
+d AS (
+  SELECT row_number() OVER () AS file, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{GAPS}'), lambda x: x <> '') AS ws FROM documents
+), h AS (SELECT file, unnest(ws) AS w, unnest(range(0, len(ws))) AS at FROM d),
+f AS (
+  SELECT v.w, ln((1 + (SELECT count(*) FROM d)) / (1 + count(DISTINCT h.file))) AS idf FROM (SELECT DISTINCT w FROM t) v LEFT JOIN h ON h.w = v.w GROUP BY v.w
+), total AS (SELECT template, sum(idf) AS s, count(*) AS n FROM t JOIN f ON f.w = t.w GROUP BY template),
+p AS (
+  SELECT h.file, t.template, any_value(label) AS label, any_value(base) AS base, h.at - t.place AS start, sum(CASE WHEN s > 0 THEN idf / s ELSE 1.0 / n END) AS share
+  FROM h JOIN t ON h.w = t.w JOIN f ON f.w = t.w JOIN total ON total.template = t.template
+  GROUP BY h.file, t.template, h.at - t.place HAVING sum(mandatory) = any_value(needed)
+), g AS (
+  SELECT file, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         max(CASE WHEN base THEN 0.5 ELSE share END) AS score FROM p GROUP BY file
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, round(least(coalesce(score, 0), 1.0), 6) AS score
+FROM d LEFT JOIN g ON g.file = d.file
 """
