@@ -2,9 +2,14 @@
 
 `mux` stores bytes losslessly as elementary packets (PES, one access unit of up to UNIT bytes each, with a
 timestamp) in 188-byte transport packets behind a program association and a program map table. `demux` parses the
-tables, checks continuity counters, reassembles the packets and lists timestamps with their random-access points.
-Null texts count as empty; payloads are padded with zeros to a positive multiple of 64 bytes; equal texts give
-equal streams and values. Damaged streams raise ValueError, or for counters are counted.
+tables, whose sections may go over several packets, checks continuity counters, leaves out packets that are sent twice,
+reassembles the elementary packets of the first stream of the first program, and lists timestamps with random-access
+points. Gaps in the counters and elementary packets with bytes missing are counted, and what is there of them is kept.
+
+Null texts count as empty; payloads are padded with zeros to a positive multiple of 64 bytes; equal texts (ties, repeated
+rows) give equal streams and values. Very long texts are streams of many packets, whole in a task's memory. A null
+stream, or one that isn't whole packets or names no program, gives nulls and says in `error` why. Other columns, whatever
+their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from pyspark.sql import functions as F
 #: Fixed values of the format.
 PACKET, SYNC, PAT_PID, NULL_PID, CRC_POLYNOMIAL = 188, 0x47, 0x0000, 0x1FFF, 0x04C11DB7
 PRIVATE_STREAM, PRIVATE_TYPE, CLOCK = 0xBD, 0x06, 90_000
+#: Elementary packets without the optional header, and the one among them that is padding.
+BARE_STREAMS, PADDING_STREAM = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF), 0xBE
 #: Choices of this writer.
-PARSED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, random_access array<long>"
+PARSED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, random_access array<long>, error string"
 PMT_PID, MEDIA_PID, PROGRAM, UNIT, STEP, KEY_EVERY = 0x0100, 0x0101, 1, 32_768, 3_600, 8
 
 
@@ -104,27 +111,40 @@ class Stream:
     random_access: list[int]
     """Numbers of the packets at which decoding can begin."""
     counter_errors: int
+    damaged_units: int
+    repeated: int
+
+
+def _pids(grid: np.ndarray) -> np.ndarray:
+    return (grid[:, 1] & 0x1F).astype(np.int64) << 8 | grid[:, 2]
 
 
 def _sections(grid: np.ndarray, pid: int, table: int) -> Iterator[bytes]:
-    """Bodies, between head and checksum, of a table's sections, each within its packet."""
-    for packet in grid[((grid[:, 1] & 0x1F).astype(np.int64) << 8 | grid[:, 2]) == pid]:
+    """Bodies, between head and checksum, of a table's sections that are whole; others are passed over."""
+    held = None
+    for packet in grid[(_pids(grid) == pid) & (grid[:, 3] & 0x10 > 0)]:
         raw = packet.tobytes()
-        at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        if not raw[1] & 0x40:
-            continue
-        at += 1 + raw[at]
-        length = (raw[at + 1] & 0x0F) << 8 | raw[at + 2]
-        section = raw[at : at + 3 + length]
-        if section[0] != table or len(section) != 3 + length or crc32_mpeg(section):
-            raise ValueError(f"bad section on pid {pid}")
-        yield section[8:-4]
+        data = raw[4 + (1 + raw[4] if raw[3] & 0x20 else 0) :]
+        begun = None
+        if raw[1] & 0x40 and data:
+            # the section before ends where the pointer says that the next begins
+            begun, data = data[1 + data[0] :], data[1 : 1 + data[0]]
+        for part, fresh in ((data, False), (begun, True)):
+            if part is None or not fresh and held is None:
+                continue
+            held = part if fresh else held + part
+            while held is not None and len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 0x0F) << 8 | held[2])):
+                section, held = held[:size], held[size:]
+                if section[0] == table and size >= 12 and not crc32_mpeg(section):
+                    yield section[8:-4]
+            if held is not None and held[:1] == b"\xff":
+                held = None
 
 
 def _programs(grid: np.ndarray) -> tuple[int, int]:
     """Pid and type of the first elementary stream that the tables name."""
     for body in _sections(grid, PAT_PID, 0):
-        for i in range(0, len(body), 4):
+        for i in range(0, len(body) - 3, 4):
             if body[i : i + 2] != b"\0\0":
                 for program in _sections(grid, (body[i + 2] & 0x1F) << 8 | body[i + 3], 2):
                     at = 4 + ((program[2] & 0x0F) << 8 | program[3])
@@ -141,31 +161,43 @@ def demux(media: bytes) -> Stream:
     if (grid[:, 0] != SYNC).any():
         raise ValueError("lost sync")
     pid, kind = _programs(grid)
-    numbers = np.flatnonzero(((grid[:, 1] & 0x1F).astype(np.int64) << 8 | grid[:, 2]) == pid)
+    numbers = np.flatnonzero(_pids(grid) == pid)
     own = grid[numbers]
-    counters = (own[:, 3] & 15).astype(np.int64)
-    has_data = (own[:, 3] & 0x10) > 0
-    errors = int(((counters[1:] - counters[:-1]) % 16 != has_data[1:]).sum())
     field = np.where(own[:, 3] & 0x20, own[:, 4].astype(np.int64) + 1, 0)
-    begin = np.where(has_data, 4 + field, PACKET)
+    has_data = (own[:, 3] & 0x10) > 0
+    begin = np.where(has_data, np.minimum(4 + field, PACKET), PACKET)
+    # a packet may be sent twice: the same counter and data
+    again = np.zeros(len(own), bool)
+    alike = (own[1:, 3] == own[:-1, 3]) & has_data[1:] & (begin[1:] == begin[:-1])
+    spots = np.flatnonzero(alike)
+    again[spots + 1] = ((own[spots + 1] == own[spots]) | (np.arange(PACKET) < begin[spots, None])).all(1)
+    numbers, own, field, has_data, begin = (x[~again] for x in (numbers, own, field, has_data, begin))
+    counters, jump = (own[:, 3] & 15).astype(np.int64), (field > 1) & (own[:, 5] & 0x80 > 0)
+    errors = int((((counters[1:] - counters[:-1]) % 16 != has_data[1:]) & ~jump[1:]).sum())
     access = numbers[(field > 1) & (own[:, 5] & 0x40 > 0)]
     data = own[np.arange(PACKET) >= begin[:, None]].tobytes()
     ends = np.cumsum(PACKET - begin)
     parts, stamps = [], []
-    starts = np.flatnonzero(own[:, 1] & 0x40)
+    starts = np.flatnonzero((own[:, 1] & 0x40 > 0) & has_data)
     bounds = [*(int(ends[s - 1]) if s else 0 for s in starts), len(data)]
+    damaged = int(bounds[0] > 0)
     for a, b in zip(bounds, bounds[1:], strict=False):
-        pes = data[a : b]
-        if pes[:3] != b"\0\0\1":
-            raise ValueError("no packet start code")
+        pes = data[a:b]
+        if pes[:3] != b"\0\0\1" or len(pes) < 9:
+            damaged += 1
+            continue
         length = pes[4] << 8 | pes[5]
-        if length and length + 6 != len(pes):
-            raise ValueError("packet of another length")
-        if pes[7] & 0x80:
+        if length:
+            damaged += length + 6 != len(pes)
+            pes = pes[: length + 6]
+        if pes[3] in BARE_STREAMS:
+            parts.append(b"" if pes[3] == PADDING_STREAM else pes[6:])
+            continue
+        if pes[7] & 0x80 and len(pes) >= 14:
             p = pes[9:14]
             stamps.append((p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1)
         parts.append(pes[9 + pes[8] :])
-    return Stream(b"".join(parts), len(grid), pid, kind, stamps, access.tolist(), errors)
+    return Stream(b"".join(parts), len(grid), pid, kind, stamps, access.tolist(), errors, damaged, int(again.sum()))
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -185,17 +217,21 @@ def transport_stream(texts: pa.Array) -> pa.Array:
 
 
 def parsed_stream(media: pa.Array) -> pa.Array:
-    """Digests and features of the streams' payloads, with timestamps and random-access packets."""
+    """Digests and features of the streams' payloads, with timestamps and random-access packets, or what is wrong."""
     rows = []
     for item in media:
         raw = item.as_py()
-        s = demux(raw)
+        try:
+            s = demux(raw or b"")
+        except ValueError as e:
+            rows.append((None, None, None, raw and len(raw), raw and hashlib.sha256(raw).hexdigest(), None, None, None, str(e)))
+            continue
         seconds = (s.timestamps[-1] - s.timestamps[0]) / CLOCK if s.timestamps else 0
-        feature = f"pid={s.pid} type={s.stream_type} packets={s.packets} units={len(s.timestamps)} seconds={seconds:.2f} access={','.join(map(str, s.random_access))} errors={s.counter_errors}"
-        rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, s.timestamps, s.random_access))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access"]
+        feature = f"pid={s.pid} type={s.stream_type} packets={s.packets} units={len(s.timestamps)} seconds={seconds:.2f} access={','.join(map(str, s.random_access))} errors={s.counter_errors} damaged={s.damaged_units} repeated={s.repeated}"
+        rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, s.timestamps, s.random_access, None))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access", "error"]
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
