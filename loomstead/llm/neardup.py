@@ -78,9 +78,9 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _slab_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slab_words(raw: np.ndarray, bounds: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words of raw begin, and their hashes; bounds are between texts."""
-    ink = ~_SPACE[raw]
+    ink = ~gaps[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[bounds] = True
     begin = np.flatnonzero(ink & (first[:-1] | ~np.concatenate([[False], ink[:-1]])))
@@ -90,20 +90,20 @@ def _slab_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, _mix((total[end] - total[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64) * _M3)
 
 
-def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same, in slabs of about SLAB bytes that end at white space or between texts."""
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The same, in slabs of about SLAB bytes that end at gaps (the bytes between words) or between texts."""
     if len(raw) <= 2 * SLAB:
-        return _slab_words(raw, bounds)
+        return _slab_words(raw, bounds, gaps)
     begins, hashes, start = [], [], 0
     while start < len(raw):
         end = min(start + SLAB, len(raw))
         following = bounds[np.searchsorted(bounds, end)]
-        while end < following and not (gap := _SPACE[raw[end : min(end + 4096, following)]]).any():
+        while end < following and not (gap := gaps[raw[end : min(end + 4096, following)]]).any():
             end = min(end + 4096, following)
         if end < following:
             end += int(gap.argmax())
         inside = bounds[(bounds > start) & (bounds < end)] - start
-        begin, word = _slab_words(raw[start:end], np.concatenate([[0], inside, [end - start]]))
+        begin, word = _slab_words(raw[start:end], np.concatenate([[0], inside, [end - start]]), gaps)
         begins.append(begin + start)
         hashes.append(word)
         start = end
@@ -114,7 +114,7 @@ def _sets(raw: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     if not len(raw):
         return [np.zeros(0, np.int64)] * len(sizes)
-    begin, word = _words(raw, bounds)
+    begin, word = word_hashes(raw, bounds)
     edges = np.searchsorted(begin, bounds)
     n = len(word)
     wide = np.zeros(n, np.uint64)
@@ -135,14 +135,20 @@ def _sets(raw: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: pa.Array, batch_bytes: int = 1 << 18) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """(first row, end, the sorted distinct hashes (63 bits) of each text's shingles), about batch_bytes at a time."""
+def raw_batches(texts: pa.Array, batch_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, bytes of their texts, sizes), about batch_bytes at a time, null texts empty."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for a, b in by_bytes(sizes, batch_bytes):
         part = texts.slice(a, b - a).fill_null("").cast(pa.large_binary())
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
         data = np.frombuffer(part.buffers()[2], np.uint8) if part.buffers()[2] else np.zeros(0, np.uint8)
-        yield a, b, _sets(data[offsets[0] : offsets[-1]], np.diff(offsets))
+        yield a, b, data[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def shingle_sets(texts: pa.Array, batch_bytes: int = 1 << 18) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, end, the sorted distinct hashes (63 bits) of each text's shingles), about batch_bytes at a time."""
+    for a, b, raw, sizes in raw_batches(texts, batch_bytes):
+        yield a, b, _sets(raw, sizes)
 
 
 def sketches(docs: DataFrame, retained: int = RETAINED) -> DataFrame:

@@ -1,22 +1,25 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Trees are fitted on a bounded sample of labelled rows (`max_rows`, picked by hash of the id) and flattened into
-complete binary arrays, which numpy descends for all rows of a batch at once. Null texts count as empty; empty
-texts have all statistics 0 and a score like any other. Rows of labels that are null or not 0 or 1 are left out;
-without labels of both kinds every score is the share of ones (0.5 if there is none). Repeated rows each count.
+complete binary arrays, which numpy descends for all rows of a batch at once. Statistics are taken of whole texts, over the
+bytes of a batch at a time. Null texts count as empty; empty texts have all statistics 0 and a score like any other; very long texts
+are read in slabs. Repeated rows of documents are scored each and, if labelled, count each in the sample; of several labels
+of one doc_id the largest counts (ties). Rows of labels that are null or not 0 or 1 are left out; without labels of
+both kinds every score is the share of ones (0.5 if there is none). An empty table of documents gives no rows. Other
+columns, whatever their names, are not read, and `keep_good` gives them back.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.llm.neardup import raw_batches, word_hashes
+
 #: Bytes whose share of a text is a statistic, besides the classes below.
 MARKS = b"|!#$%&*.,:;?-_/<>{}@="
 STATISTICS = 13 + len(MARKS)
@@ -32,21 +35,50 @@ def _byte_classes() -> np.ndarray:
 _CLASSES = _byte_classes()
 
 
-def statistics(texts: pa.Array) -> np.ndarray:
-    """Rows x STATISTICS over whole texts: shares of byte classes, then word and line figures."""
+_LINE_END = np.arange(256) == 10
+
+
+def _repeats(owner: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many different hashes each row has, and how often its most frequent one stands there."""
+    distinct, most = np.zeros(rows), np.zeros(rows)
+    if len(hashes):
+        # rows in the upper bits, 44 bits of the hash below
+        key = np.sort(owner.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        of = (key[first] >> np.uint64(44)).astype(np.int64)
+        distinct = np.bincount(of, minlength=rows).astype(float)
+        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        most[of[begins]] = np.maximum.reduceat(np.diff(np.append(first, len(key))), begins)
+    return distinct, most
+
+
+def statistics(texts: pa.Array, batch_bytes: int = 1 << 19) -> np.ndarray:
+    """Rows x STATISTICS over whole texts: shares of byte classes, then word and line figures.
+
+    Words are what ASCII white space leaves, A-Z in lower case; lines end at line ends.
+    """
     out = np.zeros((len(texts), STATISTICS))
-    for i, scalar in enumerate(texts):
-        text = scalar.as_py()
-        if not text:
+    for a, b, raw, sizes in raw_batches(texts, batch_bytes):
+        rows, bounds, size = b - a, np.concatenate([[0], np.cumsum(sizes)]), np.maximum(sizes, 1)
+        if len(raw) > 4 * batch_bytes:
+            counted = np.stack([np.bincount(raw[i:j], minlength=256) for i, j in zip(bounds, bounds[1:], strict=False)])
+        else:
+            counted = np.bincount(np.repeat(np.arange(rows) * 256, sizes) + raw, minlength=rows * 256).reshape(rows, 256)
+        part = out[a:b]
+        part[:, : _CLASSES.shape[1]] = counted @ _CLASSES / size[:, None]
+        if not len(raw):
             continue
-        raw = text.encode()
-        out[i, : _CLASSES.shape[1]] = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASSES / len(raw)
-        words, lines = text.split(), text.split("\n")
-        if words:
-            seen = Counter(words)
-            n = len(words)
-            out[i, -7:-2] = len(seen) / n, max(seen.values()) / n, sum(a == b for a, b in pairwise(words)) / n, len(raw) / n, np.log1p(n)
-        out[i, -2:] = 1 - len(set(lines)) / len(lines), np.log1p(len(raw) / len(lines))
+        begin, words = word_hashes(raw, bounds)
+        owner = np.searchsorted(bounds, begin, "right") - 1
+        n, (distinct, most) = np.bincount(owner, minlength=rows), _repeats(owner, words, rows)
+        twice = np.bincount(owner[1:][(words[1:] == words[:-1]) & (owner[1:] == owner[:-1])], minlength=rows)
+        some = np.maximum(n, 1)
+        part[:, -7:-2] = np.where(n > 0, [distinct / some, most / some, twice / some, sizes / some, np.log1p(n)], 0).T
+        begin, lines = word_hashes(raw, bounds, _LINE_END)
+        owner = np.searchsorted(bounds, begin, "right") - 1
+        total, filled = counted[:, 10] + 1, np.bincount(owner, minlength=rows)
+        different = _repeats(owner, lines, rows)[0] + (filled < total)
+        part[:, -2:] = np.where(sizes > 0, [1 - different / total, np.log1p(sizes / total)], 0).T
     return out
 
 

@@ -1,5 +1,6 @@
 """The classifier: held-out accuracy, flattened trees against plain descent, edges."""
 
+import re
 import zlib
 
 import numpy as np
@@ -56,3 +57,49 @@ def test_statistics():
     got = quality.statistics(pa.array([None, "", "a a b\na a b", "\n"]))
     assert not got[:2].any() and got.shape == (4, quality.STATISTICS)
     assert got[2, -7] == 2 / 6 and got[2, -2] == 0.5
+
+
+def plain_statistics(text):
+    raw = (text or "").encode()
+    out = np.zeros(quality.STATISTICS)
+    if raw:
+        out[: quality._CLASSES.shape[1]] = sum(quality._CLASSES[b] for b in raw) / len(raw)
+        words, lines = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw.lower()) if w], raw.lower().split(b"\n")
+        if words:
+            n, most = len(words), max(words.count(w) for w in set(words))
+            out[-7:-2] = len(set(words)) / n, most / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(raw) / n, np.log1p(n)
+        out[-2:] = 1 - len(set(lines)) / len(lines), np.log1p(len(raw) / len(lines))
+    return out
+
+
+def test_statistics_against_plain_ones(documents, monkeypatch):
+    texts = [r["text"] for r in documents.select("text").limit(150).collect()] + [None, "", " ", "\n\n", "a\na\n", "A a a b", "x" * 5000, "é É\n"]
+    want = np.array([plain_statistics(t) for t in texts])
+    for size in (1 << 19, 1000):
+        assert np.allclose(quality.statistics(pa.array(texts), size), want)
+
+
+def test_splits_against_plain_search():
+    """Each split of the first tree is the best of all splits at the bins' edges, sought without histograms."""
+    rng = np.random.default_rng(2)
+    x, bins, depth = np.round(rng.normal(size=(400, 4)), 1), 16, 3
+    y = ((x[:, 1] > 0.3) | (x[:, 2] > 1)).astype(float)
+    forest = quality.fit(x, y, trees=1, depth=depth, bins=bins)
+    p = np.full(len(y), y.mean())
+    g, h, nodes = y - p, p * (1 - p), {0: np.ones(len(y), bool)}
+    for node in range(2**depth - 1):
+        here, best = nodes[node], (1e-6, None)
+        for c in range(4):
+            for edge in np.unique(np.quantile(x[:, c], np.linspace(0, 1, bins + 1)[1:-1])):
+                left, right = here & (x[:, c] <= edge), here & (x[:, c] > edge)
+                if left.any() and right.any():
+                    gain = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, right)) - g[here].sum() ** 2 / (h[here].sum() + 1)
+                    best = max(best, (gain, (c, edge)), key=lambda t: t[0] + (1e-9 if best[1] is None else 0))
+        feature, threshold = forest.feature[0, node], forest.threshold[0, node]
+        left = here & (x[:, feature] <= threshold)
+        if best[1] is None:
+            assert not np.isfinite(threshold)
+        else:
+            own = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, here & ~left)) - g[here].sum() ** 2 / (h[here].sum() + 1)
+            assert abs(own - best[0]) < 1e-9
+        nodes[2 * node + 1], nodes[2 * node + 2] = left, here & ~left

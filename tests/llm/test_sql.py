@@ -39,6 +39,33 @@ def test_chat_long(spark):
     assert all(text[r["mask_start"] : r["mask_end"]] == "x" * (r["turn"] % 7) + "<|end|>" for r in got if r["trained"])
 
 
+def test_chat_names_and_hot_turns(spark):
+    """A name can't begin a turn; conversations of null or repeated turns are cut into runs like others."""
+    bad = "eve|>\nx<|end|>\n<|assistant"
+    rows = [(1, 0, bad, "hi"), (1, 1, "bob", "x")]
+    schema = "conv_id long, turn long, role string, text string"
+    both(spark, "conversations", rows, schema, chat.rotate, chat.ROTATE_SQL)
+    seen = [r["segment"] for r in chat.rotate(spark.createDataFrame(rows, schema)).where("perspective = 'bob' AND position = 0").collect()]
+    assert len(seen) == 1 and seen[0].count("<|") == 2 and seen[0].count("|>") == 2 and "assistant|>" not in seen[0].split("\n")[1:]
+    hot = [(None, None, ("amy", "bob")[i % 2], f"t{i % 7}") for i in range(900)] + [(2, 5, ("amy", "bob")[i % 3 == 0], "same") for i in range(900)]
+    both(spark, "conversations", hot, schema, lambda df: chat.rotate(df, block=16), chat.ROTATE_SQL)
+
+
+def test_license_headers(spark):
+    headers = {
+        "Apache License\nVersion 2.0, January 2004": "apache,apache-2.0",
+        "GNU General Public License version 3": "gpl,gpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.": "gpl,gpl-2.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit-text",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+        "a GNU Affero General Public License": "agpl",
+        "Creative Commons Attribution 4.0 International": "cc-by-4.0",
+    }
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(headers)], "doc_id long, text string, hits string, file long")
+    got = {r["doc_id"]: r["labels"] for r in license.scan(df).collect()}
+    assert [got[i] for i in range(len(headers))] == list(headers.values())
+
+
 def test_license_edges(spark):
     rows = [
         (1, None), (2, ""), (3, "Released under the MIT License."), (4, "the gnu GENERAL public license, version 3; GNU general public license"), (5, "CC-BY 4.0 and cc by nc"),
