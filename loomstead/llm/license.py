@@ -19,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import lower_ascii, materialize
@@ -28,6 +28,10 @@ from loomstead.llm.common import lower_ascii, materialize
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Up to so many candidates of a file are looked through for each word.
+FEW = 64
+
+
 @dataclass(frozen=True)
 class Template:
     """A notice; keys are the phrases of it that must be there, by default the whole notice."""
@@ -116,29 +120,45 @@ def inverse_frequencies(files: DataFrame, templates: tuple[Template, ...] = TEMP
     return {w: log((1 + n.get("", 0)) / (1 + n.get(w, 0))) for w in vocabulary(templates)}
 
 
-def index(files: DataFrame, templates: tuple[Template, ...], idf: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """The rare tokens (w, template, place, bit) and all words (w, template, place, mandatory, share) of the templates."""
-    rare, every = [], []
+def rare_tokens(templates: tuple[Template, ...], idf: dict[str, float]) -> dict[str, list[tuple[int, int, int]]]:
+    """The index: (template, place, which of its two) for each template's two rarest mandatory words."""
+    postings: dict[str, list[tuple[int, int, int]]] = {}
     for k, t in enumerate(templates):
         ranked = sorted(t.mandatory, key=lambda q: (-idf[t.words[q]], t.words[q], q))
         second = next((q for q in ranked if t.words[q] != t.words[ranked[0]]), ranked[0])
-        rare += [(t.words[q], k, q, 1 << b) for b, q in enumerate((ranked[0], second))]
-        total = sum(idf[w] for w in t.words)
-        every += [(w, k, q, int(q in t.mandatory), idf[w] / total if total else 1 / len(t.words)) for q, w in enumerate(t.words)]
-    spark = files.sparkSession
-    return spark.createDataFrame(rare, "w string, template int, place int, bit int"), spark.createDataFrame(every, "w string, template int, place int, mandatory int, share double")
+        for which, q in enumerate((ranked[0], second)):
+            postings.setdefault(t.words[q], []).append((k, q, which))
+    return dict(sorted(postings.items(), key=lambda p: (-idf[p[0]], p[0])))
+
+
+def all_words(spark: SparkSession, templates: tuple[Template, ...], idf: dict[str, float]) -> DataFrame:
+    """w, template, place, mandatory, share (of its template's inverse frequencies) of the templates' words."""
+    rows = []
+    for k, t in enumerate(templates):
+        total, needed = sum(idf[w] for w in t.words), set(t.mandatory)
+        rows += [(w, k, q, int(q in needed), idf[w] / total if total else 1 / len(t.words)) for q, w in enumerate(t.words)]
+    return spark.createDataFrame(rows, "w string, template int, place int, mandatory int, share double")
+
+
+def candidates(hits: Column, postings: dict[str, list[tuple[int, int, int]]]) -> Column:
+    """Where (template, start) the postings of both of a template's rare words agree, in one file."""
+    posted = F.create_map(*[c for w, places in postings.items() for c in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("template"), F.lit(q).alias("place"), F.lit(which).alias("which")) for k, q, which in places]))])
+    looked_up = F.filter(hits, lambda h: h["w"].isin(list(postings)))
+    starts = F.flatten(F.transform(looked_up, lambda h: F.transform(F.element_at(posted, h["w"]), lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["place"]).alias("start"), p["which"].alias("which")))))
+    of = lambda which: F.transform(F.filter(starts, lambda s: s["which"] == which), lambda s: F.struct(s["template"].alias("template"), s["start"].alias("start")))
+    return F.array_intersect(of(0), of(1))
 
 
 def found(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """file, template, start, share: every place of every template, with the share of its words that stand there."""
-    rare, every = index(files, templates, inverse_frequencies(files, templates))
-    # the tables are as large as the templates, so they are broadcast
-    looked_up = files.select("file", F.explode("hits").alias("h")).select("file", "h.*").join(F.broadcast(rare), "w")
-    starts = looked_up.groupBy("file", "template", (F.col("at") - F.col("place")).alias("start")).agg(F.bit_or("bit").alias("bits"))
-    candidates = materialize(starts.where("bits = 3").drop("bits"))
-    some = files.join(candidates.select("file").distinct(), "file", "left_semi").select("file", F.explode("hits").alias("h"))
-    standing = some.select("file", "h.*").join(F.broadcast(every), "w").withColumn("start", F.col("at") - F.col("place"))
-    checked = candidates.join(standing, ["file", "template", "start"]).groupBy("file", "template", "start").agg(F.sum("mandatory").alias("there"), F.sum("share").alias("share"))
+    idf = inverse_frequencies(files, templates)
+    some = files.select("file", "hits", candidates(F.col("hits"), rare_tokens(templates, idf)).alias("candidates")).where(F.size("candidates") > 0)
+    # the words of all templates, a table as large as they are, are broadcast
+    standing = some.select("file", "candidates", F.explode("hits").alias("h")).select("file", "candidates", "h.*").join(F.broadcast(all_words(files.sparkSession, templates, idf)), "w")
+    place = F.struct("template", (F.col("at") - F.col("place")).alias("start"))
+    # of a file with many candidates all starts are counted: only a candidate can have all mandatory words
+    near = standing.where((F.size("candidates") > FEW) | F.array_contains("candidates", place)).select("file", place.alias("_p"), "mandatory", "share").select("file", "_p.*", "mandatory", "share")
+    checked = near.groupBy("file", "template", "start").agg(F.sum("mandatory").alias("there"), F.sum("share").alias("share"))
     needed = F.array(*[F.lit(len(t.mandatory)) for t in templates])
     return checked.where(F.col("there") == F.get(needed, F.col("template"))).drop("there")
 
