@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.scalars import equals_ignoring_case, first_given, is_given
 from loomstead.operators.relational import in_allowed
+from loomstead.sources.shared import materialize
 
 
 def ladder(*steps: tuple[Column, str], otherwise: str) -> Column:
@@ -46,19 +47,27 @@ def remove_member(target: Column) -> Column:
 def accept_batch(requests: DataFrame, invitations: DataFrame, members: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decided requests (invitation_id, user_id, email, developer_role), next invitations and new members.
 
-    Requests for one invitation are taken in the order of user_id: after the first that is accepted the invitation
-    isn't pending any more, and for one user and project only the first counts.
+    Requests are taken in the order of user_id and invitation_id: after the first that is accepted an invitation isn't
+    pending any more, and a user is a member. All that come first both of their invitation and of their user and
+    project are accepted at once, those that they rule out go, and so on until none is left.
     """
     asked = requests.withColumnRenamed("developer_role", "asked_role").withColumnRenamed("email", "asked_email")
     inv = invitations.select("id", "project_id", F.col("email").alias("invited"), "permission_tier", F.col("developer_role").alias("given_role"), "status")
-    own = members.select("project_id", "user_id").withColumn("_member", F.lit(True))
+    own = members.select("project_id", "user_id").distinct().withColumn("_member", F.lit(True))
     joined = asked.join(inv, asked.invitation_id == inv.id, "left").join(own, ["project_id", "user_id"], "left")
     joined = joined.withColumn("role", first_given(F.col("given_role"), F.col("asked_role")))
     first = accept_invitation(F.col("id").isNotNull(), F.col("invited"), F.col("asked_email"), F.col("status"), F.col("role"), F.col("_member").isNotNull())
-    decided = joined.withColumn("decision", first)
-    ok = F.when(F.col("decision") == "accept", 1).otherwise(0)
-    earlier = lambda key: F.coalesce(F.sum(ok).over(Window.partitionBy(key if isinstance(key, str) else F.struct(*key)).orderBy("user_id", "invitation_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
-    decided = decided.withColumn("decision", F.when((ok == 1) & earlier("invitation_id"), "409 not pending").when((ok == 1) & earlier(["project_id", "user_id"]), "409 member").otherwise(F.col("decision")))
+    guessed = materialize(joined.withColumn("guess", first).withColumn("_o", F.struct("user_id", "invitation_id", F.monotonically_increasing_id().alias("n"))))
+    rest, taken = guessed.where("guess = 'accept'").select("_o", "invitation_id", "project_id", "user_id"), None
+    while not rest.isEmpty():
+        least = lambda *keys: F.min("_o").over(Window.partitionBy(*keys))
+        now = materialize(rest.withColumn("_i", least("invitation_id")).withColumn("_u", least("project_id", "user_id")).where("_o = _i AND _o = _u").drop("_i", "_u"))
+        taken = now if taken is None else taken.unionByName(now)
+        rest = materialize(rest.join(now.select("invitation_id"), "invitation_id", "left_anti").join(now.select("project_id", "user_id"), ["project_id", "user_id"], "left_anti"))
+    taken = taken if taken is not None else rest
+    by = guessed.join(taken.select("invitation_id", F.col("_o").alias("_w")), "invitation_id", "left")
+    ok = F.col("guess") == "accept"
+    decided = by.withColumn("decision", F.when(ok & (F.col("_w") == F.col("_o")), "accept").when(ok & (F.col("_w") < F.col("_o")), "409 not pending").when(ok, "409 member").otherwise(F.col("guess")))
     won = decided.where("decision = 'accept'")
     new = won.select("project_id", "user_id", "permission_tier", F.col("role").alias("developer_role"), at.alias("joined_at"))
     marks = won.select("invitation_id", F.col("user_id").alias("_by"))

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.sources.shared import materialize
+
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """node, depth: what the start nodes (node) reach over edges (source, target), at its least depth.
+    """node, depth, path: what the start nodes (node) reach over edges (source, target), at its least depth.
 
-    Breadth first: each step joins the newest nodes alone, and what is known is left out, so cycles end. Steps are
-    checkpointed, or their lineage would double each time.
+    path has the nodes on the way, of several ways the first in order. Breadth first: each step joins the newest nodes
+    alone, and what is known is left out, so cycles end. Steps are written, or their lineage would double each time.
     """
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
+    edges = materialize(edges.select("source", "target").distinct())
+    seen = start.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))
     newest = seen
     for d in range(1, depth + 1):
-        found = edges.join(newest.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
-        newest = found.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            newest = newest.checkpoint()
-            if newest.isEmpty():
-                break
+        step = edges.join(newest.select(F.col("node").alias("source"), "path"), "source").groupBy(F.col("target").alias("node"))
+        found = step.agg(F.min(F.concat("path", F.array("target"))).alias("path"))
+        newest = materialize(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "path"))
+        if newest.isEmpty():
+            break
         seen = seen.unionByName(newest)
     return seen
 

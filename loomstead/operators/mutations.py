@@ -21,6 +21,16 @@ def last_of(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     return changes.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("_c")).select(*keys, *[F.col(f"_c.{c}").alias(c) for c in rest])
 
 
+def single(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One change for each key: the last by `order`; without an order several changes of a key are refused."""
+    if order:
+        return last_of(changes, keys, order)
+    rest = [c for c in changes.columns if c not in keys]
+    counted = changes.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_c"))
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("several changes of one key, and no order"))).otherwise(F.col("_c"))
+    return counted.withColumn("_c", checked).select(*keys, *[F.col("_c")[c].alias(c) for c in rest])
+
+
 def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
     """rows appended; columns that they lack get a default, else null."""
     given = {c: (defaults or {}).get(c, F.lit(None)).cast(t) for c, t in table.dtypes if c not in rows.columns}
@@ -32,9 +42,9 @@ def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     return table.unionByName(rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti").select(*table.columns))
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
-    """New keys are inserted; of known keys the updated columns change, to null too, and others stay."""
-    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in table.columns if c not in keys], F.lit(True).alias("_new"))
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], updated: list[str], order: str | None = None) -> DataFrame:
+    """New keys are inserted; of known keys the updated columns change, to null too, and others stay. See `single`."""
+    new = single(changes, keys, order).select(*keys, *[F.col(c).alias(f"_{c}") for c in table.columns if c not in keys], F.lit(True).alias("_new"))
     joined = table.withColumn("_old", F.lit(True)).join(new, keys, "full")
     pick = lambda c: F.when(F.col("_new").isNotNull() & (F.col("_old").isNull() | F.lit(c in updated)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
     return joined.select(*[F.col(c) if c in keys else pick(c) for c in table.columns])
@@ -48,10 +58,10 @@ def update_guarded(table: DataFrame, ids: DataFrame, key: str, guard: Column, ne
     return marked.select(*[F.when(F.col("changed"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in table.columns], "changed")
 
 
-def update_partial(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Per column, changes with has_<column> set it, to null too; others leave it."""
-    new = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns], *[f"has_{c}" for c in columns])
-    joined = table.join(new, key, "left")
+def update_partial(table: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], order: str | None = None) -> DataFrame:
+    """Per column, changes with has_<column> set it, to null too; others leave it. See `single`."""
+    new = single(changes, keys, order).select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], *[f"has_{c}" for c in columns])
+    joined = table.join(new, keys, "left")
     return joined.select(*[F.when(F.col(f"has_{c}"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 

@@ -108,10 +108,10 @@ def within_budget(df: DataFrame, partition: str, size: str, limit: float, *order
 
 
 def without_ignored(df: DataFrame, path: str, ignored: list[str]) -> DataFrame:
-    """Rows whose path begins with none of the ignored ones. Matching by prefix is ours."""
-    return df.where(~F.exists(F.array(*map(F.lit, ignored)), lambda p: F.startswith(F.col(path), p))) if ignored else df
+    """Rows whose path begins with none of the ignored ones; a null path begins with none. Matching by prefix is ours."""
+    return df.where(~F.coalesce(F.exists(F.array(*map(F.lit, ignored)), lambda p: F.startswith(F.col(path), p)), F.lit(False))) if ignored else df
 
 
 def without_secrets(df: DataFrame, text: str, pattern: str) -> DataFrame:
-    """Rows whose text doesn't match. The pattern is ours."""
-    return df.where(~F.rlike(F.col(text), F.lit(pattern)))
+    """Rows whose text doesn't match; a null text doesn't. The pattern is ours."""
+    return df.where(~F.coalesce(F.rlike(F.col(text), F.lit(pattern)), F.lit(False)))

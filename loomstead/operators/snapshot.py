@@ -14,9 +14,10 @@ def diff(old: DataFrame, new: DataFrame, key: str = "stable_key", value: str = "
 
 
 def stale_receipts(receipts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """receipts with stale: their node is gone or has another hash."""
-    now = nodes.select(F.col("stable_key").alias("node_stable_key"), F.col("hash").alias("_now"))
-    return receipts.join(now, "node_stable_key", "left").withColumn("stale", ~F.col("node_hash").eqNullSafe(F.col("_now"))).drop("_now")
+    """receipts with stale: no node of that key has that hash. Nodes of several snapshots multiply no receipt."""
+    now = nodes.select(F.col("stable_key").alias("_key"), F.col("hash").alias("_now")).distinct().withColumn("_there", F.lit(True))
+    known = receipts.join(now, (F.col("node_stable_key") == F.col("_key")) & F.col("node_hash").eqNullSafe(F.col("_now")), "left")
+    return known.withColumn("stale", F.col("_there").isNull()).drop("_key", "_now", "_there")
 
 
 def propagate(changed: DataFrame, steps: DataFrame, sections: DataFrame) -> DataFrame:
@@ -46,5 +47,6 @@ def rollup(nodes: DataFrame, key: str, kind: Column, kinds: dict[str, str]) -> D
 
 
 def confidence(receipts: Column, low: int = 0, medium: int = 2) -> Column:
-    """low without receipts; the other threshold is ours."""
+    """low without receipts, or without a number of them; the other threshold is ours."""
+    receipts = F.coalesce(receipts, F.lit(0))
     return F.when(receipts <= low, "low").when(receipts <= medium, "medium").otherwise("high")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstead.functions.scalars import equals_ignoring_case, first_given
-from loomstead.operators import mutations, relational
+from loomstead.functions.scalars import equals_ignoring_case, first_given, is_given
+from loomstead.operators import decisions, mutations, relational
 from loomstead.schemas import DEFAULTS, UNIQUE
+from loomstead.sources.shared import materialize
+
+#: The tiers that manage a project.
+MANAGERS = ["owner", "admin"]
 
 Tables = dict[str, DataFrame]
 
@@ -41,7 +45,10 @@ def create_projects(t: Tables, new: DataFrame, at: datetime) -> tuple[Tables, Da
     The second result has those refused because the user has the same repository and branch already.
     """
     unique = UNIQUE["projects"][1]
-    fresh = new.join(t["projects"].select(*unique), unique, "left_anti").dropDuplicates(unique)
+    rest = [c for c in new.columns if c not in ("id", *unique)]
+    chosen = new.join(t["projects"].select(*unique), unique, "left_anti").groupBy(*unique).agg(F.min(F.struct("id", *rest)).alias("_c"))
+    # of several alike the smallest id; written, so that all three tables get the same
+    fresh = materialize(chosen.select(*unique, "_c.*"))
     now, role = F.lit(at).cast("timestamp"), F.coalesce(first_given(F.col("developer_role")), F.lit("fullstack"))
     projects = fresh.drop("developer_role").withColumn("created_at", now)
     settings = fresh.select(F.col("id").alias("project_id"), role.alias("default_developer_role"))
@@ -57,7 +64,7 @@ def create_projects(t: Tables, new: DataFrame, at: datetime) -> tuple[Tables, Da
 def update_settings(t: Tables, changes: DataFrame) -> Tables:
     """Per column of settings, changes (project_id, <column>, has_<column>) set what is supplied."""
     columns = [c for c in t["project_settings"].columns if f"has_{c}" in changes.columns]
-    return t | {"project_settings": mutations.update_partial(t["project_settings"], changes, "project_id", columns)}
+    return t | {"project_settings": mutations.update_partial(t["project_settings"], changes, ["project_id"], columns)}
 
 
 def delete_project(t: Tables, project: DataFrame) -> tuple[Tables, dict[str, DataFrame]]:
@@ -93,14 +100,75 @@ def my_invitations(t: Tables, email: str) -> DataFrame:
     return rows.join(projects, "project_id").join(inviters, "invited_by", "left").orderBy(F.desc("created_at"), "id")
 
 
-def revoke_invitations(t: Tables, ids: DataFrame) -> Tables:
-    """Pending ones become revoked; others stay."""
-    after = mutations.update_guarded(t["project_invitations"], ids, "id", F.col("status") == "pending", {"status": F.lit("revoked")})
-    return t | {"project_invitations": after.drop("changed")}
+def access(t: Tables, asked: DataFrame, allowed: list[str]) -> DataFrame:
+    """asked (project_id, user_id as `by`, ...) with the caller's tier (by_tier) and the guard's decision (access)."""
+    tiers = t["project_members"].select("project_id", F.col("user_id").alias("by"), F.col("permission_tier").alias("by_tier"))
+    return asked.join(tiers, ["project_id", "by"], "left").withColumn("access", decisions.access(F.col("by"), F.col("by_tier"), allowed))
+
+
+def create_invitations(t: Tables, new: DataFrame, at: datetime) -> tuple[Tables, DataFrame]:
+    """Invitations (id, project_id, by, email, permission_tier, developer_role), and the decision on each id.
+
+    Owners and admins invite; of several for one project and address only the smallest id is the first.
+    """
+    there = t["project_invitations"].where("status = 'pending'").select("project_id", F.lower("email").alias("_e")).distinct().withColumn("_there", F.lit(True))
+    first = F.row_number().over(Window.partitionBy("project_id", "_e", "_asked").orderBy("id"))
+    guarded = access(t, new, MANAGERS).withColumn("_e", F.lower("email")).join(there, ["project_id", "_e"], "left")
+    proper = (F.col("access") == "allow") & is_given(F.col("email")) & is_given(F.col("permission_tier"))
+    pending = F.col("_there").isNotNull() | (F.col("_asked") & (first > 1))
+    ruled = decisions.create_invitation(F.col("email"), F.col("permission_tier"), F.col("_pending"))
+    decided = guarded.withColumn("_asked", proper).withColumn("_pending", pending).withColumn("decision", F.when(F.col("access") != "allow", F.col("access")).otherwise(ruled))
+    rows = decided.where("decision = '201'").select("id", "project_id", "email", "permission_tier", "developer_role", F.col("by").alias("invited_by"), F.lit(at).cast("timestamp").alias("created_at"))
+    return t | {"project_invitations": mutations.insert(t["project_invitations"], rows, _defaults("project_invitations"))}, decided.select("id", "decision")
+
+
+def invitation(t: Tables, asked: DataFrame) -> DataFrame:
+    """asked (id, by_email) with the decision (404, 403, ok) and, if ok, the invitation with its project."""
+    projects = t["projects"].select(F.col("id").alias("project_id"), "repo_owner", "repo_name", "branch")
+    rows = asked.join(t["project_invitations"].join(projects, "project_id"), "id", "left")
+    decision = decisions.ladder((F.col("email").isNull(), "404"), (~equals_ignoring_case(F.col("email"), F.col("by_email")), "403"), otherwise="ok")
+    named = rows.withColumn("decision", decision)
+    return named.select("id", "by_email", "decision", *[F.when(F.col("decision") == "ok", F.col(c)).alias(c) for c in named.columns if c not in ("id", "by_email", "decision")])
+
+
+def accept_invitations(t: Tables, requests: DataFrame, at: datetime) -> tuple[Tables, DataFrame]:
+    """Requests (invitation_id, user_id, email, developer_role) decided; the accepted make members."""
+    decided, after, new = decisions.accept_batch(requests, t["project_invitations"], t["project_members"], F.lit(at).cast("timestamp"))
+    return t | {"project_invitations": after, "project_members": mutations.insert(t["project_members"], new)}, decided
+
+
+def revoke_invitations(t: Tables, ids: DataFrame) -> tuple[Tables, DataFrame]:
+    """Of ids (id, project_id, by) the pending ones of that project become revoked; the decision on each."""
+    known = t["project_invitations"].where("status = 'pending'").select("id", "project_id", F.lit(True).alias("_there"))
+    guarded = access(t, ids, MANAGERS).join(known, ["id", "project_id"], "left")
+    decided = guarded.withColumn("decision", decisions.ladder((F.col("access") != "allow", "refused"), (F.col("_there").isNull(), "404"), otherwise="ok"))
+    decided = decided.withColumn("decision", F.when(F.col("decision") == "refused", F.col("access")).otherwise(F.col("decision")))
+    after = mutations.update_guarded(t["project_invitations"], decided.where("decision = 'ok'"), "id", F.lit(True), {"status": F.lit("revoked")})
+    return t | {"project_invitations": after.drop("changed")}, decided.select("id", "project_id", "decision")
+
+
+def _targets(t: Tables, keys: DataFrame) -> DataFrame:
+    """keys (project_id, user_id, by, ...) with the target's tier and the guard's decision."""
+    tiers = t["project_members"].select("project_id", "user_id", F.col("permission_tier").alias("target_tier"))
+    return access(t, keys, MANAGERS).join(tiers, ["project_id", "user_id"], "left")
+
+
+def update_members(t: Tables, changes: DataFrame) -> tuple[Tables, DataFrame]:
+    """changes (project_id, user_id, by, permission_tier, has_permission_tier, developer_role, has_developer_role)."""
+    columns = ["permission_tier", "developer_role"]
+    fields = sum((F.coalesce(F.col(f"has_{c}"), F.lit(False)).cast("int") for c in columns), F.lit(0))
+    ruled = decisions.update_member(F.col("by_tier"), F.col("target_tier"), fields)
+    decided = _targets(t, changes).withColumn("decision", F.when(F.col("access") != "allow", F.col("access")).otherwise(ruled))
+    done = decided.where("decision = 'ok'").select("project_id", "user_id", *columns, *[f"has_{c}" for c in columns])
+    after = mutations.update_partial(t["project_members"], done, ["project_id", "user_id"], columns)
+    return t | {"project_members": after}, decided.select("project_id", "user_id", "decision")
 
 
-def remove_members(t: Tables, keys: DataFrame) -> Tables:
-    return t | {"project_members": mutations.delete(t["project_members"], keys, ["project_id", "user_id"])}
+def remove_members(t: Tables, keys: DataFrame) -> tuple[Tables, DataFrame]:
+    """Of keys (project_id, user_id, by) members go, but for owners; the decision on each."""
+    decided = _targets(t, keys).withColumn("decision", F.when(F.col("access") != "allow", F.col("access")).otherwise(decisions.remove_member(F.col("target_tier"))))
+    gone = decided.where("decision = 'ok'").select("project_id", "user_id")
+    return t | {"project_members": mutations.delete(t["project_members"], gone, ["project_id", "user_id"])}, decided.select("project_id", "user_id", "decision")
 
 
 def profile(t: Tables, user: str) -> DataFrame:
@@ -111,6 +179,6 @@ def profile(t: Tables, user: str) -> DataFrame:
 
 
 def save_connections(t: Tables, rows: DataFrame) -> Tables:
-    """Upsert by user and account: name, token and scopes change, id and created_at stay."""
-    after = mutations.upsert(t["github_connections"], rows, ["user_id", "github_user_id"], ["github_username", "access_token_encrypted", "scopes"])
+    """Upsert by user and account, the latest (created_at) of each: name, token and scopes change, id and created_at stay."""
+    after = mutations.upsert(t["github_connections"], rows, ["user_id", "github_user_id"], ["github_username", "access_token_encrypted", "scopes"], order="created_at")
     return t | {"github_connections": after.select(*t["github_connections"].columns)}

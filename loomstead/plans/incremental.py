@@ -85,13 +85,13 @@ _EDGES = "SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT 'r1' AS node, 0 AS depth UNION ALL SELECT e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node WHERE w.depth < 4)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""")
 def graph_reachability(t: Tables) -> DataFrame:
-    return graph.reach(_edges(t), t.spark.createDataFrame([("r1",)], "node string"), 4)
+    return graph.reach(_edges(t), t.spark.createDataFrame([("r1",)], "node string"), 4).drop("path")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT source, target FROM ({_EDGES}) UNION ALL SELECT target, source FROM ({_EDGES})), w AS (SELECT 'n3' AS node, 0 AS depth UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node WHERE w.depth < 2)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""")
 def graph_k_hop(t: Tables) -> DataFrame:
-    return graph.reach(graph.undirected(_edges(t)), t.spark.createDataFrame([("n3",)], "node string"), 2)
+    return graph.reach(graph.undirected(_edges(t)), t.spark.createDataFrame([("n3",)], "node string"), 2).drop("path")
 
 
 @query(f"SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o + i) AS BIGINT) AS degree FROM (SELECT source AS node, 1 AS o, 0 AS i FROM ({_EDGES}) UNION ALL SELECT target, 0, 1 FROM ({_EDGES})) GROUP BY 1")

@@ -81,7 +81,7 @@ def privacy_ignored_paths(t: Tables) -> DataFrame:
     return ops.without_ignored(t.pages.select("page_id", "url"), "url", ["http://", "https://m."])
 
 
-@query(f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '{SECRET}')")
+@query(f"SELECT doc_id FROM documents WHERE NOT coalesce(regexp_matches(text, '{SECRET}'), false)")
 def privacy_secret_filter(t: Tables) -> DataFrame:
     return ops.without_secrets(t.documents.select("doc_id", "text"), "text", SECRET).select("doc_id")
 

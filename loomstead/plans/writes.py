@@ -45,7 +45,7 @@ def update_guarded_status(t: Tables) -> DataFrame:
 def update_partial_fields(t: Tables) -> DataFrame:
     known = t.customer.where(F.col("c_custkey") % 10 == 0)
     changes = known.select("c_custkey", F.lit("changed").alias("c_name"), F.lit(True).alias("has_c_name"), F.lit(None).cast("string").alias("c_mktsegment"), (F.col("c_custkey") % 20 == 0).alias("has_c_mktsegment"))
-    return mutations.update_partial(t.customer.select("c_custkey", "c_name", "c_mktsegment"), changes, "c_custkey", ["c_name", "c_mktsegment"])
+    return mutations.update_partial(t.customer.select("c_custkey", "c_name", "c_mktsegment"), changes, ["c_custkey"], ["c_name", "c_mktsegment"])
 
 
 @query(f"SELECT {_CUSTOMER} FROM customer WHERE c_custkey % 10 <> 0")

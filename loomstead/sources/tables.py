@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomstead.schemas import BENCH, domain_schema
+from loomstead.sources.shared import materialize
 
 #: Fields of the answers that are read; others are ignored.
 INSTALLATIONS = "id long, account struct<login:string,type:string>, repository_selection string"
@@ -56,9 +57,10 @@ def repository_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def insert_returning(rows: DataFrame, path: str) -> DataFrame:
-    """Append rows to a Parquet table and return what was written."""
-    rows.write.mode("append").parquet(path)
-    return rows
+    """Append rows to a Parquet table and return what was written: times and ids are made once."""
+    made = materialize(rows)
+    made.write.mode("append").parquet(path)
+    return made
 
 
 def export_json(df: DataFrame, path: str) -> None:

@@ -104,11 +104,29 @@ def test_changes_by_route(world, spark):
     change = spark.createDataFrame([("p1", None, False, 7, True)], "project_id string, loc_limit int, has_loc_limit boolean, file_limit int, has_file_limit boolean")
     row = api.update_settings(world, change)["project_settings"].first()
     assert (row["file_limit"], row["loc_limit"], row["ignored_paths"]) == (7, 9, [])
-    ids = spark.createDataFrame([("i1",), ("i2",)], "id string")
-    revoked = api.revoke_invitations(world, ids)["project_invitations"]
-    assert {r["id"]: r["status"] for r in revoked.collect()} == {"i1": "revoked", "i2": "revoked", "i3": "pending"}
-    gone = spark.createDataFrame([("p1", "u2"), ("p1", "nobody")], "project_id string, user_id string")
-    assert api.remove_members(world, gone)["project_members"].count() == 3
+    ids = spark.createDataFrame([("i1", "p1", "u1"), ("i1", "p2", "u1"), ("i3", "p1", "nobody"), ("i9", "p1", "u1")], "id string, project_id string, by string")
+    after, decided = api.revoke_invitations(world, ids)
+    before = {r["id"]: r["status"] for r in world["project_invitations"].collect()}
+    assert {r["id"]: r["status"] for r in after["project_invitations"].collect()} == {**before, "i1": "revoked"}
+    assert {(r["id"], r["project_id"]): r["decision"] for r in decided.where("id <> 'i1' OR project_id = 'p1'").collect()} == {("i1", "p1"): "ok", ("i3", "p1"): "403 not a member", ("i9", "p1"): "404"}
+    gone = spark.createDataFrame([("p1", "u2", "u1"), ("p1", "nobody", "u1"), ("p1", "u1", "u1")], "project_id string, user_id string, by string")
+    after, decided = api.remove_members(world, gone)
+    assert after["project_members"].count() == 3 and {r["user_id"]: r["decision"] for r in decided.collect()} == {"u2": "ok", "nobody": "404", "u1": "403"}
+    change = spark.createDataFrame([("p1", "u2", "u1", "admin", True, None, False), ("p1", "u9", "u1", "admin", True, None, False), ("p1", "u1", "u2", "developer", True, None, False)], "project_id string, user_id string, by string, permission_tier string, has_permission_tier boolean, developer_role string, has_developer_role boolean")
+    after, decided = api.update_members(world, change)
+    assert {r["user_id"]: r["decision"] for r in decided.collect()}["u2"] == "ok" and {r["user_id"]: r["decision"] for r in decided.collect()}["u9"] == "404"
+    tiers = {r["user_id"]: r["permission_tier"] for r in after["project_members"].where("project_id = 'p1'").collect()}
+    assert tiers["u2"] == "admin" and tiers["u1"] == "owner"
+    new = spark.createDataFrame(
+        [("n1", "p1", "u1", "New@x.org", "developer", None), ("n2", "p1", "u1", "new@X.org", "admin", None), ("n3", "p1", "u1", "", "developer", None), ("n4", "p1", "nobody", "z@x.org", "developer", None), ("n5", "p1", "u1", "U3@x.org", "developer", None)],
+        "id string, project_id string, by string, email string, permission_tier string, developer_role string",
+    )
+    after, decided = api.create_invitations(world, new, T2)
+    assert {r["id"]: r["decision"] for r in decided.collect()} == {"n1": "201", "n2": "409", "n3": "400", "n4": "403 not a member", "n5": "409"}
+    made = after["project_invitations"].where("id = 'n1'").first()
+    assert (made["status"], made["invited_by"]) == ("pending", "u1")
+    asked = spark.createDataFrame([("i1", "U3@X.ORG"), ("i1", "other@x.org"), ("i9", "a")], "id string, by_email string")
+    assert {(r["id"], r["by_email"]): (r["decision"], r["repo_name"] is not None) for r in api.invitation(world, asked).collect()} == {("i1", "U3@X.ORG"): ("ok", True), ("i1", "other@x.org"): ("403", False), ("i9", "a"): ("404", False)}
     again = world["github_connections"].where("id = 'g1'").withColumns({"id": F.lit("new"), "github_username": F.lit("renamed"), "scopes": F.array(F.lit("repo"))})
     saved = {r["id"]: (r["github_username"], r["scopes"]) for r in api.save_connections(world, again)["github_connections"].collect()}
     assert saved == {"g1": ("renamed", ["repo"]), "g2": ("g2", [])}
@@ -137,10 +155,37 @@ def test_upsert_and_partial(spark):
     new = spark.createDataFrame([(2, None, "n"), (3, "c", "z")], "k int, v string, w string")
     assert sorted(map(tuple, mutations.upsert(old, new, ["k"], ["v"]).collect())) == [(1, "a", "x"), (2, None, "y"), (3, "c", "z")]
     part = spark.createDataFrame([(1, None, True, "n", False)], "k int, v string, has_v boolean, w string, has_w boolean")
-    assert sorted(map(tuple, mutations.update_partial(old, part, "k", ["v", "w"]).collect()), key=str) == [(1, None, "x"), (2, "b", "y")]
+    assert sorted(map(tuple, mutations.update_partial(old, part, ["k"], ["v", "w"]).collect()), key=str) == [(1, None, "x"), (2, "b", "y")]
     assert mutations.violations(old, {"v": F.col("v") == "a", "n": F.lit(None).cast("boolean")}).count() == 1
 
 
+def test_repeated_keys_and_nulls(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    twice = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (1, "z", 3)], "k int, v string, o int")
+    assert sorted(map(tuple, mutations.upsert(old, twice, ["k"], ["v"], order="o").select("k", "v").collect())) == [(1, "z"), (2, "y")]
+    with pytest.raises(Exception, match="several changes"):
+        mutations.upsert(old, twice, ["k"], ["v"]).collect()
+    part = twice.withColumn("has_v", F.lit(True))
+    assert sorted(map(tuple, mutations.update_partial(old, part, ["k"], ["v"], order="o").collect())) == [(1, "z")]
+    texts = spark.createDataFrame([(1, None), (2, "secret"), (3, "fine")], "i int, t string")
+    assert [r["i"] for r in relational.without_secrets(texts, "t", "secret").orderBy("i").collect()] == [1, 3]
+    assert [r["i"] for r in relational.without_ignored(texts, "t", ["sec"]).orderBy("i").collect()] == [1, 3]
+    assert one(spark, snapshot.confidence(F.col("a").cast("int")), a="no number"[:0] or "0") == "low"
+    assert texts.select(snapshot.confidence(F.lit(None).cast("int"))).first()[0] == "low"
+    receipts = spark.createDataFrame([(1, "n", "h")], "id int, node_stable_key string, node_hash string")
+    nodes = spark.createDataFrame([("n", "h"), ("n", "g"), ("n", "h")], "stable_key string, hash string")
+    assert [r["stale"] for r in snapshot.stale_receipts(receipts, nodes).collect()] == [False]
+
+
+def test_requests_in_turn(world, spark):
+    """What a refused request asked for stays open for the next."""
+    invitations = world["project_invitations"].where("id IN ('i1', 'i3')").withColumns({"project_id": F.lit("p1"), "email": F.lit("u3@x.org"), "status": F.lit("pending")})
+    asked = spark.createDataFrame([("i1", "u3", "u3@x.org", "frontend"), ("i3", "u3", "u3@x.org", "frontend"), ("i3", "u5", "U3@x.org", "frontend"), ("i1", "u6", "u3@x.org", "frontend")], "invitation_id string, user_id string, email string, developer_role string")
+    decided, after, new = decisions.accept_batch(asked, invitations, world["project_members"], F.lit(T2))
+    assert {(r["invitation_id"], r["user_id"]): r["decision"] for r in decided.collect()} == {("i1", "u3"): "accept", ("i3", "u3"): "409 member", ("i3", "u5"): "accept", ("i1", "u6"): "409 not pending"}
+    assert {r["id"]: r["accepted_by"] for r in after.collect()} == {"i1": "u3", "i3": "u5"} and new.count() == 2
+
+
 def test_constraints(world, spark):
     assert mutations.duplicates(world["projects"], ["user_id", "repo_owner", "repo_name", "branch"]).count() == 0
     twice = world["projects"].unionByName(world["projects"])
@@ -195,6 +240,7 @@ def test_graph_with_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string")
     start = spark.createDataFrame([("a",)], "node string")
     assert {r["node"]: r["depth"] for r in graph.reach(edges, start, 9).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    assert {r["node"]: r["path"] for r in graph.reach(edges, start, 9).collect()}["d"] == ["a", "b", "c", "d"]
     assert {r["node"]: r["degree"] for r in graph.degrees(edges).collect()} == {"a": 2, "b": 2, "c": 3, "d": 1}
 
 
@@ -251,3 +297,8 @@ def test_job_stream(spark, tmp_path):
     assert got == {"j1": ("complete", 100, 1), "j2": ("failed", 0, 2)}
     jobs.run(spark, str(queue), str(out), work, str(tmp_path / "checkpoint"), retries=2)
     assert jobs.latest(spark, str(out)).count() == 2
+    table(spark, "analysis_jobs", job("j3", "ok"), job("j4", "lost")).write.mode("append").parquet(str(queue))
+    jobs.run(spark, str(queue), str(out), lambda claimed: work(claimed.where("requested_by <> 'lost'")), str(tmp_path / "checkpoint"), retries=2)
+    got = {r["id"]: (r["status"], r["error_message"]) for r in jobs.latest(spark, str(out)).collect()}
+    assert got["j3"] == ("complete", None) and got["j4"] == ("failed", "no result")
+    assert {r["status"] for r in spark.read.parquet(str(out)).where("id = 'j4'").collect()} == {"running", "queued", "failed"}
