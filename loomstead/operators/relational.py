@@ -12,6 +12,8 @@ from loomstead.sources.shared import materialize
 
 #: Which statuses each named filter shows; "stale" counts flags instead.
 STATUS_FILTERS = {"active": ("analyzing", "idle"), "completed": ("complete",)}
+#: Rows of a run, a power of two.
+RUN = 1 << 12
 
 
 def search(df: DataFrame, text: str, *columns: str) -> DataFrame:
@@ -64,19 +66,21 @@ def latest_with_count(parents: DataFrame, parent: str, children: DataFrame, chil
     return joined.select(parents[parent], "latest", F.coalesce("n", F.lit(0)).cast("int").alias("stale_count"))
 
 
-def numbered(df: DataFrame, partition: list[str], *order: Column, name: str = "position") -> DataFrame:
-    """Rows numbered from 1 in each partition."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long"))
-
-
 def steps(df: DataFrame, parent: str, order: str, label: str) -> DataFrame:
-    """Ordered steps with the labels before and after each."""
-    w = Window.partitionBy(parent).orderBy(order)
-    return df.withColumns({"step": F.row_number().over(w).cast("long"), "previous": F.lag(label).over(w), "following": F.lead(label).over(w)})
+    """Ordered steps with the labels before and after each.
+
+    A parent may have any number of steps: they are cut into runs of RUN, each of which also gets the step before it
+    and the one after.
+    """
+    run, at = F.floor(F.col("step") / RUN), F.col("step") % RUN
+    runs = F.array_compact(F.array(run, F.when(at == 0, run - 1), F.when(at == RUN - 1, run + 1)))
+    w = Window.partitionBy(parent, "_run").orderBy("step")
+    dealt = numbered_by_range(df, [parent], F.col(order), name="step").withColumn("_run", F.explode(runs))
+    return dealt.withColumns({"previous": F.lag(label).over(w), "following": F.lead(label).over(w)}).where(F.col("_run") == run).drop("_run")
 
 
 def numbered_by_range(df: DataFrame, partition: list[str], *order: Column, name: str = "position", total: str | None = None, running: dict[str, str] | None = None) -> DataFrame:
-    """`numbered` for partitions of any size, with the partition's rows as `total` and running sums {name: column}.
+    """Rows numbered from 1 in each partition, with the partition's rows as `total` and running sums {name: column}.
 
     Rows are dealt by ranges of (partition, order) and written once, so a partition with a third of all rows lies in
     as many tasks as its size needs. A row's number is its place in its range plus the rows of the ranges before.

@@ -29,7 +29,7 @@ def list_projects(t: Tables, user: str) -> DataFrame:
     ids = mine.select("id")
     snapshots = t["analysis_snapshots"].join(ids.select(F.col("id").alias("project_id")), "project_id", "left_semi").select("project_id", "created_at", F.col("id").alias("snapshot_id"))
     counts = relational.latest_with_count(ids, "id", snapshots, "project_id", "created_at", "snapshot_id", t["stale_flags"].select("snapshot_id"), "snapshot_id")
-    return relational.numbered(mine.join(counts.select("id", "stale_count"), "id"), [], F.desc("created_at"), F.asc("id"))
+    return relational.numbered_by_range(mine.join(counts.select("id", "stale_count"), "id"), [], F.desc("created_at"), F.asc("id"))
 
 
 def get_project(t: Tables, project: str) -> DataFrame:
@@ -83,13 +83,13 @@ def analyze(t: Tables, project: str, user: str, job: str, at: datetime) -> tuple
 def list_members(t: Tables, project: str) -> DataFrame:
     """Members with their address, in the order of joining (position)."""
     rows = t["project_members"].where(F.col("project_id") == project).join(t["users"].select(F.col("id").alias("user_id"), "email"), "user_id")
-    return relational.numbered(rows, ["project_id"], F.asc("joined_at"), F.asc("user_id"))
+    return relational.numbered_by_range(rows, ["project_id"], F.asc("joined_at"), F.asc("user_id"))
 
 
 def list_invitations(t: Tables, project: str, status: str = "pending") -> DataFrame:
     rows = t["project_invitations"].where((F.col("project_id") == project) & (F.col("status") == status))
     inviters = t["users"].select(F.col("id").alias("invited_by"), F.col("email").alias("invited_by_email"))
-    return relational.numbered(rows.join(inviters, "invited_by", "left"), ["project_id"], F.desc("created_at"), F.asc("id"))
+    return relational.numbered_by_range(rows.join(inviters, "invited_by", "left"), ["project_id"], F.desc("created_at"), F.asc("id"))
 
 
 def my_invitations(t: Tables, email: str) -> DataFrame:

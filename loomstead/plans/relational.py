@@ -148,7 +148,7 @@ def module_clusters(t: Tables) -> DataFrame:
 def sort_members_by_joined(t: Tables) -> DataFrame:
     order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]
     joined = t.lineitem.join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return ops.numbered(joined, ["l_suppkey"], *order).select("l_suppkey", "l_orderkey", "l_linenumber", "position", "s_name")
+    return ops.numbered_by_range(joined, ["l_suppkey"], *order).select("l_suppkey", "l_orderkey", "l_linenumber", "position", "s_name")
 
 
 @query("SELECT o_custkey, o_orderkey AS latest FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")

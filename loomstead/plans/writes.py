@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,16 +96,18 @@ WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1), c AS (SELECT c
 o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c)), l AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey IN (FROM o))
 SELECT 'nation' AS gone, count(*) AS n FROM n UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM l""")
 def cascade_delete_closure(t: Tables) -> DataFrame:
-    nations = t.nation.where(F.col("n_regionkey") == 1)
-    customers = t.customer.join(nations.select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey", "left_semi")
-    orders = t.orders.join(customers.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    lines = t.lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    parts = {"nation": nations, "customer": customers, "orders": orders, "lineitem": lines}
-    out = None
-    for name, df in parts.items():
-        counted = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("gone"), "n")
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    # nations stand in for users, customers for projects, orders for snapshots and lines for workflows
+    stands_for = {"users": "nation", "projects": "customer", "analysis_snapshots": "orders", "workflows": "lineitem"}
+    before = {
+        "users": t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region")),
+        "projects": t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("user_id")),
+        "analysis_snapshots": t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id")),
+        "workflows": t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("snapshot_id")),
+    }
+    after, _ = mutations.cascade(before, "users", before["users"].where("region = 1"))
+    fewer = lambda name: before[name].select(F.lit(1).alias("n")).unionAll(after[name].select(F.lit(-1).alias("n")))
+    counted = [fewer(k).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(v).alias("gone"), "n") for k, v in stands_for.items()]
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS o_custkey FROM orders")

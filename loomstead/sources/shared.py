@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that this thread has made in the shared folder.
+_made = threading.local()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only a local session that names none gets one of its own."""
@@ -29,6 +34,26 @@ def materialize(df: DataFrame, destination: str | None = None) -> DataFrame:
     path = destination or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not destination:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+        at, files = _located(spark, path)
+        files.deleteOnExit(at)
+        _made.paths = [*getattr(_made, "paths", []), path]
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, as a table; tables that this thread makes on the way are deleted once it is written."""
+    before = getattr(_made, "paths", [])
+    table = materialize(make())
+    *passing, last = _made.paths[len(before) :]
+    for path in passing:
+        at, files = _located(table.sparkSession, path)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
+    _made.paths = [*before, last]
+    return table
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Hadoop knows them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstead import schemas
@@ -252,13 +253,18 @@ def test_snapshot_and_ranking(spark):
     assert str(scores.select(ranking.composite({"entrypoint_exposure": 1.0})).first()[0]) == "999.999"
 
 
-def test_numbers_of_large_partitions(spark):
+def test_numbers_of_large_partitions(spark, monkeypatch):
     rows = spark.range(5000).selectExpr("if(id % 3 = 0, 0L, id % 50) as k", "(id * 7919) % 5000 as o", "1L as n").unionByName(spark.createDataFrame([(None, 1, 1), (None, 2, 1)], "k long, o long, n long"))
     got = relational.numbered_by_range(rows, ["k"], F.col("o"), total="all", running={"sum": "n"})
-    want = relational.numbered(rows, ["k"], F.col("o"), name="w")
+    want = rows.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("o")))
     both = got.join(want, (got.k.eqNullSafe(want.k)) & (got.o == want.o))
     assert both.count() == 5002 and both.where("position <> w OR sum <> w").isEmpty()
     assert got.where("k = 0").first()["all"] == rows.where("k = 0").count()
+    # runs of steps meet at their ends
+    monkeypatch.setattr(relational, "RUN", 4)
+    lag = rows.withColumns({"p": F.lag("o").over(Window.partitionBy("k").orderBy("o")), "f": F.lead("o").over(Window.partitionBy("k").orderBy("o"))})
+    met = relational.steps(rows, "k", "o", "o").select("k", "o", "previous", "following")
+    assert sorted(map(str, met.collect())) == sorted(map(str, lag.select("k", "o", F.col("p").alias("previous"), F.col("f").alias("following")).collect()))
     ranked = ranking.rank(rows.where("k IS NOT NULL"), "o", "k")
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 5001))
     assert one(spark, fn.identity(F.col("a"), F.col("b")), a="x", b=1) == one(spark, fn.identity(F.col("a"), F.col("b")), a="x", b=1)
