@@ -46,8 +46,6 @@ BLOCK, LANES = 2048, 4096
 CONTEXTS = 512
 #: Frequency tables of order 0 in a segment, out of 2^FINE each; a block's choice of one is made anew every CHUNK ids.
 TABLES, CHUNK, FINE = 4, 64, 16
-#: Different ids that a segment can hold.
-DISTINCT = 1 << 15
 SEGMENTS = "file long, segment long, n_ids long, data binary"
 RECORDS = "doc_id long, file long, segment long, begin long, n_tokens long, ids_crc32 long"
 #: Distributions over three outcomes are two rising thresholds and their end, 2^BITS, in FIELD bits each of one integer.
@@ -87,8 +85,6 @@ class Frequencies:
         """From blocks (a row each); like blocks are found by k-means on hashed counts."""
         counts = sum(np.bincount(part.ravel(), minlength=1 << 16) for part in _slabs(grid))
         ids = np.flatnonzero(counts)
-        if len(ids) > DISTINCT:
-            raise ValueError(f"a segment holds at most {DISTINCT} different ids")
         ids = ids[np.argsort(-counts[ids], kind="stable")]
         counts, place = counts[ids], np.zeros(len(counts), np.uint16)
         place[ids] = np.arange(len(ids))
@@ -367,6 +363,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
+        if self.exact.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         self.exact.no_truncation()
         self.exact.no_padding()
         with open(path, encoding="utf-8") as f:
