@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.sources.shared import materialize
+from loomstead.sources.shared import materialize, settled
 
-__all__ = ["HOT_SHARE", "lower_ascii", "materialize", "read", "skew_safe_left_join"]
+__all__ = ["HOT_SHARE", "lower_ascii", "materialize", "read", "settled", "skew_safe_left_join"]
 
 #: A key is hot if it holds at least one row in so many; at most this many keys can be hot.
 HOT_SHARE = 1000

@@ -28,6 +28,7 @@ names, are not read, and `keep_first` gives them back. An empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import blake2b
 from math import comb
 
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import materialize, skew_safe_left_join
+from loomstead.llm.common import materialize, settled, skew_safe_left_join
 from loomstead.llm.tokens import by_bytes
 
 SHINGLE, SIMILARITY, RETAINED = 5, 75, 64
@@ -418,8 +419,13 @@ def group(docs: DataFrame, retained: int = RETAINED, similarity: int = SIMILARIT
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     A link between sets of the least similarity is lost with a chance of `risk` for each sketch that it has to pass; at
-    risk 0 nothing is sketched, lists are of full sets, and no link is lost.
+    risk 0 nothing is sketched, lists are of full sets, and no link is lost. The result is a table, and those on the
+    way to it are gone.
     """
+    return settled(partial(_group, docs, retained, similarity, risk))
+
+
+def _group(docs: DataFrame, retained: int, similarity: int, risk: float) -> DataFrame:
     sketched = materialize(sketches(docs, retained))
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
