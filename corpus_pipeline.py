@@ -6,11 +6,13 @@ again. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstead.llm import decontam, neardup, packing, quality
-from loomstead.llm.common import materialize, read
+from loomstead.llm.common import read, settled
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settled(partial(stage, spark, docs, sf_dir))
     return docs
