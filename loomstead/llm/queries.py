@@ -8,7 +8,7 @@ import public_tokenizers
 from corpus_pipeline import run as pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import chat, decontam, idcoder, license, media, neardup, packing, quality, tokens, urls
+from loomstead.llm import chat, decontam, idcoder, license, media, mixing, neardup, packing, quality, spelling, tokens, urls, whitening
 from loomstead.llm.common import materialize, read
 
 
@@ -64,13 +64,26 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.read_ids(written)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_quality, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_decontamination,
         op6_token_counts, op7_packing, op8_near_duplicates, op9_media, op10_token_ids,
+        op11_spelling_variants, op12_whitening, op13_mixing,
     )
     return {f.__name__: f for f in operators} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.ROTATE_SQL, "op3_license_scan": license.scan_sql(), "op4_url_filter": urls.judge_sql(URL_RULES), "op8_near_duplicates": neardup.GROUP_SQL}
+    return {"op2_chat_formatting": chat.ROTATE_SQL, "op3_license_scan": license.scan_sql(), "op4_url_filter": urls.judge_sql(URL_RULES), "op8_near_duplicates": neardup.GROUP_SQL, "op11_spelling_variants": spelling.GROUP_SQL}
