@@ -14,10 +14,14 @@ are linked, confirmed on the full sets; a component is what links reach.
    pairs, exact similarity verifies them.
 4. Pairs inside a component need no more work. What is left in lists over several components: in lists of up to
    LONG members, pairs across components meet; the members of longer lists are indexed again by their full sets and
-   by narrow classes of size. There a set that has a seventh of its values to itself is in no list of its size.
+   by narrow classes of size. There values that lie in the same sets, such as those of a shared passage, are one value
+   with a weight, and a set that has a seventh of its values to itself is in no list of its size.
+5. Where such a list has more than DEEP members, its members are listed anew by the next value that they can have in common, and
+   again, as long as that makes meetings fewer. So those who meet in it have several values in common, and frequent
+   values alone bring no two together.
 
-   Lists with the same entries, which a shared passage makes many of, are looked at once, and pairs meet in the list
-   of their rarest common value only if enough values are left behind it.
+   Lists with the same entries are looked at once, and pairs meet in the list of their rarest common value (the rarest
+   ones) only if enough values are left behind it.
 
 Null and empty texts, and rows without doc_id, are linked with nothing; the latter have no component and are kept.
 Exact repeats of a row are one document, and of texts with equal sets (ties) the smallest doc_id stands for all. Very
@@ -35,7 +39,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import materialize, settled, skew_safe_left_join
@@ -46,6 +50,10 @@ SHINGLE, SIMILARITY, RETAINED = 5, 75, 64
 RISK = 1e-8
 #: Lists in which everyone meets at once, and lists beyond which members are indexed again.
 SHORT, LONG = 4, 32
+#: Lists of full sets beyond which members are listed by a further value.
+DEEP = 8
+#: Classes of size of full sets.
+NARROW = 1.04
 SKETCHES = "doc_id long, n_shingles long, class binary, sketch array<long>"
 SETS = "doc_id long, values array<long>"
 #: Texts of which full sets are wanted are marked in a filter of FILTER_BITS bits for each, which goes to the tasks that
@@ -55,6 +63,8 @@ FILTER_BITS, MOST_BITS = 12, 1 << 26
 SLAB = 1 << 20
 #: Entries of a list that meet the others in one task.
 PART = 512
+#: Links that one task puts together.
+FEW = 1 << 18
 _M1, _M2, _M3, _P, _Q = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -235,7 +245,7 @@ def _shared_values(sets: DataFrame, held: Column) -> DataFrame:
 
 
 def _entries(shared: DataFrame, ratio: float, least: Column, similarity: int, held: Column) -> DataFrame:
-    """The lists: value, df, class, doc_id, n, alone, place (of the value among the set's, the rarest first), own.
+    """The lists: value, path (its df and itself), class, doc_id, n, alone, place (of the value among the set's, the rarest first), own.
 
     A list is of one value and, for linked pairs, of the size class of the smaller set: a set is entered under its
     own class and under those of smaller partners. `least` is what it shares at least with a set of its class
@@ -245,7 +255,8 @@ def _entries(shared: DataFrame, ratio: float, least: Column, similarity: int, he
     dealt = shared.withColumn("class", F.explode(F.sequence(lowest, own)))
     taken = F.greatest(F.lit(0), held - least + 1 - F.col("alone")).cast("int")
     rows = dealt.select("class", "doc_id", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), taken)).alias("_p", "_v"))
-    return materialize(rows.select("_v.value", "_v.df", "class", "doc_id", "n", "alone", (F.col("alone") + F.col("_p")).alias("place"), (F.col("class") == own).alias("own")))
+    path = F.array(F.struct("_v.df", "_v.value")).alias("path")
+    return materialize(rows.select("_v.value", path, "class", "doc_id", "n", "alone", (F.col("alone") + F.col("_p")).alias("place"), (F.col("class") == own).alias("own")))
 
 
 def sketch_lists(classes: DataFrame, retained: int, similarity: int, risk: float) -> DataFrame:
@@ -255,12 +266,39 @@ def sketch_lists(classes: DataFrame, retained: int, similarity: int, risk: float
     return _entries(shared, 100 / similarity, required(F.col("n"), retained, similarity, risk), similarity, held)
 
 
-def whole_lists(sets: DataFrame, similarity: int, ratio: float = 1.04) -> DataFrame:
-    """Lists of full sets (doc_id, values), by narrow classes of size, which tell how much must be shared."""
-    shared = _shared_values(sets.select("doc_id", F.size("values").cast("long").alias("n"), "values"), F.col("n"))
-    smallest = F.greatest(F.ceil(F.col("n") * similarity / 100), F.floor(F.pow(F.lit(ratio), F.col("class"))))
-    least = F.ceil((F.col("n") + smallest) * similarity / (100 + similarity))
-    return _entries(shared, ratio, least, similarity, F.col("n"))
+def weighted_values(sets: DataFrame) -> DataFrame:
+    """doc_id, n, df, value, w, place: the values of sets (doc_id, values) that others have too, as a table.
+
+    Values that lie in the same sets are one, the smallest, with their number as weight w. place is how many of the
+    set's values come before it: those that nobody else has, then the rarest.
+    """
+    postings = sets.select("doc_id", F.size("values").cast("long").alias("n"), F.explode("values").alias("value"))
+    digest = (F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"))
+    common = materialize(postings.groupBy("value").agg(F.count("*").alias("df"), *digest).where("df > 1"))
+    total = common.agg(F.sum("df")).first()[0] or 0
+    known = skew_safe_left_join(postings, common.withColumn("rows", F.col("df")), ["value"], "rows", total).where(F.col("df").isNotNull())
+    weighted = known.groupBy("doc_id", "n", "df", "x", "y").agg(F.min("value").alias("value"), F.count("*").alias("w"))
+    rarest = Window.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return materialize(weighted.select("doc_id", "n", "df", "value", "w", (F.col("n") - F.sum("w").over(rarest)).alias("place")))
+
+
+def _least(n: Column, size_class: Column, similarity: int, ratio: float) -> Column:
+    """What a set of n shares at least with a linked one of this class, or of a higher one."""
+    smallest = F.greatest(F.ceil(n * similarity / 100), F.floor(F.pow(F.lit(ratio), size_class)))
+    return F.ceil((n + smallest) * similarity / (100 + similarity))
+
+
+def whole_lists(sets: DataFrame, similarity: int, ratio: float = NARROW) -> DataFrame:
+    """Lists of full sets, by narrow classes of size, which tell how much must be shared."""
+    return weighted_lists(weighted_values(sets), similarity, ratio)
+
+
+def weighted_lists(values: DataFrame, similarity: int, ratio: float = NARROW) -> DataFrame:
+    """The same of weighted_values; lists have what _entries gives, and got, the weight of what is listed by."""
+    own, lowest = _class(F.col("n"), ratio), _class(F.ceil(F.col("n") * similarity / 100), ratio)
+    dealt = values.withColumn("class", F.explode(F.sequence(lowest, own))).where(F.col("n") - F.col("place") >= _least(F.col("n"), F.col("class"), similarity, ratio))
+    path = F.array(F.struct("df", "value")).alias("path")
+    return materialize(dealt.select("value", path, "class", "doc_id", "n", F.lit(0).cast("long").alias("alone"), "place", (F.col("class") == own).alias("own"), F.col("w").alias("got")))
 
 
 #: What an entry brings to a meeting.
@@ -271,7 +309,7 @@ def _fits(whole: bool, similarity: int) -> Column:
     """Whether x and y (structs of _ENTRY), who meet in a list, can be linked."""
     n = {c: F.col(f"{c}.n") for c in "xy"}
     fits = (F.least(n["x"], n["y"]) * 100 >= F.greatest(n["x"], n["y"]) * similarity) & (F.col("x.doc_id") != F.col("y.doc_id"))
-    if whole:  # in the list of their rarest common value they share nothing before it, and no value that one of them has alone
+    if whole:  # in the list of their rarest common values they share nothing else before them, and no value that one of them has alone
         fits &= F.least(n["x"] - F.col("x.place"), n["y"] - F.col("y.place")) * (100 + similarity) >= (n["x"] + n["y"]) * similarity
     return fits
 
@@ -298,18 +336,19 @@ def star_pairs(lists: DataFrame, whole: bool, similarity: int) -> DataFrame:
 def meetings(lists: DataFrame, components: DataFrame, longest: int | None) -> tuple[DataFrame, DataFrame]:
     """Who meets (x, y) across components in lists of at most `longest` entries, and who is in longer ones (doc_id).
 
-    In each list those outside its largest component meet everyone of another component. Of lists with the same
-    entries, such as those of a passage, only that of the rarest value is looked at.
+    In each list those outside its largest component meet everyone of another component; short lists of one value are
+    done by star_pairs. Of lists with the same entries, such as those of a passage, only that of the rarest value is
+    looked at.
     """
     placed = materialize(lists.join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     digest = (F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("x"))
-    parts = placed.groupBy("value", "df", "class", "component").agg(F.count("*").alias("m"), F.count(F.when(F.col("own"), 1)).alias("own"), *digest)
-    mixed = parts.groupBy("value", "df", "class").agg(
+    parts = placed.groupBy("value", "path", "class", "component").agg(F.count("*").alias("m"), F.count(F.when(F.col("own"), 1)).alias("own"), *digest)
+    mixed = parts.groupBy("value", "path", "class").agg(
         F.sum("m").alias("m"), F.sum("own").alias("own"), F.count("*").alias("parts"), F.max(F.struct("m", "component"))["component"].alias("main"),
         F.sum("s").alias("s"), F.bit_xor("x").alias("x"),
     )
-    mixed = mixed.where((F.col("parts") > 1) & (F.col("own") > 0) & (F.col("m") > SHORT))
-    mixed = materialize(mixed.groupBy("class", "m", "s", "x").agg(F.min(F.struct("df", "value"))["value"].alias("value"), F.first("main").alias("main")))
+    mixed = mixed.where((F.col("parts") > 1) & (F.col("own") > 0) & ((F.col("m") > SHORT) | (F.size("path") > 1)))
+    mixed = materialize(mixed.groupBy("class", "m", "s", "x").agg(F.min(F.struct("path", "value"))["value"].alias("value"), F.first("main").alias("main")))
     here = mixed.where(F.col("m") <= longest) if longest else mixed
     members = materialize(placed.join(here.select("value", "class", "main", F.ceil(F.col("m") / PART).cast("int").alias("parts")), ["value", "class"]))
     # long lists are dealt over several tasks by their outsiders
@@ -322,6 +361,48 @@ def meetings(lists: DataFrame, components: DataFrame, longest: int | None) -> tu
     return met, materialize(placed.join(mixed.where(F.col("m") > longest), ["value", "class"], "left_semi").select("doc_id").distinct())
 
 
+def deepened(lists: DataFrame, values: DataFrame, components: DataFrame, similarity: int, ratio: float = NARROW) -> tuple[DataFrame, DataFrame]:
+    """weighted_lists in which those of more than DEEP members are listed by further common values, and pairs beside.
+
+    A list's members are listed anew by each value behind the last that leaves enough values for a link. A list stays
+    as it is where that doesn't halve its meetings. Members who have enough in common already, and perhaps nothing else,
+    are linked with the smallest of them, as all of them are with each other: these are the pairs (structs x and y).
+    """
+    placed = materialize(lists.join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    entry, kept, sure, enough = F.struct(*_ENTRY), None, None, placed.where("own").count() * SHORT
+    while True:
+        parts = placed.groupBy("value", "class", "component").agg(F.count("*").alias("m"), F.count(F.when(F.col("own"), 1)).alias("own"), F.min(F.struct("n", *_ENTRY[:1], *_ENTRY[2:])).alias("head"))
+        sizes = parts.groupBy("value", "class").agg(F.sum("m").alias("m"), F.max("m").alias("main"), F.sum("own").alias("own"), F.min("head").alias("head"))
+        cost = (F.col("m") - F.col("main")) * F.col("m")
+        crowded = materialize(sizes.where((F.col("m") > DEEP) & (F.col("m") > F.col("main")) & (F.col("own") > 0)).select("value", "class", cost.alias("cost"), "head"))
+        if (crowded.agg(F.sum("cost")).first()[0] or 0) <= enough:
+            break
+        split = placed.join(crowded, ["value", "class"])
+        ahead = values.select("doc_id", F.struct("df", F.col("value")).alias("_v"), "w", F.col("place").alias("_place"))
+        further = split.select("value", "class", "path", "doc_id", "n", "alone", "own", "got", "component", "cost").join(ahead, "doc_id").where(F.col("_v") > F.element_at("path", -1))
+        further = further.where(F.col("got") + F.col("n") - F.col("_place") >= _least(F.col("n"), F.col("class"), similarity, ratio))
+        # what is skipped can't be shared
+        below = materialize(further.select(
+            F.col("value").alias("_parent"), "cost", F.xxhash64("value", "_v").alias("value"), F.concat("path", F.array("_v")).alias("path"), "class", "doc_id", "n", "alone",
+            (F.col("_place") - F.col("got")).alias("place"), "own", (F.col("got") + F.col("w")).alias("got"), "component",
+        ))
+        lesser = below.groupBy("_parent", "cost", "value", "class", "component").agg(F.count("*").alias("m")).groupBy("_parent", "cost", "value", "class").agg(((F.sum("m") - F.max("m")) * F.sum("m")).alias("c"))
+        pays = materialize(lesser.groupBy(F.col("_parent").alias("value"), "class").agg(F.sum("c").alias("c"), F.first("cost").alias("cost")).where(F.col("c") * 2 <= F.col("cost")).select("value", "class"))
+        # members without a further value that could be shared are only in the list itself
+        alone = crowded.join(below.select(F.col("_parent").alias("value"), "class").distinct(), ["value", "class"], "left_anti").select("value", "class")
+        gone = materialize(pays.unionByName(alone))
+        if gone.isEmpty():
+            break
+        head = F.struct(F.col("head.doc_id").alias("doc_id"), F.col("head.n").alias("n"), F.col("head.alone").alias("alone"), F.col("head.place").alias("place"))
+        done = placed.join(crowded.join(gone, ["value", "class"], "left_semi"), ["value", "class"]).where(F.col("got") * (100 + similarity) >= (F.col("n") + F.col("head.n")) * similarity)
+        pairs = done.select(entry.alias("x"), head.alias("y")).where("x.doc_id <> y.doc_id")
+        rest = placed.join(gone, ["value", "class"], "left_anti")
+        sure, kept = (pairs if sure is None else sure.unionByName(pairs)), (rest if kept is None else kept.unionByName(rest))
+        placed = materialize(below.join(gone.withColumnRenamed("value", "_parent"), ["_parent", "class"], "left_semi").select(*placed.columns))
+    left = (placed if kept is None else kept.unionByName(placed)).drop("component")
+    return materialize(left), materialize((sure if sure is not None else placed.select(entry.alias("x"), entry.alias("y")).limit(0)))
+
+
 def _side(name: str) -> tuple[Column, Column]:
     return F.struct(*_ENTRY).alias(name), F.struct("component", "own", (F.col("component") == F.col("main")).alias("main")).alias(f"{name}_")
 
@@ -358,14 +439,16 @@ def _followed(pointer: DataFrame, ahead: DataFrame) -> DataFrame:
     return skew_safe_left_join(pointer, ends, ["p"], "rows", pointer.count())
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, few: int | None = None) -> DataFrame:
     """doc_id, component (the smallest id reachable) of all ends of links (a, b).
 
     Each id hooks onto its smallest neighbour, pointers are followed to their ends, and the graph between those
-    ends goes the same way until no link is left. Only counts reach the driver.
+    ends goes the same way until no link is left; the last `few` links at most are put together in one task. Only
+    counts reach the driver.
     """
-    spark, rest, found = links.sparkSession, materialize(links.distinct()), None
-    while not rest.isEmpty():
+    few = FEW if few is None else few
+    rest, found = materialize(links.distinct()), None
+    while (left := rest.count()) > few:
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pointer = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
         while True:
@@ -373,25 +456,51 @@ def connected(links: DataFrame) -> DataFrame:
             pointer = jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
-        if found is None:
-            found = pointer
-        else:
-            found = materialize(_followed(found, pointer).select("a", F.coalesce("q", "p").alias("p")))
+        found = pointer if found is None else _over(found, pointer)
         at = lambda side: pointer.select(F.col("a").alias(side), F.col("p").alias(f"p{side}"))  # noqa: E731, B023
         ends = rest.join(at("a"), "a").join(at("b"), "b").where("pa <> pb")
         rest = materialize(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, component long")
+    if left or found is None:
+        last = materialize(rest.repartition(1).mapInArrow(_together, "a long, p long"))
+        found = last if found is None else _over(found, last)
     return found.select(F.col("a").alias("doc_id"), F.col("p").alias("component"))
 
 
+def _over(found: DataFrame, pointer: DataFrame) -> DataFrame:
+    """found (a, p), whose ends point further."""
+    return materialize(_followed(found, pointer).select("a", F.coalesce("q", "p").alias("p")))
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest id reachable of each end of a few links."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (above := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(above, above)
+            x = above
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    ids = sorted(parent)
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["a", "p"])
+
+
 def whole_links(sets: DataFrame, similarity: int, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between full sets (doc_id, values), and known ones, that connect what all links connect."""
-    lists = whole_lists(sets, similarity)
+    values = weighted_values(sets)
+    lists = weighted_lists(values, similarity)
     # these pairs are bounded by what full sets can share, so a sketch says no more
     links = verified(star_pairs(lists, True, similarity), sets, similarity)
     links = materialize(links.unionByName(known)) if known else links
-    pairs, _ = cross_pairs(lists, connected(links), None, True, similarity)
+    components = connected(links)
+    deep, sure = deepened(lists, values, components, similarity)
+    met, _ = meetings(deep, components, None)
+    pairs = materialize(_pairs(met.select("x", "y").unionByName(sure), _fits(True, similarity)))
     return links if pairs.isEmpty() else materialize(links.unionByName(verified(pairs, sets, similarity)))
 
 

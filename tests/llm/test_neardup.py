@@ -128,3 +128,51 @@ def test_components_of_a_long_path(spark):
 
 def test_risk():
     assert neardup.least_shared(64, 75) == 27
+
+
+def test_frequent_values(spark, monkeypatch):
+    """Few words: lists are long, and their members are listed by further common values; copies with an edit stay linked."""
+    rng = random.Random(8)
+    texts = [[rng.choice("abcd") for _ in range(60)] for _ in range(500)]
+    for i in range(0, 120, 2):
+        texts[i + 1] = list(texts[i])
+        for _ in range(rng.choice([1, 1, 2])):
+            texts[i + 1][rng.randrange(60)] = rng.choice("abcd")
+    monkeypatch.setattr(neardup, "DEEP", 4)
+    depths, whole = [], neardup.deepened
+
+    def watched(*given):
+        out = whole(*given)
+        depths.extend(len(r["path"]) for r in out[0].select("path").distinct().collect())
+        return out
+
+    monkeypatch.setattr(neardup, "deepened", watched)
+    # heads and short lists find most pairs before: without them the lists have to
+    monkeypatch.setattr(neardup, "star_pairs", lambda lists, *_: spark.createDataFrame([], "a long, b long, na long, nb long"))
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(neardup, "SHORT", 1)
+    want = check(spark, docs, risk=0)
+    assert 400 < len({c for _, c in want.values()}) < 500
+    assert max(depths) > 1
+
+
+def test_meetings_grow_in_proportion(spark):
+    """Twice the documents of few words don't meet four times as often."""
+
+    def met(n):
+        rng = random.Random(1)
+        df = spark.createDataFrame([(i, " ".join(rng.choice("abcde") for _ in range(60))) for i in range(n)], "doc_id long, text string")
+        values = neardup.weighted_values(neardup.full_sets(df, df.select("doc_id")))
+        none = spark.createDataFrame([], "doc_id long, component long")
+        lists, _ = neardup.deepened(neardup.weighted_lists(values, 75), values, none, 75)
+        return neardup.meetings(lists, none, None)[0].count()
+
+    assert met(8000) <= 2.5 * met(4000)
+
+
+def test_few_links_in_one_task(spark):
+    rng = random.Random(6)
+    rows = [tuple(sorted(rng.sample(range(900), 2))) for _ in range(500)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    results = [{r["doc_id"]: r["component"] for r in neardup.connected(links, few).collect()} for few in (0, 100, 10**6)]
+    assert results[0] == results[1] == results[2] and len(results[0]) == len({x for row in rows for x in row})
