@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.plans import incremental, relational, scalars, writes
+from loomstead.plans import analysis, incremental, relational, scalars, writes
 
-PARTS = (relational.query, scalars.query, writes.query, incremental.query)
+PARTS = (relational.query, scalars.query, writes.query, incremental.query, analysis.query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
