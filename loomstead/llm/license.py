@@ -10,7 +10,7 @@ that its key phrases need, no place is lost, however many a file has.
 
 Null and empty texts have no words, no places and score 0, as have files without licence words. Repeated rows are scanned each,
 with or without doc_id; of words with equal frequencies (ties) the first in the alphabet is the rarer one, which changes no result. Very
-long texts are scanned whole; places of one file are dealt over tasks. Other columns of docs, whatever their names,
+long texts are scanned whole, in time that grows with their places; candidates of one file are found in one row, its places counted in any task. Other columns of docs, whatever their names,
 are not read. An empty table gives no rows.
 """
 
@@ -140,12 +140,17 @@ def all_words(spark: SparkSession, templates: tuple[Template, ...], idf: dict[st
     return spark.createDataFrame(rows, "w string, template int, place int, mandatory int, share double")
 
 
+def _spot(template: Column, start: Column) -> Column:
+    """One number for a template and a start, which may lie before the text."""
+    return template.cast("long") * F.lit(1 << 40) + start
+
+
 def candidates(hits: Column, postings: dict[str, list[tuple[int, int, int]]]) -> Column:
-    """Where (template, start) the postings of both of a template's rare words agree, in one file."""
+    """Where the postings of both of a template's rare words agree, in one file, as numbers (see _spot): these hash."""
     posted = F.create_map(*[c for w, places in postings.items() for c in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("template"), F.lit(q).alias("place"), F.lit(which).alias("which")) for k, q, which in places]))])
     looked_up = F.filter(hits, lambda h: h["w"].isin(list(postings)))
-    starts = F.flatten(F.transform(looked_up, lambda h: F.transform(F.element_at(posted, h["w"]), lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["place"]).alias("start"), p["which"].alias("which")))))
-    of = lambda which: F.transform(F.filter(starts, lambda s: s["which"] == which), lambda s: F.struct(s["template"].alias("template"), s["start"].alias("start")))
+    starts = F.flatten(F.transform(looked_up, lambda h: F.transform(F.element_at(posted, h["w"]), lambda p: F.struct(_spot(p["template"], h["at"] - p["place"]).alias("spot"), p["which"].alias("which")))))
+    of = lambda which: F.transform(F.filter(starts, lambda s: s["which"] == which), lambda s: s["spot"])
     return F.array_intersect(of(0), of(1))
 
 
@@ -154,10 +159,12 @@ def found(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Data
     idf = inverse_frequencies(files, templates)
     some = files.select("file", "hits", candidates(F.col("hits"), rare_tokens(templates, idf)).alias("candidates")).where(F.size("candidates") > 0)
     # the words of all templates, a table as large as they are, are broadcast
-    standing = some.select("file", "candidates", F.explode("hits").alias("h")).select("file", "candidates", "h.*").join(F.broadcast(all_words(files.sparkSession, templates, idf)), "w")
-    place = F.struct("template", (F.col("at") - F.col("place")).alias("start"))
-    # of a file with many candidates all starts are counted: only a candidate can have all mandatory words
-    near = standing.where((F.size("candidates") > FEW) | F.array_contains("candidates", place)).select("file", place.alias("_p"), "mandatory", "share").select("file", "_p.*", "mandatory", "share")
+    # of a file with many candidates, which aren't copied to its words then, all starts are counted: only a candidate can
+    # have all mandatory words
+    few = F.when(F.size("candidates") <= FEW, F.col("candidates")).alias("candidates")
+    standing = some.select("file", few, F.explode("hits").alias("h")).select("file", "candidates", "h.*").join(F.broadcast(all_words(files.sparkSession, templates, idf)), "w")
+    start = F.col("at") - F.col("place")
+    near = standing.where(F.coalesce(F.array_contains("candidates", _spot(F.col("template"), start)), F.lit(True))).select("file", "template", start.alias("start"), "mandatory", "share")
     checked = near.groupBy("file", "template", "start").agg(F.sum("mandatory").alias("there"), F.sum("share").alias("share"))
     needed = F.array(*[F.lit(len(t.mandatory)) for t in templates])
     return checked.where(F.col("there") == F.get(needed, F.col("template"))).drop("there")

@@ -117,3 +117,11 @@ def test_clashing_columns(spark):
     assert urls.judge(pages, queries.URL_RULES).count() == 1
     turns = spark.createDataFrame([(1, 0, "a", "t", "x", 1)], "conv_id long, turn long, role string, text string, speaker string, n long")
     assert chat.rotate(turns).count() == 1
+
+
+def test_license_many_notices(spark):
+    """A text of nothing but notices: time and rows grow with them, and every place is found."""
+    rows = [(i, "released under the mit license " * n, "x") for i, n in enumerate((3, 12, 13, 20_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string")
+    got = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in license.scan(df).collect()}
+    assert got == {i: (n, 3, 5 * n - 2, "mit,mit-notice") for i, n in enumerate((3, 12, 13, 20_000))}
