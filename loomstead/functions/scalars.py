@@ -56,10 +56,12 @@ def append_distinct(values: Column, new: Column) -> Column:
 
 
 def hash_bucket(text: Column, buckets: int) -> Column:
-    """h = code + ((h << 5) - h) over the characters, of which only the shift wraps to 32 bits; then |h| mod buckets."""
+    """h = code + ((h << 5) - h) over the UTF-16 units, of which only the shift wraps to 32 bits; then |h| mod buckets."""
     half, whole = 1 << 31, 1 << 32
-    step = lambda h, c: F.ascii(c) + (F.pmod(h * 32 + half, F.lit(whole)) - half) - h
-    total = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
+    step = lambda h, c: c + (F.pmod(h * 32 + half, F.lit(whole)) - half) - h
+    beyond = lambda c: F.array(F.lit(0xD800) + F.shiftright(c - 0x10000, 10), F.lit(0xDC00) + (c - 0x10000) % 1024)
+    units = lambda c: F.when(F.ascii(c) < 0x10000, F.array(F.ascii(c))).otherwise(beyond(F.ascii(c)))
+    total = F.aggregate(F.flatten(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), units)), F.lit(0).cast("long"), step)
     return (F.abs(total) % buckets).cast("int")
 
 

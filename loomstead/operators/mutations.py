@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.schemas import DOMAIN_TABLES, FOREIGN, UNIQUE
+from loomstead.sources.shared import materialize
 
 
 def last_of(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -31,6 +32,12 @@ def single(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     return counted.withColumn("_c", checked).select(*keys, *[F.col("_c")[c].alias(c) for c in rest])
 
 
+def merged(changes: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
+    """One change for each key that does what all do one after another: of each column the last that is supplied."""
+    last = [F.max(F.when(F.col(f"has_{c}"), F.struct(order, F.struct(F.col(c).alias("v")).alias("s")))).alias(f"_{c}") for c in columns]
+    return changes.groupBy(*keys).agg(*last).select(*keys, *[x for c in columns for x in (F.col(f"_{c}.s.v").alias(c), F.col(f"_{c}").isNotNull().alias(f"has_{c}"))])
+
+
 def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
     """rows appended; columns that they lack get a default, else null."""
     given = {c: (defaults or {}).get(c, F.lit(None)).cast(t) for c, t in table.dtypes if c not in rows.columns}
@@ -109,15 +116,16 @@ def primary_key(table: str) -> list[str]:
 def cascade(tables: dict[str, DataFrame], root: str, deleted: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """All tables after a delete of rows (id) of root, and by table the rows that forbid it.
 
-    Tables are listed parents first, so one walk finds what goes; other keys then are set to null or forbid.
+    Tables are listed parents first, so one walk finds what goes; other keys then are set to null or forbid. The keys
+    that go from a table are written, or each level would compute all above it again.
     """
-    gone = {root: tables[root].join(deleted.select("id"), "id", "left_semi")}
+    gone = {root: materialize(tables[root].join(deleted.select("id"), "id", "left_semi").select("id"))}
     names = [t for t in DOMAIN_TABLES if t in tables]
     keys = lambda child, action: [(c, p) for t, c, p, a in FOREIGN if t == child and a == action and p in gone]
     for child in names:
         hit = [tables[child].join(gone[p].select(F.col("id").alias(c)), c, "left_semi").select(*primary_key(child), *[x for x in ["id"] if x not in primary_key(child) and x in tables[child].columns]) for c, p in keys(child, "cascade")]
         if hit and child != root:
-            gone[child] = reduce(DataFrame.unionByName, hit).distinct()
+            gone[child] = materialize(hit[0] if len(hit) == 1 else reduce(DataFrame.unionByName, hit).distinct())
     after, forbid = {}, {}
     for name in names:
         rest = delete(tables[name], gone[name], primary_key(name)) if name in gone else tables[name]

@@ -61,16 +61,53 @@ def create_projects(t: Tables, new: DataFrame, at: datetime) -> tuple[Tables, Da
     return t | after, new.join(fresh.select("id"), "id", "left_anti")
 
 
+def read_projects(t: Tables, asked: DataFrame) -> DataFrame:
+    """asked (project_id, by) with the decision (401, 403, 404, ok) and, if ok, the project, its settings and the caller's tier."""
+    nested = relational.nest(t["project_settings"], "project_id", "settings")
+    known = t["projects"].withColumnRenamed("id", "project_id").join(nested, "project_id", "left")
+    rows = _guarded(t, asked, []).join(known.withColumn("_there", F.lit(True)), "project_id", "left")
+    decided = rows.withColumn("decision", F.coalesce("decision", F.when(F.col("_there").isNull(), "404").otherwise("ok")))
+    shown = [c for c in known.columns if c != "project_id"]
+    return decided.select("project_id", "by", "decision", *[F.when(F.col("decision") == "ok", F.col(c)).alias(c) for c in [*shown, "by_tier"]])
+
+
+def _guarded(t: Tables, asked: DataFrame, allowed: list[str]) -> DataFrame:
+    """asked with the caller's tier and, where the guard refuses, a decision, else null."""
+    return access(t, asked, allowed).withColumn("decision", F.when(F.col("access") != "allow", F.col("access"))).drop("access")
+
+
 def update_settings(t: Tables, changes: DataFrame) -> Tables:
     """Per column of settings, changes (project_id, <column>, has_<column>) set what is supplied."""
     columns = [c for c in t["project_settings"].columns if f"has_{c}" in changes.columns]
     return t | {"project_settings": mutations.update_partial(t["project_settings"], changes, ["project_id"], columns)}
 
 
+def change_settings(t: Tables, changes: DataFrame, order: str) -> tuple[Tables, DataFrame]:
+    """update_settings as owners and admins may: changes also have `by` and an order; the decision on each.
+
+    Refused (401, 403), without a field (400), of a project without settings (404), else ok. Several changes of one
+    project are done one after another: of each field the last counts.
+    """
+    columns = [c for c in t["project_settings"].columns if f"has_{c}" in changes.columns]
+    fields = sum((F.coalesce(F.col(f"has_{c}"), F.lit(False)).cast("int") for c in columns), F.lit(0))
+    there = t["project_settings"].select("project_id", F.lit(True).alias("_there"))
+    ruled = decisions.ladder((fields == 0, "400"), (F.col("_there").isNull(), "404"), otherwise="ok")
+    decided = _guarded(t, changes, MANAGERS).join(there, "project_id", "left").withColumn("decision", F.coalesce("decision", ruled))
+    done = mutations.merged(decided.where("decision = 'ok'"), ["project_id"], columns, order)
+    return update_settings(t, done), decided.select("project_id", "by", order, "decision")
+
+
 def delete_project(t: Tables, project: DataFrame) -> tuple[Tables, dict[str, DataFrame]]:
     return mutations.cascade(t, "projects", project)
 
 
+def delete_projects(t: Tables, asked: DataFrame) -> tuple[Tables, dict[str, DataFrame], DataFrame]:
+    """Of asked (project_id, by) the projects that `by` owns go with all that hangs on them; the decision on each."""
+    decided = materialize(_guarded(t, asked, ["owner"]).withColumn("decision", F.coalesce("decision", F.lit("ok"))).select("project_id", "by", "decision"))
+    after, forbid = delete_project(t, decided.where("decision = 'ok'").select(F.col("project_id").alias("id")).distinct())
+    return after, forbid, decided
+
+
 def analyze(t: Tables, project: str, user: str, job: str, at: datetime) -> tuple[Tables, DataFrame]:
     """Marks the project and queues a job, whether or not one runs already; the mode is always initial."""
     named = t["projects"].where(F.col("id") == project)
@@ -80,6 +117,37 @@ def analyze(t: Tables, project: str, user: str, job: str, at: datetime) -> tuple
     return t | after, queued.select(F.col("id").alias("job_id"), F.lit("queued").alias("status"), F.lit("initial").alias("mode"))
 
 
+def analyze_projects(t: Tables, asked: DataFrame, at: datetime) -> tuple[Tables, DataFrame]:
+    """asked (project_id, by, job): owners and admins mark their projects and queue a job each (202); the answer to each."""
+    branches = t["projects"].select(F.col("id").alias("project_id"), "branch")
+    decided = _guarded(t, asked, MANAGERS).join(branches, "project_id", "left")
+    decided = materialize(decided.withColumn("decision", F.coalesce("decision", F.when(F.col("branch").isNull(), "404").otherwise("202"))).select("project_id", "by", "job", "branch", "decision"))
+    ok = decided.where("decision = '202'")
+    queued = ok.select(F.col("job").alias("id"), "project_id", F.col("by").alias("requested_by"), F.lit("initial").alias("job_type"), F.lit(at).cast("timestamp").alias("created_at"))
+    projects = mutations.update_guarded(t["projects"], ok.select(F.col("project_id").alias("id")), "id", F.lit(True), {"status": F.lit("analyzing")}).drop("changed")
+    after = {"projects": projects, "analysis_jobs": mutations.insert(t["analysis_jobs"], queued, _defaults("analysis_jobs"))}
+    shown = lambda c: F.when(F.col("decision") == "202", c)
+    return t | after, decided.select("project_id", "by", "decision", shown(F.col("job")).alias("job_id"), shown(F.lit("queued")).alias("status"), shown(F.lit("initial")).alias("mode"), shown(F.col("branch")).alias("branch"))
+
+
+def read_members(t: Tables, asked: DataFrame) -> DataFrame:
+    """Of asked (project_id, by) a row for each member of a project that `by` is a member of, else one with the decision."""
+    rows = t["project_members"].join(t["users"].select(F.col("id").alias("user_id"), "email"), "user_id")
+    return _listed(t, asked, rows, F.asc("joined_at"), F.asc("user_id"))
+
+
+def read_invitations(t: Tables, asked: DataFrame, status: str = "pending") -> DataFrame:
+    """The same of the invitations of that status, newest first."""
+    inviters = t["users"].select(F.col("id").alias("invited_by"), F.col("email").alias("invited_by_email"))
+    return _listed(t, asked, t["project_invitations"].where(F.col("status") == status).join(inviters, "invited_by", "left"), F.desc("created_at"), F.asc("id"))
+
+
+def _listed(t: Tables, asked: DataFrame, rows: DataFrame, *order) -> DataFrame:
+    decided = _guarded(t, asked, []).withColumn("decision", F.coalesce("decision", F.lit("ok"))).select("project_id", "by", "decision")
+    named = decided.where("decision = 'ok'").join(rows, "project_id").select("project_id", "by", "decision", *[c for c in rows.columns if c != "project_id"])
+    return relational.numbered_by_range(named, ["project_id", "by"], *order).unionByName(decided.where("decision <> 'ok'"), allowMissingColumns=True)
+
+
 def list_members(t: Tables, project: str) -> DataFrame:
     """Members with their address, in the order of joining (position)."""
     rows = t["project_members"].where(F.col("project_id") == project).join(t["users"].select(F.col("id").alias("user_id"), "email"), "user_id")
@@ -153,15 +221,33 @@ def _targets(t: Tables, keys: DataFrame) -> DataFrame:
     return access(t, keys, MANAGERS).join(tiers, ["project_id", "user_id"], "left")
 
 
-def update_members(t: Tables, changes: DataFrame) -> tuple[Tables, DataFrame]:
-    """changes (project_id, user_id, by, permission_tier, has_permission_tier, developer_role, has_developer_role)."""
-    columns = ["permission_tier", "developer_role"]
+def update_members(t: Tables, changes: DataFrame, order: str | None = None) -> tuple[Tables, DataFrame]:
+    """changes (project_id, user_id, by, permission_tier, has_permission_tier, developer_role, has_developer_role).
+
+    With an order several changes of one member are decided and done one after another, each on what the one before
+    left; without one they are refused. Callers have the tier that they had before the batch. There are as many rounds as
+    changes of one member, over the members named alone.
+    """
+    columns, keys = ["permission_tier", "developer_role"], ["project_id", "user_id"]
     fields = sum((F.coalesce(F.col(f"has_{c}"), F.lit(False)).cast("int") for c in columns), F.lit(0))
     ruled = decisions.update_member(F.col("by_tier"), F.col("target_tier"), fields)
-    decided = _targets(t, changes).withColumn("decision", F.when(F.col("access") != "allow", F.col("access")).otherwise(ruled))
-    done = decided.where("decision = 'ok'").select("project_id", "user_id", *columns, *[f"has_{c}" for c in columns])
-    after = mutations.update_partial(t["project_members"], done, ["project_id", "user_id"], columns)
-    return t | {"project_members": after}, decided.select("project_id", "user_id", "decision")
+    given = F.when(F.col("access") != "allow", F.col("access")).otherwise(ruled)
+    sets = [*columns, *[f"has_{c}" for c in columns]]
+    if not order:
+        decided = _targets(t, changes).withColumn("decision", given)
+        after = mutations.update_partial(t["project_members"], decided.where("decision = 'ok'").select(*keys, *sets), keys, columns)
+        return t | {"project_members": after}, decided.select(*keys, "decision")
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    asked = materialize(access(t, changes, MANAGERS).withColumn("_turn", turn))
+    first = named = materialize(t["project_members"].join(asked.select(*keys).distinct(), keys, "left_semi"))
+    decided = asked.where("_turn = 0").select(*keys, order, F.lit(None).cast("string").alias("decision"))
+    for turn_now in range(1, (asked.agg(F.max("_turn")).first()[0] or 0) + 1):
+        now = asked.where(F.col("_turn") == turn_now).join(named.select(*keys, F.col("permission_tier").alias("target_tier")), keys, "left")
+        done = materialize(now.withColumn("decision", given).select(*keys, order, *sets, "decision"))
+        named = materialize(mutations.update_partial(named, done.where("decision = 'ok'").select(*keys, *sets), keys, columns).select(*first.columns))
+        decided = decided.unionByName(done.select(*keys, order, "decision"))
+    after = mutations.upsert(t["project_members"], named, keys, columns)
+    return t | {"project_members": after}, decided
 
 
 def remove_members(t: Tables, keys: DataFrame) -> tuple[Tables, DataFrame]:

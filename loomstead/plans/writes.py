@@ -33,8 +33,7 @@ UNION ALL SELECT c_custkey + 10000000, 'changed', c_nationkey, c_acctbal + 1, NU
 def upsert_last_wins(t: Tables) -> DataFrame:
     # the batch holds an older change of each key too
     both = _changes(t).withColumn("seq", F.lit(2)).unionByName(_changes(t).withColumns({"c_acctbal": F.lit(-1.0), "seq": F.lit(1)}))
-    last = mutations.last_of(both, ["c_custkey"], "seq").drop("seq")
-    return mutations.upsert(t.customer, last, ["c_custkey"], ["c_acctbal", "c_mktsegment"])
+    return mutations.upsert(t.customer, both, ["c_custkey"], ["c_acctbal", "c_mktsegment"], order="seq")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 AND o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderkey % 10 = 0 AND o_orderstatus = 'O' AS changed FROM orders")

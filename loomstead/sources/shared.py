@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,20 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return table
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread makes inside are deleted at the end, whether or not it succeeds."""
+    before = getattr(_made, "paths", [])
+    try:
+        yield
+    finally:
+        for path in getattr(_made, "paths", [])[len(before) :]:
+            at, files = _located(spark, path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
+        _made.paths = before
+
+
 def _located(spark: SparkSession, path: str) -> tuple:
     """The path and its file system, as Hadoop knows them."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,7 +2,8 @@
 
 The queue is a folder of Parquet files; a checkpoint remembers what was claimed, so a job is claimed once however
 often the worker stops; a batch that was cut short is claimed again. Its log is append-only: a row for each claim and
-each result of a job, of which the last counts. A job that `work` gives no result for has failed at that attempt.
+each result of a job, of which the last counts. A job that `work` gives no result for has failed at that attempt. Tables
+of a batch are deleted at its end.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.schemas import domain_schema
-from loomstead.sources.shared import materialize
+from loomstead.sources.shared import materialize, scratch
 
 LOG = "id string, batch long, attempts int, step int, status string, progress_pct int, error_message string"
 
@@ -26,6 +27,10 @@ def run(spark: SparkSession, queue: str, log: str, work: Callable[[DataFrame], D
         rows.select("id", F.lit(batch_id).cast("long").alias("batch"), F.lit(attempt).alias("attempts"), F.lit(step).alias("step"), "status", progress.alias("progress_pct"), "error_message").write.mode("append").parquet(log)
 
     def claim(batch: DataFrame, batch_id: int) -> None:
+        with scratch(spark):
+            attempts(batch, batch_id)
+
+    def attempts(batch: DataFrame, batch_id: int) -> None:
         open_jobs = materialize(batch.where("status = 'queued'"))
         for attempt in range(1, retries + 1):
             record(open_jobs.select("id", F.lit("running").alias("status"), F.lit(None).cast("string").alias("error_message")), batch_id, attempt, 0)

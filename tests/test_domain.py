@@ -308,3 +308,62 @@ def test_job_stream(spark, tmp_path):
     got = {r["id"]: (r["status"], r["error_message"]) for r in jobs.latest(spark, str(out)).collect()}
     assert got["j3"] == ("complete", None) and got["j4"] == ("failed", "no result")
     assert {r["status"] for r in spark.read.parquet(str(out)).where("id = 'j4'").collect()} == {"running", "queued", "failed"}
+
+
+def test_guarded_routes(spark, world):
+    """A stranger, a developer, an admin and an owner at the routes that read, set, analyze and delete."""
+    member = {"project_id": "p1", "user_id": "u3", "permission_tier": "developer", "developer_role": "backend", "joined_at": T2}
+    world = world | {"project_members": world["project_members"].unionByName(table(spark, "project_members", member)), "users": world["users"].unionByName(table(spark, "users", {"id": "u4", "email": "d@x.org", "created_at": T1}))}
+    asked = spark.createDataFrame([("p1", "u1"), ("p1", "u2"), ("p1", "u3"), ("p1", "u4"), ("p1", None), ("p2", "u1"), ("p9", "u1")], "project_id string, by string")
+    told = lambda df: {(r["project_id"], r["by"]): r["decision"] for r in df.collect()}
+    stranger, anyone = "403 not a member", {("p1", None): "401", ("p9", "u1"): "403 not a member", ("p1", "u4"): "403 not a member"}
+    got = api.read_projects(world, asked)
+    assert told(got) == anyone | {("p1", "u1"): "ok", ("p1", "u2"): "ok", ("p1", "u3"): "ok", ("p2", "u1"): "ok"}
+    rows = {(r["project_id"], r["by"]): r for r in got.collect()}
+    assert rows["p1", "u3"]["settings"]["file_limit"] == 5 and rows["p1", "u3"]["by_tier"] == "developer" and rows["p1", "u4"]["repo_name"] is None and rows["p2", "u1"]["settings"] is None
+    members = api.read_members(world, asked)
+    assert told(members)["p1", "u4"] == stranger and [r["user_id"] for r in members.where("by = 'u3'").orderBy("position").collect()] == ["u1", "u2", "u3"]
+    invitations = api.read_invitations(world, asked)
+    assert [r["id"] for r in invitations.where("by = 'u2'").collect()] == ["i1"] and told(invitations)["p1", None] == "401"
+    after, answers = api.analyze_projects(world, asked.withColumn("job", F.concat(F.lit("j"), F.coalesce("by", F.lit("")))), T2)
+    assert told(answers) == anyone | {("p1", "u1"): "202", ("p1", "u2"): "202", ("p1", "u3"): "403 tier", ("p2", "u1"): "202"}
+    assert {r["id"]: r["status"] for r in after["projects"].collect()} == {"p1": "analyzing", "p2": "analyzing", "p3": "complete"} and after["analysis_jobs"].count() == 3
+    after, _, decided = api.delete_projects(world, asked)
+    assert told(decided) == anyone | {("p1", "u1"): "ok", ("p1", "u2"): "403 tier", ("p1", "u3"): "403 tier", ("p2", "u1"): "ok"}
+    assert [r["id"] for r in after["projects"].collect()] == ["p3"] and {r["project_id"] for r in after["project_members"].collect()} == {"p3"}
+
+
+def test_settings_in_turn(spark, world):
+    schema = "project_id string, by string, turn int, file_limit int, has_file_limit boolean, ai_enabled boolean, has_ai_enabled boolean"
+    rows = [("p1", "u1", 1, 10, True, None, False), ("p1", "u2", 2, 20, True, False, True), ("p1", "u1", 3, None, False, None, None), ("p1", "u3", 4, 99, True, None, False), ("p2", "u1", 5, 7, True, None, False), ("p1", "u2", 6, None, False, True, True)]
+    after, decided = api.change_settings(world, spark.createDataFrame(rows, schema), "turn")
+    assert {r["turn"]: r["decision"] for r in decided.collect()} == {1: "ok", 2: "ok", 3: "400", 4: "403 not a member", 5: "404", 6: "ok"}
+    row = after["project_settings"].where("project_id = 'p1'").first()
+    assert row["file_limit"] == 20 and row["ai_enabled"] is True and row["loc_limit"] == 9
+
+
+def test_members_in_turn(spark, world):
+    """An admin makes a developer an admin and may then change them no more; the owner may."""
+    member = {"project_id": "p1", "user_id": "u3", "permission_tier": "developer", "developer_role": "backend", "joined_at": T2}
+    world = world | {"project_members": world["project_members"].unionByName(table(spark, "project_members", member))}
+    schema = "project_id string, user_id string, by string, turn int, permission_tier string, has_permission_tier boolean, developer_role string, has_developer_role boolean"
+    rows = [
+        ("p1", "u3", "u2", 1, "admin", True, None, False), ("p1", "u3", "u2", 2, "developer", True, None, False), ("p1", "u3", "u1", 3, None, False, "frontend", True),
+        ("p1", "u3", "u1", 4, None, False, None, False), ("p1", "u9", "u1", 1, "admin", True, None, False), ("p1", "u1", "u2", 1, "developer", True, None, False),
+    ]
+    after, decided = api.update_members(world, spark.createDataFrame(rows, schema), "turn")
+    assert {(r["user_id"], r["turn"]): r["decision"] for r in decided.collect()} == {("u3", 1): "ok", ("u3", 2): "403", ("u3", 3): "ok", ("u3", 4): "400", ("u9", 1): "404", ("u1", 1): "403"}
+    got = {(r["project_id"], r["user_id"]): (r["permission_tier"], r["developer_role"]) for r in after["project_members"].collect()}
+    assert got["p1", "u3"] == ("admin", "frontend") and got["p1", "u1"] == ("owner", "backend") and len(got) == 5
+
+
+def test_hash_of_units_beyond_the_first_plane(spark):
+    def bucket(text, n):
+        units, h = text.encode("utf-16-be"), 0
+        for i in range(0, len(units), 2):
+            shifted = (h << 5) & 0xFFFFFFFF
+            h = int.from_bytes(units[i : i + 2]) + (shifted - (1 << 32) if shifted >= 1 << 31 else shifted) - h
+        return abs(h) % n
+
+    for text in ("a😀b", "𝒳@x.org", "\U0010ffff", "é日"):
+        assert one(spark, fn.hash_bucket(F.col("a"), 97), a=text) == bucket(text, 97)
