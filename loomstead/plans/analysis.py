@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.operators import paths, ranking, signals
+from loomstead.operators import paths, ranking, signals, states
 from loomstead.plans.base import Registry, Tables
 
 query = Registry()
@@ -102,3 +102,18 @@ def rank_computed(t: Tables) -> DataFrame:
         joined = signals.by_rank(joined, value, "node", name)
     scored = joined.withColumn("score", ranking.composite(WEIGHTS))
     return ranking.rank(scored, "score", "node").select("node", F.col("score").cast("double").alias("score"), "rank")
+
+
+#: States of a package, and which change leads where; which changes are allowed is ours.
+STATES, RULES = ["O", "P", "F"], {("O", "P"): "P", ("P", "F"): "F", ("P", "O"): "O", ("F", "O"): "O"}
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT o_custkey, o_orderkey, o_orderstatus AS asked, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders),
+rules(was, asked, state) AS (VALUES {", ".join(f"('{s}', '{a}', '{n}')" for (s, a), n in RULES.items())}),
+f AS (SELECT l.*, 'O' AS was, coalesce(state, 'O') AS state, state IS NOT NULL AS allowed FROM l LEFT JOIN rules ON was = 'O' AND rules.asked = l.asked WHERE position = 1
+ UNION ALL SELECT l.*, f.state, coalesce(r.state, f.state), r.state IS NOT NULL FROM f JOIN l ON l.o_custkey = f.o_custkey AND l.position = f.position + 1 LEFT JOIN rules r ON r.was = f.state AND r.asked = l.asked)
+SELECT * FROM f""")
+def package_states(t: Tables) -> DataFrame:
+    """Customers stand in for packages, their orders' statuses for asked changes."""
+    log = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("asked"))
+    return states.replayed(log, "o_custkey", "o_orderkey", "asked", STATES, RULES, "O")

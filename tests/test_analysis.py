@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomstead.operators import paths, ranking, signals
+from loomstead.operators import paths, ranking, signals, states
 
 
 def graph(spark, edges):
@@ -122,3 +122,20 @@ def test_churn_and_ranks(spark):
     ranked = ranking.rank(df.withColumn("score", ranking.composite(weights)), "score", "node").collect()
     assert next(r["rank"] for r in ranked if r["node"] == 99) > 5
     assert float(max(r["git_churn_recency"] for r in ranked)) == 999 == float(next(r["git_churn_recency"] for r in ranked if r["node"] == 99))
+
+
+def test_package_states(spark):
+    """A package with most changes over runs of runs, small ones, null ones and unknown changes, against a plain fold."""
+    rules = {("draft", "submit"): "review", ("review", "approve"): "approved", ("review", "reject"): "draft", ("approved", "reopen"): "draft"}
+    rng = random.Random(3)
+    changes = ["submit", "approve", "reject", "reopen", "burn", None]
+    log = [("hot", i, rng.choice(changes), "x") for i in range(700)] + [(k, i, rng.choice(changes), "y") for k in ("a", "b", None) for i in range(5)]
+    df = spark.createDataFrame(log, "package string, seq long, asked string, state_note string").repartition(5)
+    got = {(r["package"], r["seq"]): (r["position"], r["was"], r["state"], r["allowed"], r["state_note"]) for r in states.replayed(df, "package", "seq", "asked", ["draft", "review", "approved"], rules, "draft", run=8).collect()}
+    want, now = {}, {}
+    for package, seq, asked, note in log:
+        was = now.get(package, "draft")
+        now[package] = rules.get((was, asked), was)
+        want[package, seq] = (seq + 1, was, now[package], (was, asked) in rules, note)
+    assert got == want
+    assert states.replayed(df.limit(0), "package", "seq", "asked", ["draft", "review", "approved"], rules, "draft").count() == 0
