@@ -3,7 +3,9 @@
 Each document's ids, with an end id, are cut into full pieces and a remainder. Only the histogram of piece
 lengths (at most `size` numbers) reaches the driver, which places lengths longest first and counts packing
 patterns. Pieces then find their sequence by their rank among the pieces of their length. Null texts count as
-empty: one piece with the end id. Repeated rows are packed each; an empty table gives no rows.
+empty: one piece with the end id. Repeated rows are packed each, with or without doc_id. Of pieces of one length (ties) the
+order is that of their doc_id and start within hash buckets. Very long texts are cut into as many full pieces as they have. Other
+columns of docs, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ smoothed towards the share over all pages, reaches a threshold. Rules on hosts a
 what they say of pages are the labels.
 
 A null url, or one without "://", has an empty host and path; such pages, and templates without any label, are
-allowed unless a rule says otherwise. Repeated rows are pages each; an empty table gives no rows.
+allowed unless a rule says otherwise. Repeated rows are pages each, with or without page_id. Of rules that fit, that
+with the longest name (host and path) wins. Urls of any length are judged whole: a very long path is a deep branch, or a long
+segment. Other columns of pages, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -44,7 +44,18 @@ def test_edges(spark, edges, tmp_path):
     edges.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars", "score", "rank").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1), (6, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert not {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} & {6, 7}
+    rows = pipeline.run(spark, str(tmp_path)).collect()
+    assert not {r["doc_id"] for r in rows} & {6, 7}
+    # a repeated row goes through once, so its pieces make it up once
+    totals = {}
+    for r in rows:
+        totals[r["doc_id"]] = totals.get(r["doc_id"], 0) + r["length"]
+    assert all(totals[r["doc_id"]] == r["doc_tokens"] for r in rows if r["doc_id"] is not None)
+    assert all(r["length"] > 0 and 0 <= r["offset"] <= 2048 - r["length"] for r in rows)
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert pipeline.run(spark, str(empty)).count() == 0
 
 
 def test_skew_safe_join(spark):

@@ -125,3 +125,16 @@ def test_license_many_notices(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")
     got = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in license.scan(df).collect()}
     assert got == {i: (n, 3, 5 * n - 2, "mit,mit-notice") for i, n in enumerate((3, 12, 13, 20_000))}
+
+
+def test_url_very_long(spark):
+    """A segment of 200,000 characters, and a branch of 300 segments."""
+    rows = [(1, "http://net/es/" + "x" * 200_000), (2, "http://h.org/" + "y" * 200_000 + "?q"), (3, "http://h.org/" + "a/" * 300), (None, "http://h.org/" + "y" * 200_000)]
+    schema = "page_id long, url string"
+    both(spark, "pages", rows, schema, lambda df: urls.judge(df, queries.URL_RULES), urls.judge_sql(queries.URL_RULES))
+
+
+def test_chat_very_long(spark):
+    rows = [(1, 0, "amy", "x" * 200_000), (1, 1, "bob", "y" * 300_000), (1, 2, "amy", None)]
+    schema = "conv_id long, turn long, role string, text string"
+    both(spark, "conversations", rows, schema, chat.rotate, chat.ROTATE_SQL)
