@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) with docs as the stage before left it, and is written as Parquet and read
 again. All but the last return the columns of documents.
+
+Nulls, empty and very long texts and ties are handled as the operators' modules say: a null or empty text is scored like
+any other, is no near-duplicate, holds no benchmark item and is packed as its end id. Documents without doc_id go
+through all stages; of a repeated row one goes on from near_duplicates. Extra columns are carried to packing,
+whatever their names. Of empty tables nothing comes.
 """
 
 from __future__ import annotations
