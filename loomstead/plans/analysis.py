@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.operators import paths, ranking, signals, states
+from loomstead.operators import clusters, paths, ranking, signals, states
 from loomstead.plans.base import Registry, Tables
 
 query = Registry()
@@ -117,3 +117,11 @@ def package_states(t: Tables) -> DataFrame:
     """Customers stand in for packages, their orders' statuses for asked changes."""
     log = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("asked"))
     return states.replayed(log, "o_custkey", "o_orderkey", "asked", STATES, RULES, "O")
+
+
+@query()
+def module_communities(t: Tables) -> DataFrame:
+    """Brands stand in for modules; those that call one another more than chance would are a cluster."""
+    modules = t.part.select(F.col("p_partkey").alias("node"), F.concat_ws(" ", "p_brand", "p_type").alias("module"))
+    labels, _ = clusters.communities(clusters.module_edges(_calls(t), modules))
+    return labels.select(F.col("node").alias("module"), F.col("label").alias("cluster"))

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomstead.operators import paths, ranking, signals, states
+from loomstead.operators import clusters, paths, ranking, signals, states
 
 
 def graph(spark, edges):
@@ -139,3 +139,46 @@ def test_package_states(spark):
         want[package, seq] = (seq + 1, was, now[package], (was, asked) in rules, note)
     assert got == want
     assert states.replayed(df.limit(0), "package", "seq", "asked", ["draft", "review", "approved"], rules, "draft").count() == 0
+
+
+def test_communities(spark):
+    """Planted clusters come back, and modularity is that of plain Python's sums and above that of nodes alone."""
+    rng = random.Random(1)
+    edges = [(9 * c + i, 9 * c + j, 1.0) for c in range(5) for i in range(9) for j in range(i) if rng.random() < 0.9] + [(9 * c, (9 * c + 10) % 45, 1.0) for c in range(5)] + [(100, 100, 2.0)]
+    labels, quality = clusters.communities(spark.createDataFrame([*edges, (None, 3, 1.0), (1, 2, 0.0)], "a long, b long, weight double"))
+    got = {r["node"]: r["label"] for r in labels.collect()}
+    assert got == {n: 9 * (n // 9) for n in range(45)} | {100: 100}
+    total, inside, k = 0.0, 0.0, {}
+    for a, b, w in edges:
+        total, inside = total + 2 * w, inside + 2 * w * (got[a] == got[b])
+        for n in (a, b):
+            k[got[n]] = k.get(got[n], 0.0) + w
+    assert abs(quality - (inside / total - sum((v / total) ** 2 for v in k.values()))) < 1e-9 and quality > 0.5
+    assert clusters.communities(spark.createDataFrame([], "a long, b long, weight double"))[0].count() == 0
+
+
+def test_module_edges(spark):
+    modules = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "node long, module string")
+    got = {(r["a"], r["b"]): r["weight"] for r in clusters.module_edges(graph(spark, [(1, 3), (3, 2), (1, 2), (1, 9)]), modules).collect()}
+    assert got == {("x", "y"): 2.0, ("x", "x"): 1.0}
+
+
+def test_module_communities(spark, sf_dir):
+    """The query without SQL: each module once, and clusters above what modules alone or all together give."""
+    from loomstead.plans import registry
+
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"module_communities"}
+    cluster = {r["module"]: r["cluster"] for r in registry.queries()["module_communities"](spark, sf_dir).collect()}
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_size").collect()
+    module, n = {p["p_partkey"]: f"{p['p_brand']} {p['p_type']}" for p in parts}, len(parts)
+    calls = [(p["p_partkey"], (p["p_partkey"] * f + s) % n) for p in parts for rule, f, s in ((p["p_size"] % 2 == 1, 7, 3), (p["p_size"] % 3 == 0, 11, 5), (p["p_size"] > 25, 3, 1)) if rule]
+    assert set(cluster) == {module[x] for call in calls for x in call}
+
+    def quality(label):
+        inside, k = sum(label[module[a]] == label[module[b]] for a, b in calls) / len(calls), {}
+        for call in calls:
+            for x in call:
+                k[label[module[x]]] = k.get(label[module[x]], 0) + 1
+        return inside - sum((v / 2 / len(calls)) ** 2 for v in k.values())
+
+    assert quality(cluster) > max(quality({m: m for m in cluster}), 0) and all(min(m for m in cluster if cluster[m] == c) == c for c in set(cluster.values()))
