@@ -41,6 +41,15 @@ def materialize(df: DataFrame, destination: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, for several tables; deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    at, files = _located(spark, path)
+    files.mkdirs(at)  # only what exists is deleted at the end
+    files.deleteOnExit(at)
+    return path
+
+
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
     """What make() gives, as a table; tables that this thread makes on the way are deleted once it is written."""
     before = getattr(_made, "paths", [])
