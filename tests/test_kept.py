@@ -85,7 +85,7 @@ def test_random_batches(spark, tmp_path):
 
 
 def test_untouched_parts_are_not_read(spark, tmp_path):
-    analysis = kept.Analysis(spark, str(tmp_path / "kept"), "long", parts=16)
+    analysis = kept.Analysis(spark, str(tmp_path / "kept"), "long", parts=64)
     nodes = spark.range(1000).select(F.col("id").alias("stable_key"), F.lit("h").alias("hash"), F.col("id").alias("score"))
     steps = spark.range(1000).select((F.col("id") % 200).alias("workflow_id"), F.lit(1).cast("long").alias("step_order"), F.col("id").alias("stable_key"))
     sections = spark.range(200).select(F.col("id").alias("section_id"), F.col("id").alias("workflow_id"))
