@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomstead.schemas import BENCH
 from loomstead.sources.tables import bench_table
 
 
@@ -18,6 +19,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return bench_table(self.spark, self._dir, name)
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a stream; a pattern, as streams take a folder or a pattern, not a file."""
+        return self.spark.readStream.schema(BENCH[name]).parquet(f"{self._dir}/{name}.parquet*")
+
 
 class Registry:
     def __init__(self) -> None:

@@ -7,16 +7,19 @@ refused. A report names its attempt, so a worker whose lease ran out can't finis
 
 - Reports wait in the state store until the watermark (`delay` seconds behind the latest) has passed them and are then
   taken in order of `at` and `seq`, so the answers don't depend on how reports are dealt over batches. Later ones are
-  dropped by Spark. Reports equal in id, at and seq are one.
+  dropped by Spark. Of reports equal in id, at and seq one counts.
 - Null ids or times can't be placed and are dropped; null or unknown kinds, attempts or workers are refused. Progress
   never falls and is 99 at most before the end; null counts as none.
 - State is in RocksDB, checkpointed to the folder given; a stream that was stopped or lost executors goes on from there
-  and answers each report once. A job's waiting reports pass through one task; only their times are in memory at once.
+  and answers each report once. All reports of a job pass through one task, which holds
+  those of a slot at once: slots should be as long as that allows, as each costs calls to the store.
 """
 
 from __future__ import annotations
 
+import json
 import time
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -26,6 +29,8 @@ from pyspark.sql.streaming import StatefulProcessor
 REPORTS = "id string, at timestamp, seq long, kind string, attempt int, worker string, progress int, error string"
 ANSWERS = "id string, at long, seq long, status string, attempts int, progress_pct int, worker string, due long, error_message string, refused string"
 STATE = "status string, attempts int, progress_pct int, worker string, due long, error_message string"
+#: Seconds of a slot, whose reports of one job wait together and are in memory at once; reports of a batch held before they are put there.
+SLOT, MOST = 60, 4096
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -72,43 +77,64 @@ class Rules:
 
 
 class _Jobs(StatefulProcessor):
-    def __init__(self, rules: Rules):
-        self.rules = rules
+    def __init__(self, rules: Rules, slot: float):
+        self.rules, self.slot = rules, round(slot * 1e6)
 
     def init(self, handle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", STATE)
         self.wake = handle.getValueState("wake", "at long")
-        self.waiting = handle.getMapState("waiting", "at long, seq long", "kind string, attempt int, worker string, progress int, error string")
+        self.waiting = handle.getMapState("waiting", "slot long", "reports string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = None
+        slots, held, first = defaultdict(list), 0, None
         for r in rows:
-            self.waiting.updateValue((r.micros, r.seq), (r.kind, r.attempt, r.worker, r.progress, r.error))
-            first = r.micros if first is None else min(first, r.micros)
+            slots[r.micros // self.slot].append((r.micros, r.seq, r.kind, r.attempt, r.worker, r.progress, r.error))
+            first, held = r.micros if first is None else min(first, r.micros), held + 1
+            if held == MOST:
+                self._put(slots)
+                held = 0
+        self._put(slots)
         self._wake_at(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """Takes all reports that the watermark has passed, and what runs out between them."""
+        """Takes all reports that the watermark has passed, and what runs out between them, slot by slot."""
         now = timerValues.getCurrentWatermarkInMs() * 1000
         self.wake.clear()
-        job = tuple(self.job.get()) if self.job.exists() else None
-        times = sorted(tuple(k) for k in self.waiting.keys())
-        passed = [t for t in times if t[0] <= now]
-        for at, seq in [*passed, (now, None)]:
-            if (after := self.rules.expired(job, at)) is not None:
-                yield self._answer(key, job[4], None, after, None)
-                job = after
-            if seq is not None:
-                after = self.rules.told(job, at, *self.waiting.getValue((at, seq)))
+        job, left = tuple(self.job.get()) if self.job.exists() else None, None
+        slots = sorted(k[0] for k in self.waiting.keys())
+        for slot in (s for s in slots if s <= now // self.slot):
+            reports = {(r[0], r[1]): r for r in map(tuple, json.loads(self.waiting.getValue((slot,))[0]))}
+            later = [r for at, r in sorted(reports.items()) if at[0] > now]
+            for at, seq, *report in (r for t, r in sorted(reports.items()) if t[0] <= now):
+                if (after := self.rules.expired(job, at)) is not None:
+                    yield self._answer(key, job[4], None, after, None)
+                    job = after
+                after = self.rules.told(job, at, *report)
                 refused, job = (after, job) if isinstance(after, str) else (None, after)
                 yield self._answer(key, at, seq, job, refused)
-                self.waiting.removeKey((at, seq))
+            if later:
+                self.waiting.updateValue((slot,), (json.dumps(later),))
+                left = later[0][0]
+            else:
+                self.waiting.removeKey((slot,))
+        if (after := self.rules.expired(job, now)) is not None:
+            yield self._answer(key, job[4], None, after, None)
+            job = after
         if job:
             self.job.update(job)
+        # a slot that hasn't begun wakes the job at its beginning
         ends = [job[4]] if job and job[0] == "running" else []
-        self._wake_at(min([t[0] for t in times[len(passed) : len(passed) + 1]] + ends, default=None))
+        ahead = [left] if left is not None else [s * self.slot for s in slots if s > now // self.slot][:1]
+        self._wake_at(min(ahead + ends, default=None))
+
+    def _put(self, slots: dict[int, list]) -> None:
+        """Adds reports to what waits in their slots."""
+        for slot, reports in slots.items():
+            known = json.loads(self.waiting.getValue((slot,))[0]) if self.waiting.containsKey((slot,)) else []
+            self.waiting.updateValue((slot,), (json.dumps(known + reports),))
+        slots.clear()
 
     def _wake_at(self, micros: int | None) -> None:
         """One timer a job: for the first of what waits."""
@@ -129,14 +155,14 @@ class _Jobs(StatefulProcessor):
         pass
 
 
-def answered(reports: DataFrame, lease: float, retries: int, backoff: float, delay: float) -> DataFrame:
-    """The stream of answers (ANSWERS, times in microseconds) to a stream of REPORTS."""
+def answered(reports: DataFrame, lease: float, retries: int, backoff: float, delay: float, slot: float = SLOT) -> DataFrame:
+    """The stream of answers (ANSWERS, times in microseconds) to a stream of REPORTS; slot is in seconds, as the rest."""
     placed = reports.where("id IS NOT NULL AND at IS NOT NULL").withColumns({"micros": F.unix_micros("at"), "seq": F.coalesce("seq", F.lit(0).cast("long"))})
     timed = placed.withWatermark("at", f"{round(delay * 1000)} milliseconds")
-    return timed.groupBy("id").transformWithState(_Jobs(Rules(lease, retries, backoff)), ANSWERS, "Append", "EventTime")
+    return timed.groupBy("id").transformWithState(_Jobs(Rules(lease, retries, backoff), slot), ANSWERS, "Append", "EventTime")
 
 
-def follow(spark: SparkSession, reports: DataFrame, folder: str, checkpoint: str, lease: float = 60, retries: int = 3, backoff: float = 10, delay: float = 0, until: Callable[[], bool] | None = None, every: float = 1) -> None:
+def follow(spark: SparkSession, reports: DataFrame, folder: str, checkpoint: str, lease: float = 60, retries: int = 3, backoff: float = 10, delay: float = 0, slot: float = SLOT, until: Callable[[], bool] | None = None, every: float = 1) -> None:
     """Answer a stream of reports into a Parquet folder: all there are, or, given `until`, what comes until it says so.
 
     It ends after the batch at work, with all reports answered that were there when it was told to.
@@ -144,7 +170,7 @@ def follow(spark: SparkSession, reports: DataFrame, folder: str, checkpoint: str
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:
-        writer = answered(reports, lease, retries, backoff, delay).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+        writer = answered(reports, lease, retries, backoff, delay, slot).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
         stream = (writer.trigger(processingTime=f"{every} seconds") if until else writer.trigger(availableNow=True)).start()
     finally:
         spark.conf.set(_PROVIDER, before)
