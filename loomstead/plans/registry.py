@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.plans import analysis, incremental, jobs, reanalysis, relational, scalars, writes
+from loomstead.plans import analysis, incremental, jobs, landing, reanalysis, relational, scalars, writes
 
-PARTS = (relational.query, scalars.query, writes.query, incremental.query, analysis.query, reanalysis.query, jobs.query)
+PARTS = (relational.query, scalars.query, writes.query, incremental.query, analysis.query, reanalysis.query, jobs.query, landing.query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
