@@ -107,6 +107,18 @@ def test_centrality(spark):
     assert signals.centrality(graph(spark, [])).count() == 0
 
 
+def test_centrality_of_a_slow_part(spark):
+    """A ring among very many nodes that come to rest at once is as exact as alone."""
+    ring = [(i, (i + 1) % 20) for i in range(20)] + [(0, 10), (3, 15)]
+    rest = spark.range(30_000).selectExpr("id + 1000 as source", "id + 100000 as target")
+    walk = np.zeros((20, 20))
+    for s, t in ring:
+        walk[t, s] = 1 / sum(x == s for x, _ in ring)
+    solved = np.linalg.solve(np.eye(20) - 0.5 * walk, np.ones(20))
+    got = {r["node"]: r["centrality"] for r in signals.centrality(graph(spark, ring).unionByName(rest), 0.5).where("node < 20").collect()}
+    assert max(abs(got[i] * solved.sum() / sum(got.values()) - solved[i]) for i in range(20)) < 1e-8
+
+
 def test_churn_and_ranks(spark):
     """Weights halve; a busy node that nothing depends on doesn't lead."""
     day = lambda d: dt.datetime(2024, 1, d)
