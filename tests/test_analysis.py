@@ -119,6 +119,38 @@ def test_centrality_of_a_slow_part(spark):
     assert max(abs(got[i] * solved.sum() / sum(got.values()) - solved[i]) for i in range(20)) < 1e-8
 
 
+def broadcasts(spark, make):
+    """The joins by broadcast in the plans that make() runs."""
+    listed, plain = [], signals.materialize
+
+    def noted(df, *args):
+        listed.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *args)
+
+    signals.materialize = noted
+    try:
+        listed.append(make()._jdf.queryExecution().executedPlan().toString())
+    finally:
+        signals.materialize = plain
+    return sum(plan.count("BroadcastHashJoin") for plan in listed)
+
+
+def test_signals_send_no_table_through_the_driver(spark):
+    edges = graph(spark, random_edges(60, 80, 1) + [(0, i) for i in range(100, 200)])
+    assert broadcasts(spark, lambda: signals.downstream(edges, exact=5)) == 0
+    assert broadcasts(spark, lambda: signals.centrality(edges)) == 0
+
+
+def test_downstream_of_a_long_chain(spark, monkeypatch):
+    """Rounds grow with the logarithm of the way; ends of chains, cycles behind and forks that meet again."""
+    edges = [(i, i + 1) for i in range(60)] + [(60, 61), (61, 62), (62, 60), (200, 201), (200, 202), (201, 203), (202, 203)]
+    written, plain = [], signals.materialize
+    monkeypatch.setattr(signals, "materialize", lambda df: (written.append(1), plain(df))[1])
+    got = {r["node"]: (r["impact"], r["is_exact"]) for r in signals.downstream(graph(spark, edges)).collect()}
+    assert got == {n: (k, True) for n, k in reached(edges).items()}
+    assert len(written) <= 14
+
+
 def test_churn_and_ranks(spark):
     """Weights halve; a busy node that nothing depends on doesn't lead."""
     day = lambda d: dt.datetime(2024, 1, d)
