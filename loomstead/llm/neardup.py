@@ -9,9 +9,9 @@ are linked, confirmed on the full sets; a component is what links reach.
    pairs; surely where sketches hold whole sets), so they share one of the size - c + 1 retained values of each that
    are rarest over the corpus: only these get into the inverted lists. A passage that many documents share, but that
    makes up less than that part of them, brings no two of them together.
-3. Lists are kept by classes of size. In each, everyone meets the member that has least to itself, which in a group
-   of near copies is the one closest to all; in short lists everyone meets. Overlaps in the union's sketch filter the
-   pairs, exact similarity verifies them.
+3. Lists are kept by classes of size. In short lists everyone meets; in those of a set's ENDS rarest and most
+   frequent listed values it meets the member that has least to itself, which in a group of near copies is the one
+   closest to all. Overlaps in the union's sketch filter the pairs, exact similarity verifies them.
 4. Pairs inside a component need no more work. What is left in lists over several components: in lists of up to
    LONG members, pairs across components meet; the members of longer lists are indexed again by their full sets and
    by narrow classes of size. There values that lie in the same sets, such as those of a shared passage, are one value
@@ -50,6 +50,8 @@ SHINGLE, SIMILARITY, RETAINED = 5, 75, 64
 RISK = 1e-8
 #: Lists in which everyone meets at once, and lists beyond which members are indexed again.
 SHORT, LONG = 4, 32
+#: In longer lists of sketches a set meets the head only in so many lists of its rarest and of its most frequent values.
+ENDS = 3
 #: Lists of full sets beyond which members are listed by a further value.
 DEEP = 8
 #: Classes of size of full sets.
@@ -245,24 +247,30 @@ def _shared_values(sets: DataFrame, held: Column) -> DataFrame:
 
 
 def _entries(shared: DataFrame, ratio: float, least: Column, similarity: int, held: Column) -> DataFrame:
-    """The lists: value, path (its df and itself), class, doc_id, n, alone, place (of the value among the set's, the rarest first), own.
+    """The lists: value, path (its df and itself), class, doc_id, n, alone, place (of the value among the set's, the rarest first), own, ends.
 
     A list is of one value and, for linked pairs, of the size class of the smaller set: a set is entered under its
     own class and under those of smaller partners. `least` is what it shares at least with a set of its class
-    column's sizes, so that of its rarest values held - least + 1 suffice; values that nobody else has come first.
+    column's sizes, so that of its rarest values held - least + 1 suffice; values that nobody else has come first. ends
+    marks the first and the last ENDS of these. A column `component` of shared stays.
     """
     own, lowest = _class(F.col("n"), ratio), _class(F.ceil(F.col("n") * similarity / 100), ratio)
     dealt = shared.withColumn("class", F.explode(F.sequence(lowest, own)))
     taken = F.greatest(F.lit(0), held - least + 1 - F.col("alone")).cast("int")
-    rows = dealt.select("class", "doc_id", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), taken)).alias("_p", "_v"))
-    path = F.array(F.struct("_v.df", "_v.value")).alias("path")
-    return materialize(rows.select("_v.value", path, "class", "doc_id", "n", "alone", (F.col("alone") + F.col("_p")).alias("place"), (F.col("class") == own).alias("own")))
+    more = [c for c in ("component",) if c in shared.columns]
+    rows = dealt.select("class", "doc_id", "n", "alone", *more, F.least(taken, F.size("shared")).alias("_m"), F.posexplode(F.slice("shared", F.lit(1), taken)).alias("_p", "_v"))
+    path, ends = F.array(F.struct("_v.df", "_v.value")).alias("path"), (F.col("_p") < ENDS) | (F.col("_p") >= F.col("_m") - ENDS)
+    return materialize(rows.select("_v.value", path, "class", "doc_id", "n", "alone", (F.col("alone") + F.col("_p")).alias("place"), (F.col("class") == own).alias("own"), ends.alias("ends"), *more))
 
 
-def sketch_lists(classes: DataFrame, retained: int, similarity: int, risk: float) -> DataFrame:
-    """Lists of the sketches of classes (doc_id, n, sketch)."""
+def sketch_values(classes: DataFrame, retained: int) -> DataFrame:
+    """What the sketches of classes (doc_id, n, sketch) share, a row for each, as a table."""
+    return materialize(_shared_values(classes.select("doc_id", "n", F.col("sketch").alias("values")), F.least("n", F.lit(retained))))
+
+
+def sketch_lists(shared: DataFrame, retained: int, similarity: int, risk: float) -> DataFrame:
+    """Lists of sketch_values."""
     held = F.least("n", F.lit(retained))
-    shared = _shared_values(classes.select("doc_id", "n", F.col("sketch").alias("values")), held)
     return _entries(shared, 100 / similarity, required(F.col("n"), retained, similarity, risk), similarity, held)
 
 
@@ -322,25 +330,38 @@ def _pairs(met: DataFrame, fits: Column) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame, whole: bool, similarity: int) -> DataFrame:
-    """Each entry of a list with the one that has least to itself, and everyone in short lists."""
+    """Each entry of a list with the one that has least to itself, and everyone in short lists.
+
+    A set of a group of near copies has the same head in most of its lists, so of sketches only the entries at its `ends`
+    meet it; who is not linked thereby still meets across components.
+    """
+    least = SHORT if not whole else 1
+    starred = lists if whole else lists.where("ends")
     entry, fits = F.struct(*_ENTRY), _fits(whole, similarity)
-    heads = lists.groupBy("value", "class").agg(F.min(F.when(F.col("own"), F.struct("alone", "doc_id", "n", "place"))).alias("x"), F.count("*").alias("m"))
+    heads = lists.groupBy("value", "class").agg(F.min(F.when(F.col("own"), F.struct("alone", "doc_id", "n", "place"))).alias("x"), F.count("*").alias("m"), *([F.count("*").alias("rows")] if whole else [F.count(F.when(F.col("ends"), 1)).alias("rows")]))
     heads = materialize(heads.where((F.col("m") > 1) & F.col("x").isNotNull()))
-    total = heads.agg(F.sum("m")).first()[0] or 0
-    stars = skew_safe_left_join(lists, heads, ["value", "class"], "m", total).where(F.col("x").isNotNull()).select(F.struct(*[f"x.{c}" for c in _ENTRY]).alias("x"), entry.alias("y"))
-    few = materialize(lists.join(heads.where(F.col("m").between(3, SHORT)).select("value", "class"), ["value", "class"]))
+    long = heads.where((F.col("m") > least) & (F.col("rows") > 0)).drop("m")
+    total = long.agg(F.sum("rows")).first()[0] or 0
+    stars = skew_safe_left_join(starred, long, ["value", "class"], "rows", total).where(F.col("x").isNotNull()).select(F.struct(*[f"x.{c}" for c in _ENTRY]).alias("x"), entry.alias("y"))
+    few = materialize(lists.join(heads.where(F.col("m").between(3 if whole else 2, SHORT)).select("value", "class"), ["value", "class"]))
     all_few = few.select("value", "class", entry.alias("x"), "own").join(few.where("own").select("value", "class", entry.alias("y")), ["value", "class"])
     return materialize(_pairs(stars.unionByName(all_few.select("x", "y")), fits))
 
 
+def _placed(rows: DataFrame, components: DataFrame) -> DataFrame:
+    return rows.join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def meetings(lists: DataFrame, components: DataFrame, longest: int | None) -> tuple[DataFrame, DataFrame]:
     """Who meets (x, y) across components in lists of at most `longest` entries, and who is in longer ones (doc_id).
 
+    Lists with a column `component` have been placed already.
+
     In each list those outside its largest component meet everyone of another component; short lists of one value are
     done by star_pairs. Of lists with the same entries, such as those of a passage, only that of the rarest value is
     looked at.
     """
-    placed = materialize(lists.join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    placed = lists if "component" in lists.columns else materialize(_placed(lists, components))
     digest = (F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("x"))
     parts = placed.groupBy("value", "path", "class", "component").agg(F.count("*").alias("m"), F.count(F.when(F.col("own"), 1)).alias("own"), *digest)
     mixed = parts.groupBy("value", "path", "class").agg(
@@ -368,7 +389,7 @@ def deepened(lists: DataFrame, values: DataFrame, components: DataFrame, similar
     as it is where that doesn't halve its meetings. Members who have enough in common already, and perhaps nothing else,
     are linked with the smallest of them, as all of them are with each other: these are the pairs (structs x and y).
     """
-    placed = materialize(lists.join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    placed = materialize(_placed(lists, components))
     entry, kept, sure, enough = F.struct(*_ENTRY), None, None, placed.where("own").count() * SHORT
     while True:
         parts = placed.groupBy("value", "class", "component").agg(F.count("*").alias("m"), F.count(F.when(F.col("own"), 1)).alias("own"), F.min(F.struct("n", *_ENTRY[:1], *_ENTRY[2:])).alias("head"))
@@ -516,9 +537,12 @@ def links_between(docs: DataFrame, classes: DataFrame, retained: int, similarity
         ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
         return verified(likely, full_sets(docs, ends), similarity)
 
-    lists = sketch_lists(classes, retained, similarity, risk)
-    links = confirm(star_pairs(lists, False, similarity))
-    pairs, crowded = cross_pairs(lists, connected(links), LONG, False, similarity)
+    shared = sketch_values(classes, retained)
+    links = confirm(star_pairs(sketch_lists(shared, retained, similarity, risk), False, similarity))
+    # components go to sets, not to each entry of their lists
+    components = connected(links)
+    placed = sketch_lists(_placed(shared, components), retained, similarity, risk)
+    pairs, crowded = cross_pairs(placed, components, LONG, False, similarity)
     if not pairs.isEmpty():
         links = materialize(links.unionByName(confirm(pairs)))
     return links if crowded.isEmpty() else whole_links(full_sets(docs, crowded), similarity, links)

@@ -179,3 +179,25 @@ def test_few_links_in_one_task(spark):
     links = spark.createDataFrame(rows, "a long, b long")
     results = [{r["doc_id"]: r["component"] for r in neardup.connected(links, few).collect()} for few in (0, 100, 10**6)]
     assert results[0] == results[1] == results[2] and len(results[0]) == len({x for row in rows for x in row})
+
+
+def test_near_copies_meet_in_few_lists(spark, texts, monkeypatch):
+    """Of a large group of near copies each meets the head a few times, not in all lists that they share."""
+    rng, base, docs = random.Random(5), texts(300, 20_000).split(), []
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(300), 3):
+            words[at] = f"edit{i}x{at}"
+        docs.append((i, " ".join(words)))
+    entries, plain = [], neardup.skew_safe_left_join
+
+    def counted(left, right, keys, *more):
+        if keys == ["value", "class"]:
+            entries.append(left.count())
+        return plain(left, right, keys, *more)
+
+    monkeypatch.setattr(neardup, "skew_safe_left_join", counted)
+    want = check(spark, docs)
+    assert {c for _, c in want.values()} == {0}
+    # two classes of size at most
+    assert entries and sum(entries) <= 2 * 2 * 3 * len(docs)
