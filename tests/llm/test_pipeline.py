@@ -1,11 +1,13 @@
 """The stages, each on what the one before kept, against what its operator says of all rows."""
 
 import corpus_pipeline as pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
 from test_decontam import brute as leaks
 from test_neardup import brute as components
 
 from loomstead.llm import quality
-from loomstead.llm.common import materialize, skew_safe_left_join
+from loomstead.llm.common import BATCH_BYTES, materialize, skew_safe_left_join, small_batches
 
 
 def test_stages(spark, sf_dir):
@@ -64,3 +66,22 @@ def test_skew_safe_join(spark):
     got = skew_safe_left_join(left, right, ["k"], "rows", 20_000)
     assert got.count() == 20_000 and got.where("k % 7 = 0 AND x IS NOT NULL OR k % 7 <> 0 AND x <> 2 * k OR k % 7 <> 0 AND x IS NULL").count() == 0
     assert sorted(got.columns) == ["k", "v", "x"]
+
+
+def test_stages_send_texts_in_small_batches(spark, sf_dir):
+    """Batches to Python are bounded by bytes, while a stage's last step runs too; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]}) for b in batches)
+    docs = spark.range(0, 64, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 40_000).alias("text"))
+    try:
+        for _, stage in pipeline.STAGES:
+            spark.conf.set(key, 64 << 20)
+            stage(spark, docs.limit(0), sf_dir)
+            got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r["n"] for r in got) == 64 and max(r["bytes"] for r in got) <= BATCH_BYTES + 250_000
+        spark.conf.set(key, 4096)
+        small_batches(spark)
+        assert int(spark.conf.get(key).removesuffix("b")) == 4096
+    finally:
+        spark.conf.set(key, before)
