@@ -44,5 +44,5 @@ def job_lifecycle(t: Tables) -> DataFrame:
     fields = {"id": _ID, "at": "CAST(ts AS TIMESTAMP)", "seq": "event_id", "attempt": f"CAST({spark_sql(_ATTEMPT)} AS INT)", "worker": spark_sql(_WORKER), "progress": _PROGRESS, "error": "CAST(NULL AS STRING)"}
     reports = t.stream("events").select(*[F.expr(x).alias(c) for c, x in fields.items()], kind.alias("kind"))
     folder = fresh_folder(t.spark)
-    lifecycle.follow(t.spark, reports, f"{folder}/answers", f"{folder}/checkpoint", LEASE, RETRIES, BACKOFF, DELAY, slot=240 * HOUR)
+    lifecycle.follow(t.spark, reports, f"{folder}/answers", f"{folder}/checkpoint", LEASE, RETRIES, BACKOFF, DELAY, slot=240 * HOUR, buckets=lifecycle.buckets_for(t.events.count()))
     return lifecycle.current(lifecycle.answers(t.spark, f"{folder}/answers")).select("id", "status", "attempts", "progress_pct", "changes", "refusals")

@@ -1,8 +1,11 @@
 """Jobs followed as a stream: leases, retries, progress, and that batches don't matter."""
 
+import json
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from loomstead.streaming import lifecycle
 
@@ -130,3 +133,115 @@ def test_any_batches(few, tmp_path):
     want = plain(reports, at(1500))
     got = {k: tuple(v)[1:4] for k, v in f.current().items() if v["status"]}
     assert got == want and len(got) > 5 and len({s for s, _, _ in got.values()}) > 1
+
+
+class Store:
+    """A bucket's state in memory, which counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getValueState(self, name, *schemas):
+        return Cell(self)
+
+    getMapState = getValueState
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.discard(ms)
+
+
+class Cell:
+    def __init__(self, store):
+        self.store, self.value, self.map = store, None, {}
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "keys", "getValue", "updateValue", "removeKey"):
+            object.__getattribute__(self, "store").calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def keys(self):
+        return iter(list(self.map))
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+def micros(when):
+    return (when - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
+def heard(jobs, reports):
+    lines = [json.dumps(dict(zip(("id", "at", "seq", *lifecycle.TOLD), (r[0], micros(r[1]), *r[2:]), strict=True))) for r in reports]
+    list(jobs.handleInputRows((0,), iter([pd.DataFrame({"micros": [micros(r[1]) for r in reports], "report": lines})]), None))
+
+
+def wake(jobs, store, seconds):
+    """Answers at a watermark, if the bucket's timer is due by then."""
+    ms, out = micros(at(seconds)) // 1000, []
+    if due := {t for t in store.timers if t <= ms}:
+        out = [tuple(r) for f in jobs.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: ms), None) for r in f.itertuples(index=False)]
+        store.timers -= due
+    assert len(store.timers) <= 1
+    return out
+
+
+def bucket(slot=60):
+    store = Store()
+    jobs = lifecycle._Jobs(lifecycle.Rules(LEASE, RETRIES, BACKOFF), slot)
+    jobs.init(store)
+    return jobs, store
+
+
+def test_jobs_share_calls():
+    """Hundreds of jobs take no more calls to the store than a few: those of their bucket's slot."""
+    for n in (2, 500):
+        jobs, store = bucket()
+        heard(jobs, [report(f"j{i}", k, kind, 1, "w") for i in range(n) for k, kind in enumerate(("submitted", "claimed", "finished"))])
+        given = wake(jobs, store, 50)
+        assert len(given) == 3 * n and sum(r[3] == "complete" for r in given) == n and store.calls < 20
+
+
+def test_bucket_as_plain_fold(monkeypatch):
+    """Jobs of one bucket, in parts of few reports, over batches and watermarks amid slots: as the plain fold of each."""
+    monkeypatch.setattr(lifecycle, "MOST", 7)
+    rng = random.Random(5)
+    kinds = ["submitted", "claimed", "claimed", "progress", "finished", "failed", "dance", None]
+    reports = [report(f"j{rng.randrange(6)}", rng.randrange(900), rng.choices(kinds, [2, 5, 5, 6, 1, 3, 1, 1])[0], rng.choice([1, 1, 2, 3, None]), rng.choice(["w1", "w1", "w2", None]), rng.choice([None, 5, 150]), "e", seq) for seq in range(400)]
+    jobs, store = bucket(slot=100)
+    ends, given, done = [0, 130, 170, 480, 481, 1000], [], []
+    for low, mark in zip(ends, ends[1:], strict=False):
+        # half of what comes is ahead of the watermark
+        mine = [r for r in reports if r[1] > at(low) or low == 0 and r[1] == at(0)]
+        now = [r for r in mine if r[1] <= at(mark) or rng.random() < 0.5]
+        reports = [r for r in reports if r not in now]
+        done += now
+        if now:
+            heard(jobs, now)
+        given += wake(jobs, store, mark)
+        want = plain(done, at(mark))
+        got = {}
+        for r in sorted((r for r in given if r[-1] is None), key=lambda r: (r[1], -1 if r[2] is None else r[2])):
+            got[r[0]] = tuple(r[3:6])
+        assert got == want
+    assert len(got) == 6 and len({s for s, _, _ in got.values()}) > 1
+    assert not jobs.waiting.map
