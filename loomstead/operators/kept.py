@@ -74,11 +74,17 @@ class Analysis:
 
     def __init__(self, spark: SparkSession, folder: str, ident: str = "string", parts: int = 256, width: int = 10_000):
         self.spark, self.folder, self.ident, self.parts, self.width = spark, folder.rstrip("/"), ident, parts, width
+        #: While a batch is carried through: the parts that keys of its tables lie in, with those tables.
+        self._touched: list[tuple[DataFrame, str, list[int]]] | None = None
 
     def advance(self, batch: int, nodes: DataFrame, steps: DataFrame, sections: DataFrame) -> None:
         """Carry a batch of changes (columns of TABLES and weight; see `changes`) through all tables."""
-        with scratch(self.spark):
-            self._advance(batch, *[self._keep(n, batch, net(self._plain(n, d))) for n, d in (("nodes", nodes), ("steps", steps), ("sections", sections))])
+        self._touched = []
+        try:
+            with scratch(self.spark):
+                self._advance(batch, *[self._keep(n, batch, net(self._plain(n, d))) for n, d in (("nodes", nodes), ("steps", steps), ("sections", sections))])
+        finally:
+            self._touched = None
 
     def _advance(self, batch: int, nodes: DataFrame, steps: DataFrame, sections: DataFrame) -> None:
         before = batch - 1
@@ -104,11 +110,11 @@ class Analysis:
     def state(self, name: str, until: int, near: DataFrame | None = None) -> DataFrame:
         """A table's rows after batch `until`, with weight; given `near`, those whose key it has, from the parts of those keys."""
         sums, key = TABLES[name][1:]
-        rows = self._rows(name).where(F.col("batch") <= until) if until >= 0 else self.spark.createDataFrame([], self._schema(name))
-        if near is not None and until >= 0:
-            keys = near.select(key).distinct()
-            touched = [r[0] for r in keys.select(self._part(key)).distinct().collect()]
-            rows = rows.where(F.col("part").isin(touched)).join(keys, key, "left_semi")
+        if until < 0:
+            return self._nothing(name)
+        rows = self._rows(name).where(F.col("batch") <= until)
+        if near is not None:
+            rows = rows.where(F.col("part").isin(self._parts_of(near, key))).join(near.select(key).distinct(), key, "left_semi")
         plain = [c for c in rows.columns if c not in ("weight", "batch", "part", *sums)]
         return rows.groupBy(*plain).agg(*[F.sum(c).alias(c) for c in (*sums, "weight")]).where("weight <> 0")
 
@@ -143,8 +149,23 @@ class Analysis:
     def _schema(self, name: str) -> str:
         return TABLES[name][0].replace(" id", f" {self.ident}") + ", weight long"
 
+    def _nothing(self, name: str) -> DataFrame:
+        """No rows, known to the optimizer, which drops joins and unions with them."""
+        fields = [f.rsplit(" ", 1) for f in self._schema(name).split(", ")]
+        return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(c) for c, kind in fields]).where(F.lit(False))
+
+    def _parts_of(self, near: DataFrame, key: str) -> list[int]:
+        """The parts that near's keys lie in; in a batch they are asked once for each of its tables, which don't change."""
+        for table, by, parts in self._touched or []:
+            if table is near and by == key:
+                return parts
+        parts = [r[0] for r in near.select(self._part(key)).distinct().collect()]
+        if self._touched is not None:
+            self._touched.append((near, key, parts))
+        return parts
+
     def _plain(self, name: str, rows: DataFrame) -> DataFrame:
-        return rows.to(self.spark.createDataFrame([], self._schema(name)).schema)
+        return rows.to(self._nothing(name).schema)
 
     def _rows(self, name: str) -> DataFrame:
         return self.spark.read.schema(f"{self._schema(name)}, batch long, part int").parquet(f"{self.folder}/{name}")

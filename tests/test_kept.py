@@ -105,3 +105,26 @@ def test_empty(spark, tmp_path):
     analysis = kept.Analysis(spark, str(tmp_path / "kept"), parts=4)
     analysis.advance(0, *[kept.signed(spark.createDataFrame([], KINDS[k])) for k in KINDS])
     assert analysis.ranking(0).count() == analysis.flagged(0).count() == 0
+
+
+def test_nothing_before_and_parts_asked_once(spark, tmp_path, monkeypatch):
+    """What is empty is dropped when a batch is planned, with the joins that it stands in; a table's parts are asked once."""
+    analysis = kept.Analysis(spark, str(tmp_path / "kept"), "long", parts=4)
+    rows = {
+        "nodes": spark.range(9).select(F.col("id").alias("stable_key"), F.lit("h").alias("hash"), F.col("id").alias("score")),
+        "steps": spark.range(9).select(F.col("id").alias("workflow_id"), F.col("id").alias("step_order"), F.col("id").alias("stable_key")),
+        "sections": spark.range(9).select(F.col("id").alias("section_id"), F.col("id").alias("workflow_id")),
+    }
+    before = analysis.state("nodes", -1, rows["steps"])
+    assert before.columns == ["stable_key", "hash", "score", "weight"] and before.count() == 0
+    met = kept.times(kept.signed(rows["steps"]), before, "stable_key").unionByName(kept.times(kept.signed(rows["steps"]), kept.signed(rows["nodes"]), "stable_key"))
+    assert met.count() == 9
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "RDD" not in plan
+    analysis.advance(0, *[kept.signed(t) for t in rows.values()])
+    collected, collect = [], type(before).collect
+    monkeypatch.setattr(type(before), "collect", lambda self: collected.append(self) or collect(self))
+    near = kept.signed(rows["steps"].where("stable_key < 3"))
+    assert [analysis.state("nodes", 0, near).count() for _ in range(2)] == [3, 3] and len(collected) == 2
+    analysis._touched = []  # as while a batch is carried through
+    assert [analysis.state("nodes", 0, near).count() for _ in range(2)] == [3, 3] and len(collected) == 3
